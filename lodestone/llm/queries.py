@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import chat, exact_dedup, line_rules, sharding
-from lodestone.tables import table
+from lodestone.llm import bpe, chat, exact_dedup, line_rules, quality_lm, sharding, warc
+from lodestone.tables import materialize, table
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(documents, path).select("doc_id", "ids")
+    return bpe.digests(bpe.decode(encoded, path))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +29,20 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(conversations.unionByName(probe)))
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = materialize(warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages"))), "warc")
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_scored", "log_perplexity", "threshold", F.col("good").alias("kept"))
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -29,5 +51,5 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op4_exact_dedup, op8_hash_tree_shards, op10_line_rules)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_line_rules": line_rules.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_warc_bundles, op4_exact_dedup, op5_quality_lm, op8_hash_tree_shards, op10_line_rules)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_warc_bundles": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_line_rules": line_rules.ORACLE}
