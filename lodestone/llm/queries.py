@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, exact_dedup, line_rules, near_dedup, quality_lm, sharding, warc
+from lodestone.llm import bpe, chat, exact_dedup, licenses, line_rules, mixing, near_dedup, quality_lm, sharding, warc
 from lodestone.tables import materialize, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "lang", "n_scored", "log_perplexity", "threshold", F.col("good").alias("kept"))
 
 
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(table(spark, sf_dir, "documents"), mixing.WEIGHTS)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -50,9 +54,13 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_warc_bundles, op4_exact_dedup, op5_quality_lm, op7_minhash_near_dedup, op8_hash_tree_shards, op10_line_rules)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_warc_bundles": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_line_rules": line_rules.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_warc_bundles, op4_exact_dedup, op5_quality_lm, op6_hierarchical_mix, op7_minhash_near_dedup, op8_hash_tree_shards, op9_license_scan, op10_line_rules)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_warc_bundles": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_hierarchical_mix": mixing.ORACLE, "op10_line_rules": line_rules.ORACLE}
