@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, as --py-files would."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if not getattr(context, "_lodestone_shipped", False):
+        path = f"{tempfile.mkdtemp()}/lodestone.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(path)
+        context._lodestone_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is set (tests), one below the warehouse."""
     context = spark.sparkContext
