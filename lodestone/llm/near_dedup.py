@@ -8,10 +8,9 @@ copies is not torn apart by its own size, while shared boilerplate still counts
 
 Rows with the same words are one node, so exact copies cost one sketch and no pairs. Per node 48
 consistent weighted samples form 12 bands of 4. In a bucket all nodes are compared with a leader;
-a bucket whose other nodes are not one class by then is searched further: in each round some nodes
-outside its main class are compared with all nodes of other classes, more in every round, until
-each pair of the bucket is compared or in one class. No bucket is capped and no pair is lost, yet a
-bucket of copies costs only its size. Links have a weighted Jaccard similarity of `similarity` or
+where the other nodes are not one class by then, those outside the leader's class are compared with
+all nodes of other classes, block by block. So every pair of a bucket is compared or already in one
+class, no bucket is capped, and a bucket of copies costs only its size. Links have a weighted Jaccard similarity of `similarity` or
 more; classes are their connected components, named by the smallest id.
 
 Defined cases: a null text counts as empty; texts without words are classes by equal text; rows with
@@ -39,6 +38,8 @@ SHINGLE, BANDS, ROWS = 5, 12, 4
 FEATURES = 1 << 18
 #: Shingles times samples that are evaluated at once; bounds a worker's memory.
 CHUNK = 20_000
+#: Nodes and bytes of shingles of one block, about.
+BLOCK, BLOCK_BYTES = 128, 1 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _rng = np.random.default_rng(20240607)
@@ -193,30 +194,82 @@ def _features(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, "node binary, h binary, w binary").dropDuplicates(["node"])
 
 
+def block_similarity(us: list[tuple[np.ndarray, np.ndarray]], vs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard of all pairs of two blocks, as sums of matrix products over shared shingles."""
+    flat = lambda side: (np.concatenate([h for h, _ in side]), np.repeat(np.arange(len(side)), [len(h) for h, _ in side]), np.concatenate([w for _, w in side]))
+    (hu, iu, wu), (hv, iv, wv) = flat(us), flat(vs)
+    common = np.intersect1d(hu, hv)
+    both = np.zeros((len(us), len(vs)))
+    if len(common):
+        (cu, iu, wu_), (cv, iv, wv_) = ((np.searchsorted(common, h[m]), i[m], w[m]) for h, i, w in ((hu, iu, wu), (hv, iv, wv)) for m in [np.isin(h, common)])
+        low, high = np.full(len(common), np.inf), np.zeros(len(common))
+        for c, w in ((cu, wu_), (cv, wv_)):
+            np.minimum.at(low, c, w)
+            np.maximum.at(high, c, w)
+        even = high - low < 1e-6  # one weight everywhere: the smaller of two is their common one
+        for at in range(0, len(common), 4096):
+            a, b = np.zeros((len(us), 4096)), np.zeros((len(vs), 4096))
+            for side, c, i, w in ((a, cu, iu, wu_), (b, cv, iv, wv_)):
+                m = (c >= at) & (c < at + 4096) & even[c]
+                side[i[m], c[m] - at] = np.sqrt(low[c[m]])
+            both += a @ b.T
+        for c in np.flatnonzero(~even):
+            a, b = np.zeros(len(us)), np.zeros(len(vs))
+            a[iu[cu == c]], b[iv[cv == c]] = wu_[cu == c], wv_[cv == c]
+            both += np.minimum.outer(a, b)
+    total = np.array([w.sum(dtype=np.float64) for _, w in us])[:, None] + np.array([w.sum(dtype=np.float64) for _, w in vs])[None, :]
+    return both / np.maximum(total - both, 1e-9)
+
+
+def _compared(open_: DataFrame, features: DataFrame, least: float) -> DataFrame:
+    """Links between the nodes outside their bucket's main class and all nodes of other classes, from
+    open_(key, node, label, main). Buckets are cut into blocks by a hash, so a task holds two blocks
+    whatever the bucket's size; of a node's links into one class and block the first is enough."""
+    full = open_.join(features, "node").select("key", "label", "main", F.struct("node", "label", "h", "w").alias("x"), F.octet_length("h").alias("size"))
+    need = lambda rows: rows.groupBy("key").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK)).alias("blocks"))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        placed = rows.join(need(rows), "key").withColumn("block", F.pmod(F.xxhash64("x.node"), F.col("blocks")))
+        return placed.groupBy("key", "block").agg(F.collect_list("x").alias(name)).select("key", name)
+
+    pairs = blocks(full.where("label <> main"), "us").join(blocks(full, "vs"), "key").select("us", "vs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = lambda x: [(np.frombuffer(y["h"], np.uint32), np.frombuffer(y["w"], np.float32)) for y in x]
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                us, vs = batch.column("us")[k].as_py(), batch.column("vs")[k].as_py()
+                fu, fv = side(us), side(vs)
+                for i, row in enumerate(block_similarity(fu, fv)):
+                    seen = set()
+                    for j in np.flatnonzero(row >= least - 1e-4):
+                        if vs[j]["label"] != us[i]["label"] and vs[j]["label"] not in seen and similarity(*fu[i], *fv[j]) >= least - 1e-6:
+                            seen.add(vs[j]["label"])
+                            out.append((us[i]["node"], vs[j]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["u", "v"])
+
+    return pairs.mapInArrow(run, "u binary, v binary")
+
+
 def _search(members: DataFrame, features: DataFrame, least: float) -> DataFrame | None:
-    """Links (u, v) between nodes that share a bucket (key, node); None where no bucket has two nodes."""
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"))
-    followers = materialize(members.join(leaders, "key").where("node <> leader"), "followers")
+    """Links between nodes that share a bucket, from members(key, node, rows), enough of them for the
+    same components as all links have; None where no bucket has two nodes. A bucket's leader is the
+    node of most rows, then of the largest buckets, which tends to be the text that others derive from."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("central"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("rows", "central", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
+    followers = materialize(members.join(leaders, "key").where("node <> leader").select("key", "node", "leader"), "followers")
     if followers.isEmpty():
         return None
     links = materialize(_verified(followers.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), features, least), "links")
-    # Of each bucket only nodes that were no leader are open; it is done when those are one class.
-    left, turn = followers.select("key", "node"), 0
-    while True:
-        labels = components(links)
-        open_ = left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        stats = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.xxhash64("node", F.lit(turn))).alias("main")).where("low <> high").select("key", "main")
-        open_ = materialize(open_.join(stats, "key"), "open")
-        if open_.isEmpty():
-            return links
-        share = F.lit(8.0 * 8.0**turn) / F.count_if(F.col("label") != F.col("main"))
-        odd = open_.join(open_.groupBy("key").agg(share.alias("share")), "key").where((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(1_000_000)) < F.col("share") * 1_000_000))
-        odd = materialize(odd.select("key", F.col("node").alias("u"), F.col("label").alias("lu")), "odd")
-        pairs = odd.join(open_, "key").where((F.col("label") != F.col("lu")) & (F.col("node") != F.col("u")))
-        pairs = pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        links = materialize(links.unionByName(_verified(pairs, features, least)), "links")
-        left = materialize(open_.select("key", "node").join(odd.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), "left")
-        turn += 1
+    # A leader has met its whole bucket. The others are compared unless they are one class by now.
+    labels = materialize(components(links), "labels")
+    named = followers.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "leader")
+    named = named.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("main")), "leader", "left").select("key", "node", "label", F.coalesce("main", "leader").alias("main"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    more = _compared(materialize(named.join(mixed, "key"), "open"), features, least)
+    return materialize(links.unionByName(more), "links")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, theta: float = 0.01) -> DataFrame:
@@ -224,8 +277,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(idf_weights(docs, theta))
     sketches = materialize(_sketches(docs, shared), "sketches")
-    nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.any_value("keys").alias("keys")), "nodes")
-    buckets = nodes.select(F.explode("keys").alias("key"), "node")
+    nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("rows"), F.any_value("keys").alias("keys")), "nodes")
+    buckets = nodes.select(F.explode("keys").alias("key"), "node", "rows")
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialize(buckets.join(full, "key"), "members")
     wanted = nodes.select("rep_id", "node").join(members.select("node").distinct(), "node", "left_semi")

@@ -314,16 +314,25 @@ def test_near_dedup_finds_plain_copies(spark, none):
 
 
 def test_unresolved_buckets_lose_no_link(spark, monkeypatch):
-    """All documents in one bucket, of several classes: every link must still be found."""
+    """All documents in one bucket, of several classes and blocks: every link must still be found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
     rows = [(10 * k + v, " ".join(words(80, 500 + k).split()[: 80 - v]), None, None, None) for k in range(9) for v in range(4)]
-    monkeypatch.setattr(near_dedup, "bands", lambda h, w: np.zeros(near_dedup.BANDS, np.uint64) + np.arange(near_dedup.BANDS, dtype=np.uint64))
-    df = spark.createDataFrame(rows, DOCS)
     features = [(bytes([k, v]), near_dedup.weigh(next(iter(near_dedup.shingles(pa.array([rows[4 * k + v][1]]))))[0], np.ones(near_dedup.FEATURES, np.float32))) for k in range(9) for v in range(4)]
     table = spark.createDataFrame([(n, bytes((h >> np.uint64(14)).astype(np.uint32)[np.argsort((h >> np.uint64(14)).astype(np.uint32))]), bytes(w)) for n, (h, w) in features], "node binary, h binary, w binary")
-    members = spark.createDataFrame([(0, n) for n, _ in features], "key long, node binary")
+    members = spark.createDataFrame([(0, n, 1) for n, _ in features], "key long, node binary, rows long")
     links = near_dedup._search(members, table, 0.8)
     labels = {bytes(r.node): bytes(r.label) for r in graph.components(links).collect()}
-    assert labels == {bytes([k, v]): bytes([k, 0]) for k in range(9) for v in range(4)} and df.count() == 36
+    assert labels == {bytes([k, v]): bytes([k, 0]) for k in range(9) for v in range(4)}
+
+
+def test_block_similarity_equals_pairs():
+    r = np.random.default_rng(6)
+    def doc():
+        h = np.unique(r.integers(0, 300, r.integers(1, 200), np.uint32))
+        return h, np.where(h % 3 == 0, r.integers(1, 4, len(h)), 1 + h % 5 / 7).astype(np.float32)
+    us, vs = [doc() for _ in range(7)], [doc() for _ in range(5)]
+    want = [[near_dedup.similarity(*u, *v) for v in vs] for u in us]
+    assert np.allclose(near_dedup.block_similarity(us, vs), want)
 
 
 def test_samples_estimate_weighted_jaccard():
