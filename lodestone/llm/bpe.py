@@ -34,7 +34,9 @@ S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?[LETTER]+|\x20?[NUMBER]+|\x20?[^{S}LETTERNUMBER]+|[{S}]+(?![^{S}])|[{S}]+"
 WORDS_SPECIAL = rf"{SPECIAL}|'s|'t|'re|'ve|'m|'ll|'d|\x20?[LETTER]+|\x20?[NUMBER]+|\x20?(?:(?!{SPECIAL})[^{S}LETTERNUMBER])++|[{S}]+(?!(?!{SPECIAL})[^{S}])|[{S}]+"
 #: Words of one block, at most about; bounds a worker's memory.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Distinct words that go to the tokenizer at once; its results take far more memory than the ids.
+ENCODE_WORDS = 10_000
 
 _loaded: dict[int, object] = {}
 
@@ -76,13 +78,13 @@ def _tokenizer(source: str):
 
 def _encoded(distinct: pa.Array, source: str) -> pa.Array:
     """The ids of each distinct word as little-endian unsigned 32-bit integers."""
-    found = _tokenizer(source).encode_batch_fast(distinct.to_pylist(), add_special_tokens=False)
-    ids = [x.ids for x in found]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))
-    offsets = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum(4 * sizes, out=offsets[1:])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    sizes, flat = [np.zeros(1, np.int64)], []
+    for at in range(0, len(distinct), ENCODE_WORDS):
+        ids = [x.ids for x in _tokenizer(source).encode_batch_fast(distinct.slice(at, ENCODE_WORDS).to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter((i for x in ids for i in x), "<u4", int(sizes[-1].sum())))
+    offsets = 4 * np.cumsum(np.concatenate(sizes))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(flat) if flat else b"")])
 
 
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -100,13 +102,15 @@ def _cut(joined: pa.Array, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[offsets])), joined.buffers()[2] if len(joined) else pa.py_buffer(b"")])
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """`df` with `ids`, the token ids as little-endian unsigned 32-bit integers in one binary value.
-    `vocabulary` is the path, on the driver, of a byte-level BPE file of the tokenizers library."""
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`df`, or its columns `keep`, with `ids`: the token ids as little-endian unsigned 32-bit integers in
+    one binary value. `vocabulary` is the path, on the driver, of a byte-level BPE file of the
+    tokenizers library."""
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
     rows = df.drop("ids").withColumn("_words", words(F.coalesce(F.col(text_col), F.lit("")), *classes(source)))
-    kept = [c for c in rows.columns if c != "_words"]
+    kept = [c for c in rows.columns if c != "_words"] if keep is None else keep
+    rows = rows.select(*kept, "_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

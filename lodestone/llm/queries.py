@@ -16,9 +16,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, path).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
