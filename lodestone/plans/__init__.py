@@ -1,4 +1,6 @@
 """Queries over the driver's tables and the SQL that they are checked against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lodestone.plans import corpus, metrics, retrieval, texts, training
+from lodestone.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "metrics", "retrieval", "texts", "training"]
