@@ -70,7 +70,7 @@ def theme_scoped(vecs: DataFrame, queries: DataFrame, theme_k: int, dense_k: int
     stage = topk(vecs.withColumn("v", F.col("theme")), themed.withColumn("q", F.col("theme")), theme_k, metric, split_col).withColumnRenamed("score", "theme_score").drop("rank")
     scored = stage.join(vecs.select("vec_id", "v"), "vec_id").join(F.broadcast(themed.select("query_id", "q")), "query_id")
     dense = best(scored.withColumn("score", F.round(vectors.dot(F.col("v"), F.col("q")), 6)).drop("v", "q"), dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
-    blend = F.round(dense_weight * F.col("dense_score") + F.round(F.lit(1 - dense_weight), 9) * F.col("theme_score"), 6)
+    blend = F.round(dense_weight * F.col("dense_score") + F.round(F.lit(1 - dense_weight), 9) * F.col("theme_score"), 8)
     scoped = best(dense.withColumn("score", blend), k, *keys).select(*keys, "vec_id", "score", "rank")
     return scoped.unionByName(topk(vecs, plain, k, "ip", split_col).select(*keys, "vec_id", "score", "rank"))
 

@@ -56,7 +56,7 @@ def _scoped_sql(theme_score, theme_k, dense_k, k, w, keys):
     by = ", ".join(keys)
     return f"""{THEME}, a AS (SELECT query_id, vec_id, split_id, {theme_score} AS ts, v, q FROM w, qt QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY ts DESC, vec_id) <= {theme_k}),
 b AS (SELECT *, round(list_dot_product(v, q), 6) AS ds FROM a QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY ds DESC, vec_id) <= {dense_k}),
-c2 AS (SELECT *, round({w}::DOUBLE * ds + {round(1 - w, 9)}::DOUBLE * ts, 6) AS score FROM b) SELECT {by}, vec_id, score, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, vec_id) AS rank FROM c2 QUALIFY rank <= {k}"""
+c2 AS (SELECT *, round({w}::DOUBLE * ds + {round(1 - w, 9)}::DOUBLE * ts, 8) AS score FROM b) SELECT {by}, vec_id, score, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, vec_id) AS rank FROM c2 QUALIFY rank <= {k}"""
 
 
 IP_THEME = "round(list_dot_product(theme, qtheme), 6)"

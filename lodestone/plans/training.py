@@ -1 +1,213 @@
-"""stub"""
+"""Training-set queries. Orders stand for questions, their lines for facts, parts for titled articles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as tx
+from lodestone.functions.models import similarity_label
+from lodestone.operators import rows, trainset
+from lodestone.plans.registry import query
+from lodestone.plans.texts import TRIPLES, triples
+from lodestone.tables import table
+
+
+def _facts(spark, d):
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+@query("SELECT l_orderkey, lower(p_name) AS title, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS sentences FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, lower(p_name)")
+def facts_by_title(spark, d):
+    g = _facts(spark, d).groupBy("l_orderkey", F.lower("p_name").alias("title")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("s"))
+    return g.select("l_orderkey", "title", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sentences"))
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey % 10 <> 0)")
+def all_supporting_present(spark, d):
+    have = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"))
+    return trainset.complete_only(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), have, "l_orderkey", "l_partkey")
+
+
+@query("SELECT p.p_partkey, m.first AS article FROM part p JOIN (SELECT lower(p_name) AS t, min(p_partkey) AS first FROM part GROUP BY lower(p_name)) m ON lower(p.p_name) = m.t")
+def title_ci_join(spark, d):
+    part = table(spark, d, "part")
+    articles = part.groupBy(F.lower(F.upper("p_name")).alias("t")).agg(F.min_by("p_partkey", "p_partkey").alias("article"))
+    return part.select("p_partkey", F.lower("p_name").alias("t")).join(articles, "t").select("p_partkey", "article")
+
+
+@query("WITH x AS (SELECT conv_id, list(text ORDER BY turn) AS c FROM conversations GROUP BY conv_id) SELECT conv_id, len(list_filter([0, 1, 2, 5], lambda i: i + 1 < len(c))) AS n, md5(array_to_string(list_transform(list_filter([0, 1, 2, 5], lambda i: i + 1 < len(c)), lambda i: c[i + 2]), '|')) AS sentences_md5 FROM x")
+def sentence_gather(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("c"))
+    kept = F.filter(F.array(*map(F.lit, (0, 1, 2, 5))), lambda i: i + 1 < F.size("c"))
+    return c.select("conv_id", F.size(kept).cast("long").alias("n"), F.md5(F.array_join(F.transform(kept, lambda i: F.get("c", i + 1)), "|")).alias("sentences_md5"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS answer FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') OR o_orderkey % 7 = 0")
+def anti_join_questions(spark, d):
+    o = table(spark, d, "orders")
+    asked = o.withColumn("input", F.when(F.col("o_orderkey") % 7 == 0, F.lit("no marker")).otherwise(F.concat(F.lit("Do.\nQuestion:  "), F.col("o_orderkey").cast("string"), F.lit(" "))))
+    seen = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("key")).distinct()
+    return asked.withColumn("key", tx.question_key(F.col("input"))).join(seen, "key", "left_anti").select("o_orderkey", F.col("o_orderpriority").alias("answer"))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY l_orderkey")
+def doc_index_filter(spark, d):
+    docs = _facts(spark, d).groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"))
+    chosen = F.transform(F.split(F.regexp_extract(F.lit("Documents 1, 3 help."), r"\d+(?:\s*,\s*\d+)*", 0), r"\s*,\s*"), lambda x: x.cast("int"))
+    return docs.select("l_orderkey", F.size(F.filter("lines", lambda x: F.array_contains(chosen, x))).cast("long").alias("n")).where("n > 0")
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_partkey) AS titles, count(*) AS docs FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey")
+def map_filter_docs(spark, d):
+    by_title = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.collect_list("l_quantity").alias("docs"))
+    maps = by_title.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "docs"))).alias("m"))
+    kept = F.map_filter(F.transform_values("m", lambda k, v: F.filter(v, lambda x: x > 25)), lambda k, v: F.size(v) > 0)
+    return maps.select("l_orderkey", kept.alias("m")).where(F.size("m") > 0).select("l_orderkey", F.size("m").cast("long").alias("titles"), F.size(F.flatten(F.map_values("m"))).cast("long").alias("docs"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem k WHERE k.l_orderkey = l.l_orderkey AND k.l_partkey = l.l_partkey AND k.l_quantity > 25)")
+def semi_join_topic(spark, d):
+    line = table(spark, d, "lineitem")
+    kept = line.where("l_quantity > 25").select("l_orderkey", "l_partkey")
+    return line.join(kept, ["l_orderkey", "l_partkey"], "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT vec_id, round(s, 6) AS similarity, s < 0.8 AS needs_subquery, CASE WHEN s < 0.8 THEN '[SUBQ=YES]' ELSE '[SUBQ=NO] No subquery is needed.' END AS label FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) * 4 AS s FROM embeddings)")
+def threshold_label(spark, d):
+    s = F.abs(F.col("embedding")[0].cast("double")) * 4
+    return table(spark, d, "embeddings").select("vec_id", F.round(s, 6).alias("similarity"), (s < 0.8).alias("needs_subquery"), similarity_label(s).alias("label"))
+
+
+@query("SELECT conv_id, turn, length(trim(text)) >= 200 AS can_answer FROM conversations JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') USING (conv_id) WHERE role = 'user'")
+def threshold_retrieval(spark, d):
+    c = table(spark, d, "conversations")
+    answered = c.where("role = 'assistant'").select("conv_id").distinct()
+    score = F.length(F.trim("text")) / 250.0
+    return c.where("role = 'user'").join(answered, "conv_id").select("conv_id", "turn", (score >= 0.8).alias("can_answer"))
+
+
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON trim(b.text) = trim(d.text) UNION ALL SELECT item_id, item_id FROM benchmark")
+def question_retrieval_join(spark, d):
+    b = table(spark, d, "benchmark")
+    found = table(spark, d, "documents").select("doc_id", F.trim("text").alias("k")).unionByName(b.select(F.col("item_id").alias("doc_id"), F.trim(F.concat(F.lit("  "), "text", F.lit(" "))).alias("k")))
+    return b.select("item_id", F.trim("text").alias("k")).join(found, "k").select("item_id", "doc_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'F' THEN 'new ' || o_orderpriority WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'new ' || o_orderpriority END AS answer FROM orders WHERE o_orderkey % 2 = 0 OR o_orderstatus = 'F'")
+def answer_map_override(spark, d):
+    o = table(spark, d, "orders")
+    base = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderpriority").alias("answer"))
+    over = o.where("o_orderstatus = 'F'").select("o_orderkey", F.concat(F.lit("new "), "o_orderpriority").alias("answer"))
+    return trainset.override(base, over, "o_orderkey", "answer")
+
+
+@query(f"WITH k AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey % 10 <> 0)) SELECT l_orderkey, count(*) AS n, string_agg(t, ', ' ORDER BY l_linenumber, t) AS triples FROM {TRIPLES} WHERE l_orderkey IN (SELECT l_orderkey FROM k) GROUP BY l_orderkey")
+def doc_triples_join(spark, d):
+    t = triples(spark, d)
+    known = t.where("l_partkey % 10 <> 0").select("l_partkey").distinct()
+    keys = trainset.complete_only(t.select("l_orderkey", "l_partkey"), known, "l_orderkey", "l_partkey")
+    g = t.join(keys, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("x"))
+    return g.select("l_orderkey", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda s: s["t"]), ", ").alias("triples"))
+
+
+@query("SELECT l_orderkey, l_partkey, max_by(l_shipdate, (l_linenumber, l_shipdate))::DATE::VARCHAR AS sub_query FROM lineitem GROUP BY l_orderkey, l_partkey")
+def doc_subquery_map(spark, d):
+    last = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max_by("l_shipdate", F.struct("l_linenumber", "l_shipdate")).alias("s"))
+    return last.select("l_orderkey", "l_partkey", F.col("s").cast("date").cast("string").alias("sub_query"))
+
+
+PREFIX = "string_agg({0}, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(f"SELECT conv_id, turn, md5('Q:' || {PREFIX.format('text')}) AS input_md5, coalesce('[SUBQ] ' || lead(left(text, 30)) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') AS label FROM conversations WHERE role = 'user'")
+def planner_prefix_examples(spark, d):
+    steps = table(spark, d, "conversations").where("role = 'user'").withColumn("ask", F.left("text", F.lit(30)))
+    return trainset.prefix_examples(steps, "conv_id", "turn", "text", "ask", "Q:").select("conv_id", "turn", F.md5("input").alias("input_md5"), "label")
+
+
+@query("SELECT conv_id, md5(string_agg('Step ' || (turn + 1) || ': ' || text, chr(10) ORDER BY turn)) AS prompt_md5 FROM conversations GROUP BY conv_id")
+def trajectory_prompt(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.select("conv_id", F.md5(F.array_join(F.transform("t", lambda s: F.concat(F.lit("Step "), (s["turn"] + 1).cast("string"), F.lit(": "), s["text"])), "\n")).alias("prompt_md5"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS score, ceil(l_quantity)::BIGINT AS tokens FROM lineitem)
+SELECT l_orderkey, l_linenumber, sum(tokens) OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM x QUALIFY used <= 80""")
+def context_pack(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("score"), F.ceil("l_quantity").alias("tokens"))
+    return trainset.pack(x, "l_orderkey", "score", "tokens", 80, "l_linenumber").select("l_orderkey", "l_linenumber", "used")
+
+
+@query("""WITH m AS (SELECT conv_id, min(turn) AS m FROM conversations WHERE role = 'user' AND length(text) > 0 GROUP BY conv_id)
+SELECT conv_id, CASE WHEN turn = m THEN 'main' ELSE 'sub' END AS type, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 2)::INT AS sub_idx FROM conversations JOIN m USING (conv_id) WHERE role = 'user' AND turn >= m""")
+def flatten_queries(spark, d):
+    q = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("q"))
+    q = q.where(F.length(F.get("q", F.lit(0))["text"]) > 0)
+    subs = F.slice("q", F.lit(2), F.greatest(F.size("q") - 1, F.lit(0)))
+    main = q.select("conv_id", F.lit("main").alias("type"), F.lit(-1).alias("sub_idx"))
+    return main.unionByName(q.select("conv_id", F.lit("sub").alias("type"), F.posexplode(subs).alias("sub_idx", "x")).drop("x"))
+
+
+@query("SELECT text AS question, max_by(item_id, item_id) AS context FROM (SELECT text, item_id FROM benchmark UNION ALL SELECT text, item_id + 1000 FROM benchmark WHERE item_id % 2 = 0) WHERE item_id < 2000 GROUP BY text")
+def question_context_map(spark, d):
+    b = table(spark, d, "benchmark")
+    columns = b.agg(F.collect_list("text").alias("question"), F.collect_list("item_id").alias("context"))
+    again = b.where("item_id % 2 = 0").agg(F.collect_list("text").alias("question"), F.collect_list(F.col("item_id") + 1000).alias("context"))
+    pairs = columns.unionByName(again).select(F.inline(F.arrays_zip("question", "context")))
+    return pairs.groupBy("question").agg(F.max_by("context", "context").alias("context"))
+
+
+@query("WITH x AS (SELECT l_orderkey, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, p_name) AS i FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT l_orderkey, string_agg('[' || i || '] ' || p_name, chr(10) ORDER BY i) AS block FROM x GROUP BY l_orderkey")
+def numbered_docs(spark, d):
+    g = _facts(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber", "p_name"))).alias("x"))
+    return g.select("l_orderkey", F.array_join(F.transform("x", lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s["p_name"])), "\n").alias("block"))
+
+
+@query("""WITH k AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_partkey % 10 <> 0)) SELECT l_orderkey, lower(p_name) AS title, count(*) AS n, string_agg(p_type || l_linenumber, '|' ORDER BY l_linenumber, p_type) AS docs
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey IN (SELECT l_orderkey FROM k) GROUP BY l_orderkey, lower(p_name)""")
+def pip_hotpot(spark, d):
+    facts = _facts(spark, d)
+    have = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"))
+    whole = trainset.complete_only(facts.select("l_orderkey", "l_partkey"), have, "l_orderkey", "l_partkey")
+    g = facts.join(whole, "l_orderkey", "left_semi").groupBy("l_orderkey", F.lower("p_name").alias("title")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_type"))).alias("x"))
+    return g.select("l_orderkey", "title", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda s: F.concat(s["p_type"], s["l_linenumber"].cast("string"))), "|").alias("docs"))
+
+
+PLANNER = f"""u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id, -1 AS turn, 'Question: ' || text AS input, CASE WHEN n = 1 THEN '[NO_RETRIEVAL]' ELSE '[SUBQ] ' || left(text, 20) END AS label FROM u WHERE i = 1
+UNION ALL SELECT conv_id, turn, 'Question: ' || first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) || chr(10) || {PREFIX.format("text")}, coalesce('[SUBQ] ' || lead(left(text, 20)) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') FROM u WHERE n > 1),
+p AS (SELECT *, conv_id || ':' || turn AS id FROM e), o AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS pos, count(*) OVER () AS total FROM p),
+s AS (SELECT conv_id, turn, input, label, CASE WHEN pos < floor(total * 0.98::DOUBLE) THEN 'train' WHEN pos < floor(total * 0.99::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o)"""
+
+
+def _planner(spark, d):
+    u = table(spark, d, "conversations").where("role = 'user'").withColumn("ask", F.left("text", F.lit(20)))
+    first = u.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.min_by("ask", "turn").alias("q0"), F.count(F.lit(1)).alias("n"))
+    ask = F.concat(F.lit("Question: "), "question")
+    alone = first.select("conv_id", F.lit(-1).cast("long").alias("turn"), ask.alias("input"), F.when(F.col("n") == 1, "[NO_RETRIEVAL]").otherwise(F.concat(F.lit("[SUBQ] "), "q0")).alias("label"))
+    steps = trainset.prefix_examples(u, "conv_id", "turn", "text", "ask").join(first.where("n > 1"), "conv_id")
+    steps = steps.select("conv_id", "turn", F.concat(ask, F.lit("\n"), "input").alias("input"), "label")
+    every = alone.unionByName(steps).withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return rows.split_by_shares(every, "id", {"train": 0.98, "val": 0.01, "test": 0.01})
+
+
+@query(f"WITH {PLANNER} SELECT conv_id, turn, md5(input) AS input_md5, label, split FROM s")
+def pip_planner(spark, d):
+    return _planner(spark, d).select("conv_id", "turn", F.md5("input").alias("input_md5"), "label", "split")
+
+
+@query(f"""WITH {PLANNER}, a AS (SELECT conv_id, min_by(left(text, 40), turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT conv_id, turn, md5('Answer it.' || chr(10) || input) AS input_md5, answer AS label FROM s JOIN a USING (conv_id) WHERE label IN ('[SUFFICIENT]', '[NO_RETRIEVAL]')""")
+def pip_answerer(spark, d):
+    answers = table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by(F.left("text", F.lit(40)), "turn").alias("answer"))
+    done = _planner(spark, d).where(F.col("label").isin("[SUFFICIENT]", "[NO_RETRIEVAL]")).withColumn("instruction", F.concat(F.lit("Plan it.\n"), "input"))
+    return done.join(answers, "conv_id").select("conv_id", "turn", F.md5(F.replace("instruction", F.lit("Plan it.\n"), F.lit("Answer it.\n"))).alias("input_md5"), F.col("answer").alias("label"))
+
+
+@query("SELECT item_id, split_part(replace(text, chr(10), ' '), '. ', 1) AS output FROM benchmark")
+def model_boundary_stub(spark, d):
+    from lodestone.functions.models import generate, stub_answer
+
+    prompts = table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return generate(prompts, "text", stub_answer).select("item_id", "output")
