@@ -140,13 +140,13 @@ def cube_sources(spark, d):
     return table(spark, d, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'click'""")
+@query("""SELECT e.event_id, coalesce(p.event_id, -1) AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'click'""")
 def asof_last_purchase(spark, d):
     from lodestone.operators.asof import asof
 
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_purchase"))
-    return asof(e.where("event_type = 'click'").drop("event_type"), right, "user_id", "ts", "last_purchase").select("event_id", "last_purchase")
+    return asof(e.where("event_type = 'click'").drop("event_type"), right, "user_id", "ts", "last_purchase").select("event_id", F.coalesce("last_purchase", F.lit(-1)).alias("last_purchase"))
 
 
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey GROUP BY n_name""")

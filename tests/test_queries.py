@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if pd.isna(v):
         return None
     v = v.item() if hasattr(v, "item") else v
     return round(v, 9) if isinstance(v, float) else v
