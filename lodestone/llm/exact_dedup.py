@@ -3,7 +3,8 @@
 Texts are equal when they agree after every run of ASCII white space became one space; a null text
 counts as empty. Grouping keys are (md5, normalised text): the hash decides where rows meet and the
 text itself, compared byte for byte, decides which are equal, so a hash collision cannot merge two
-texts. Copies collapse in the map-side aggregation, so a hot group sends one row per map task.
+texts. Copies collapse in the map-side aggregation, so a hot group sends one row per map task; the
+few groups that hold over a thousandth of the rows each are joined back by broadcast.
 
 Defined cases: null ids sort last (a group with only null ids has keep_id null and keeps one row);
 of rows that repeat both id and text one is kept; an empty table gives an empty result; other
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.skew import join_groups
+
 #: Runs of white space other than a single space, so that ordinary gaps cost no replacement.
 GAPS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -41,7 +44,7 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `df`."""
     rows = _digests(df, id_col, text_col)
     counted = rows.groupBy("doc_id", "h", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    joined = counted.join(_groups(rows), ["h", "sha"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    joined = join_groups(counted, _groups(rows), ["h", "sha"], "group_size", df.count()).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return joined.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
