@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
+from lodestone.llm.skew import join_groups
 from lodestone.tables import materialize
 
 SHINGLE, BANDS, ROWS = 5, 12, 4
@@ -284,14 +285,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     wanted = nodes.select("rep_id", "node").join(members.select("node").distinct(), "node", "left_semi")
     features = materialize(_features(docs, wanted, shared), "features")
     links = _search(members, features, similarity)
-    named = nodes.select("node", "rep_id")
+    named = nodes.select("node", "rep_id", "rows")
     if links is None:
-        named = named.withColumnRenamed("rep_id", "class_id")
+        named = named.select("node", F.col("rep_id").alias("class_id"), "rows")
     else:
         labels = materialize(components(links), "labels")
         names = labels.join(named, "node").groupBy("label").agg(F.min("rep_id").alias("_name"))
-        named = named.join(labels.join(names, "label").select("node", "_name", F.lit(True).alias("_in")), "node", "left").select("node", F.when(F.col("_in"), F.col("_name")).otherwise(F.col("rep_id")).alias("class_id"))
-    return sketches.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        named = named.join(labels.join(names, "label").select("node", "_name", F.lit(True).alias("_in")), "node", "left").select("node", F.when(F.col("_in"), F.col("_name")).otherwise(F.col("rep_id")).alias("class_id"), "rows")
+    return join_groups(sketches.select("doc_id", "node"), named, ["node"], "rows", sketches.count()).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, theta: float = 0.01) -> DataFrame:
