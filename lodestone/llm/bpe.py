@@ -49,8 +49,10 @@ def classes(source: str) -> tuple[str, str]:
     near = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0x110000)] if unicodedata.category(chr(c))[0] in "LN" or unicodedata.category(chr(c)) == "Cn"]
     out = []
     for base, known in (("a", r"\p{L}"), ("1", r"\p{N}")):
-        text = "".join(f"!{base}{c}" for c in near)
-        joined = sorted(ord(text[b - 1]) for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text) if b - a == 2 and text[a] == base)
+        joined = []
+        for at in range(0, len(near), 4096):
+            text = "".join(f"!{base}{c}" for c in near[at : at + 4096])
+            joined += [ord(text[b - 1]) for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text) if b - a == 2 and text[a] == base]
         ends = [c for c, after in zip(joined, [*joined[1:], -1]) if after != c + 1]
         starts = [c for c, before in zip(joined, [-1, *joined]) if before != c - 1]
         out.append(known + "[\\p{Cn}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]]")
