@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.skew import join_groups
+from lodestone.tables import materialize
 
 #: Runs of white space other than a single space, so that ordinary gaps cost no replacement.
 GAPS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -44,7 +45,8 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `df`."""
     rows = _digests(df, id_col, text_col)
     counted = rows.groupBy("doc_id", "h", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    joined = join_groups(counted, _groups(rows), ["h", "sha"], "group_size", df.count()).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # Both sides are digests alone, written once because each is read several times.
+    joined = join_groups(materialize(counted, "digests"), materialize(_groups(rows), "groups"), ["h", "sha"], "group_size", df.count()).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return joined.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
