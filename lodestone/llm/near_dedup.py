@@ -292,7 +292,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         labels = materialize(components(links), "labels")
         names = labels.join(named, "node").groupBy("label").agg(F.min("rep_id").alias("_name"))
         named = named.join(labels.join(names, "label").select("node", "_name", F.lit(True).alias("_in")), "node", "left").select("node", F.when(F.col("_in"), F.col("_name")).otherwise(F.col("rep_id")).alias("class_id"), "rows")
-    return join_groups(sketches.select("doc_id", "node"), named, ["node"], "rows", sketches.count()).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return join_groups(sketches.select("doc_id", "node"), materialize(named, "classes"), ["node"], "rows", sketches.count()).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, theta: float = 0.01) -> DataFrame:
