@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.skew import join_groups
+from lodestone.tables import materialize
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -44,7 +45,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.cast("binary").alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("sha1"))
     keys = ["sha1", "payload_bytes"]
     first = rows.groupBy(*keys).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    rows = join_groups(rows, first, keys, "copies", pages.count())
+    rows = join_groups(rows, materialize(first, "payloads"), keys, "copies", pages.count())
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(revisit, F.col("first")).alias("refers_to"))
 
