@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import trim
+
 SPECIAL = r"<\|endoftext\|>"
 #: Unicode's White_Space, which is what \s means to the tokenizer.
 S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,7 +36,7 @@ S = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?[LETTER]+|\x20?[NUMBER]+|\x20?[^{S}LETTERNUMBER]+|[{S}]+(?![^{S}])|[{S}]+"
 WORDS_SPECIAL = rf"{SPECIAL}|'s|'t|'re|'ve|'m|'ll|'d|\x20?[LETTER]+|\x20?[NUMBER]+|\x20?(?:(?!{SPECIAL})[^{S}LETTERNUMBER])++|[{S}]+(?!(?!{SPECIAL})[^{S}])|[{S}]+"
 #: Words of one block, at most about; bounds a worker's memory.
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 300_000
 #: Distinct words that go to the tokenizer at once; its results take far more memory than the ids.
 ENCODE_WORDS = 10_000
 
@@ -124,6 +126,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[st
                 ids = _cut(joined, offsets[start : end + 1] - offsets[start], pa.large_binary())
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], ids.cast(pa.binary())], names=[*kept, "ids"])
+            trim()
 
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], T.StructField("ids", T.BinaryType())]))
 
@@ -159,6 +162,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
                 except pa.ArrowInvalid:  # ids that do not form whole characters
                     text = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.large_string())
                 yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], names=[*part.schema.names, "decoded"])
+            trim()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("decoded", T.StringType())]))
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
+from lodestone.llm.memory import trim
 from lodestone.llm.skew import join_groups
 from lodestone.tables import materialize
 
@@ -175,6 +176,7 @@ def _sketches(docs: DataFrame, shared) -> DataFrame:
                 nodes.append(node)
                 keys.append(last[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, keys array<long>")
 

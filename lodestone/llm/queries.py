@@ -16,7 +16,9 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path))
+    # Written in between, so that an executor does not hold the workers of both directions at once.
+    encoded = materialize(bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), "ids")
+    return bpe.digests(bpe.decode(encoded, path))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
