@@ -1,0 +1,193 @@
+"""Interpolated modified Kneser-Ney bigram model of words over a spelling model of characters.
+
+Words are cut at white space (ideographs and kana are words of their own), lower-cased and stripped of all
+but letters and digits where any are left. Bits of a text are additive over its n-grams: every word costs
+its spelling; a word, context or pair of the trusted text corrects that by a value of the model:
+
+    word w        -log2 p(w) - (spelling of w - log2 l0)
+    context u     -log2 l(u)
+    pair (u, w)   -log2 p(w|u) + log2 l(u) + log2 p(w)
+
+so n-grams that are not in the model need no row: what is left is the back-off. The model is a table that
+grows with the trusted text. Its at most HOT most frequent n-grams are a broadcast, which tasks add up at
+once; all others are joined by n-gram, and summed by text.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm.memory import trim
+from lodestone.llm.skew import join_groups
+from lodestone.tables import materialize
+
+#: N-grams of the broadcast, at most: 16 bytes each.
+HOT = 1 << 20
+#: Texts of one run; bounds a worker's memory.
+RUN_CHARS = 2_000_000
+
+_WORD_KIND, _CONTEXT_KIND = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
+_START = np.uint64(0x243F6A8885A308D3)
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_NOT_WORD = re.compile(r"[\W_]+")
+_ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])"
+
+#: From words to bits of their spelling.
+Spelling = Callable[[list[str]], np.ndarray]
+
+
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = before * _K1 + (word ^ (word >> np.uint64(29))) * _K2
+    return (x ^ (x >> np.uint64(32))) * _K1
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+class Words:
+    """The words of some texts: per word the index of its text, its hash, the hash before, spelling and length."""
+
+    def __init__(self, texts: pa.Array, spelling: Spelling):
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(texts.cast(pa.large_string()), _ALONE, r" \1 "))
+        table = split.flatten().dictionary_encode()
+        raw = table.dictionary.to_pylist()
+        names = [(_NOT_WORD.sub("", w.lower()) or w) for w in raw]
+        at = np.asarray(table.indices, np.int64)
+        full = np.array([bool(w) for w in names], bool)[at] if names else np.zeros(0, bool)
+        at, offsets = at[full], np.asarray(split.offsets, np.int64)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(offsets))[full]
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names], np.uint64)
+        self.hash = hashes[at] if names else np.zeros(0, np.uint64)
+        self.before = np.roll(self.hash, 1)
+        self.before[np.flatnonzero(np.diff(self.text, prepend=-1))] = _START
+        self.bits = spelling(names)[at] if names else np.zeros(0)
+        self.chars = np.array([len(w) + 1 for w in names], np.int64)[at] if names else np.zeros(0, np.int64)
+
+    def grams(self) -> np.ndarray:
+        """Three per word: its own, its context's and the pair's."""
+        return np.concatenate([self.hash ^ np.uint64(_WORD_KIND), self.before ^ np.uint64(_CONTEXT_KIND), _pairs(self.before, self.hash)])
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and end of runs of about RUN_CHARS characters."""
+    ends, start = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)), 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + RUN_CHARS, "right")))
+        yield start, end
+        start = end
+
+
+def _counts(df: DataFrame, spelling: Callable[[], Spelling]) -> DataFrame:
+    """gram, before, word, spelled, n of every pair of words of df(text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = spelling()
+        for batch in batches:
+            for start, end in runs(batch.column(0)):
+                w = Words(batch.column(0)[start:end], spell)
+                gram, first, n = np.unique(_pairs(w.before, w.hash), return_index=True, return_counts=True)
+                columns = [_signed(gram), _signed(w.before[first]), _signed(w.hash[first]), w.bits[first], n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "before", "word", "spelled", "n"])
+            trim()
+
+    return df.mapInArrow(run, "gram long, before long, word long, spelled double, n long").groupBy("gram", "before", "word").agg(F.max("spelled").alias("spelled"), F.sum("n").alias("n"))
+
+
+def train(df: DataFrame, spelling: Callable[[], Spelling], discounts: Callable[[DataFrame], list[float]]) -> tuple[DataFrame, float]:
+    """The model (gram, bits, n) of df(text), and the bits that every word costs besides its spelling."""
+    def spared(d: list[float]):
+        return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+    pairs = materialize(_counts(df, spelling), "pairs")
+    words = materialize(pairs.groupBy("word").agg(F.max("spelled").alias("spelled"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("seen")), "words")
+    words = words.withColumn("off", spared(discounts(words)))
+    total, off = words.agg(F.sum("n"), F.sum("off")).first()
+    back = float(off) / float(total) if total else 1.0
+    p = F.greatest(F.col("n") - F.col("off"), F.lit(0.0)) / F.lit(float(total or 1)) + back * F.pow(F.lit(2.0), -F.col("spelled"))
+    words = words.select("word", "seen", "spelled", p.alias("p"))
+    pairs = pairs.withColumn("off", spared(discounts(pairs)))
+    contexts = pairs.groupBy("before").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("l"))
+    joined = pairs.join(contexts, "before").join(words.select("word", "p"), "word")
+    q = F.greatest(F.col("n") - F.col("off"), F.lit(0.0)) / F.col("total") + F.col("l") * F.col("p")
+    model = joined.select("gram", (-F.log2(q) + F.log2("l") + F.log2("p")).alias("bits"), "n")
+    model = model.unionByName(words.select(F.col("word").bitwiseXOR(F.lit(_WORD_KIND)).alias("gram"), (-F.log2("p") - F.col("spelled") + float(np.log2(back))).alias("bits"), F.col("seen").alias("n")))
+    model = model.unionByName(contexts.select(F.col("before").bitwiseXOR(F.lit(_CONTEXT_KIND)).alias("gram"), (-F.log2("l")).alias("bits"), F.col("total").alias("n")))
+    return materialize(model, "model"), float(-np.log2(back))
+
+
+def split(model: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The hot n-grams in order, their bits, and the table of all others."""
+    sizes = model.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values("n", ascending=False)
+    fit = sizes["n"][(sizes["rows"].cumsum() <= HOT).to_numpy()]
+    least = int(fit.min()) if len(fit) else 1 << 62
+    hot = model.where(F.col("n") >= least).select("gram", "bits").toPandas()
+    gram, bits = hot["gram"].to_numpy(np.int64).view(np.uint64), hot["bits"].to_numpy(np.float64)
+    order = np.argsort(gram)
+    return gram[order], bits[order], model.where(F.col("n") < least).select("gram", "bits")
+
+
+def _looked_up(hot: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams are hot, and the bits of these (0 for others)."""
+    names, bits = hot
+    if not len(names):
+        return np.zeros(len(grams), bool), np.zeros(len(grams))
+    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+    found = names[at] == grams
+    return found, np.where(found, bits[at], 0.0)
+
+
+def score(df: DataFrame, model: DataFrame, per_word: float, spelling: Callable[[], Spelling], text_col: str) -> DataFrame:
+    """`df` with word_chars (characters of its words, each with an end) and word_bits."""
+    gram, value, rest = split(model)
+    shared = df.sparkSession.sparkContext.broadcast((gram, value))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)}
+
+    @F.pandas_udf("n_scored long, bits double")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        spell = spelling()
+        for texts in batches:
+            column = pa.array(texts, pa.string())
+            n, bits = np.zeros(len(column), np.int64), np.zeros(len(column))
+            for start, end in runs(column):
+                w = Words(column[start:end], spell)
+                own = w.bits + per_word + _looked_up(shared.value, w.grams())[1].reshape(3, -1).sum(0)
+                n[start:end] = np.bincount(w.text, w.chars, end - start)
+                bits[start:end] = np.bincount(w.text, own, end - start)
+            yield pd.DataFrame({"n_scored": n, "bits": bits})
+            trim()
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = (np.asarray(batch.column(k)) for k in (0, 1))
+            for start, end in runs(batch.column(2)):
+                w = Words(batch.column(2)[start:end], lambda names: np.zeros(len(names)))
+                grams = w.grams()
+                cold = ~_looked_up(shared.value, grams)[0]
+                rows = np.empty(int(cold.sum()), [("t", np.int64), ("g", np.uint64)])
+                rows["t"], rows["g"] = np.tile(w.text, 3)[cold] + start, grams[cold]
+                order = np.lexsort((rows["g"], rows["t"]))
+                t, g = rows["t"][order], rows["g"][order]
+                first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))) if len(t) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(t)))
+                yield pa.RecordBatch.from_arrays([pa.array(k1[t[first]]), pa.array(k2[t[first]]), pa.array(_signed(g[first])), pa.array(n.astype(np.int32))], names=["_k1", "_k2", "gram", "n"])
+            trim()
+
+    keyed = df.select(*[c.alias(k) for k, c in keys.items()], text.alias("text"))
+    cold = keyed.mapInArrow(far, "_k1 long, _k2 long, gram long, n int").join(rest.hint("merge"), "gram")
+    sums = cold.groupBy("_k1", "_k2").agg(F.sum(F.col("n") * F.col("bits")).alias("_far"))
+    # Equal texts have one key and add up, so the sum is divided by how many there are.
+    copies = keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_copies"))
+    far_bits = materialize(copies.join(sums, ["_k1", "_k2"], "left").select("_k1", "_k2", "_copies", (F.coalesce("_far", F.lit(0.0)) / F.col("_copies")).alias("_far")), "far")
+    rows = df.withColumns(keys).withColumn("_near", near(text))
+    joined = join_groups(rows, far_bits, ["_k1", "_k2"], "_copies", df.count())
+    return joined.withColumns({"word_chars": F.col("_near.n_scored"), "word_bits": F.round(F.col("_near.bits") + F.col("_far"), 6)}).drop("_k1", "_k2", "_near", "_copies", "_far")

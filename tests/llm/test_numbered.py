@@ -16,7 +16,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, exact_dedup, graph, licenses, line_rules, mixing, near_dedup, quality_lm, sharding, warc
+from lodestone.llm import bpe, chat, exact_dedup, graph, licenses, line_rules, mixing, near_dedup, quality_lm, sharding, warc, word_lm
 from lodestone.tables import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n string"
@@ -198,6 +198,56 @@ def test_quality_classifier(spark, edge, none):
     assert quality_lm.classify(none, labels).count() == 0
 
 
+def chain(n, seed, letters, size=60):
+    """Words of which each allows a few next ones, never itself."""
+    names, r = ["".join(random.Random(k).choices(letters, k=5)) for k in range(size)], random.Random(seed)
+    at, out = r.randrange(size), []
+    for _ in range(n):
+        out.append(names[at])
+        to = (at * 3 + 1 + r.randrange(3)) % size
+        at = to if to != at else (to + 1) % size
+    return out
+
+
+def test_word_level_junk_goes(spark, monkeypatch):
+    rows, labels = [], []
+    for k, letters in enumerate(("abcdefgh", "\u0431\u0432\u0433\u0434\u0436\u0437\u043a\u043b")):
+        for i in range(150):
+            rows.append((1000 * k + i, " ".join(chain(120, 1000 * k + i, letters)), f"l{k}", "s", None))
+        for i in range(150, 160):
+            t = chain(120, 1000 * k + i, letters)
+            random.Random(i).shuffle(t)
+            rows += [(1000 * k + i, " ".join(t), f"l{k}", "s", None), (1000 * k + i + 10, " ".join(t[:1] * 120), f"l{k}", "s", None)]
+        labels += [(1000 * k + i, 1, 0) for i in range(130)]
+    df, trusted = spark.createDataFrame([*rows, rows[0], rows[0]], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality_lm.classify(df, trusted).collect()
+    assert len(out) == len(rows) + 2 and {x.doc_id for x in out if not x.good} == {1000 * k + i for k in (0, 1) for i in range(150, 170)}
+    # The same where no or few n-grams are broadcast and all others are joined.
+    want = {(x.doc_id, round(x.word_bits, 3)) for x in out}
+    for hot in (0, 200):
+        monkeypatch.setattr(word_lm, "HOT", hot)
+        assert {(x.doc_id, round(x.word_bits, 3)) for x in quality_lm.classify(df, trusted).collect()} == want
+
+
+def test_word_model_matches_brute_force(spark):
+    m = word_lm
+    texts, spell = ["a b a c", "b a b", "c c a b a b", ""], lambda: lambda names: np.array([4.0 + len(w) for w in names])
+    model, per_word = m.train(spark.createDataFrame([(t,) for t in texts], "text string"), spell, lambda x: [0.5, 0.7, 0.9])
+    pairs = Counter(p for t in texts for p in zip(["<s>", *t.split()], t.split()))
+    uni, off = Counter(w for _, w in pairs), lambda n: [0.5, 0.7, 0.9][min(n, 3) - 1]
+    n1, l0 = sum(uni.values()), sum(map(off, uni.values())) / sum(uni.values())
+    p1 = lambda w: (max(uni[w] - off(uni[w]), 0) / n1 if uni[w] else 0) + l0 * 2 ** -(4.0 + len(w))
+
+    def p2(u, w):
+        own = {k: n for k, n in pairs.items() if k[0] == u}
+        total = sum(own.values())
+        return p1(w) if not own else (max(own[u, w] - off(own[u, w]), 0) if (u, w) in own else 0) / total + sum(map(off, own.values())) / total * p1(w)
+
+    for r in m.score(spark.createDataFrame([(t,) for t in [*texts, "b c zz a", "zz zz"]], "text string"), model, per_word, spell, "text").collect():
+        w = r.text.split()
+        assert r.word_chars == sum(len(x) + 1 for x in w) and abs(r.word_bits + sum(math.log2(p2(u, x)) for u, x in zip(["<s>", *w], w))) < 1e-4
+
+
 # 6
 
 def fill(budget, kids):
