@@ -1,9 +1,12 @@
 """Licence scans: Dice coefficient over word bigrams between normalised text and licence templates.
 
-A document is compared unit by unit: the whole text, each line, and each sentence of a line. Words are
-runs of letters and digits in lower case; a unit is its set of word bigrams (a single word stands for
-itself). With sizes a and b the coefficient is at most 2 min(a, b) / (a + b), so only templates whose
-size lies between a t / (2 - t) and a (2 - t) / t can reach the threshold t; others are not compared.
+Words are runs of letters and digits in lower case. A template is compared with every window of a
+document's words, wherever lines and sentences end; a window is its set of word bigrams (a single word
+stands for itself). A window that reaches the threshold counts unless it overlaps one of a higher
+coefficient that counts, so the closest wording of a passage names its licence. With sizes a and b the
+coefficient is at most 2 min(a, b) / (a + b), so only windows whose size lies between b t / (2 - t) and
+b (2 - t) / t can reach the threshold t. Cutting bigrams that the template lacks off a window's ends never
+lowers its coefficient, so only windows that start and end with one of the template's are compared.
 
 Defined cases: a null or empty text matches nothing; null ids, repeated rows and other columns are
 judged row by row and ignored; ties go to the template that sorts first; an empty table gives an
@@ -13,9 +16,11 @@ empty result. Texts are compared whole, however long.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +55,6 @@ TEMPLATES = [
 PERMISSIVE = {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "MIT", "Unlicense"}
 
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def bigrams(text: str) -> set:
@@ -69,7 +73,7 @@ class Matcher:
         self.threshold = threshold
         self.sets = sorted(((len(bigrams(t)), name, bigrams(t)) for name, t in templates), key=lambda x: x[:2])
         self.sizes = [x[0] for x in self.sets]
-        self.least, self.most = self.bounds(self.sizes[0])[0], self.bounds(self.sizes[-1])[1]
+        self.every = frozenset().union(*(x[2] for x in self.sets))
 
     def bounds(self, size: int) -> tuple[float, float]:
         ratio = self.threshold / (2 - self.threshold)
@@ -82,22 +86,41 @@ class Matcher:
         most = max((d for _, d in found), default=0.0)
         return [(name, d) for name, d in found if d == most >= self.threshold]
 
+    def windows(self, pairs: list, at: list[int], name: str, own: set) -> Iterator[tuple[float, int, int, str]]:
+        """Coefficient, first and last bigram of the windows that match a template, whose bigrams are at `at`."""
+        least, most = self.bounds(len(own))
+        for i, start in enumerate(at):
+            if len(at) - i < least:
+                return
+            seen, both, k = set(), 0, start
+            for end in at[i:]:
+                while k <= end:
+                    if pairs[k] not in seen:
+                        seen.add(pairs[k])
+                        both += pairs[k] in own
+                    k += 1
+                if len(seen) > most:
+                    break
+                d = 2 * both / (len(seen) + len(own))
+                if d >= self.threshold:
+                    yield d, start, end, name
+
     def scan(self, text: str) -> dict[str, float]:
-        """Best coefficient of each licence over all units of the text."""
+        """Best coefficient of each licence over the windows of the text that count."""
+        words = _WORD.findall(text.lower())
+        hits = self.every.intersection(zip(words, words[1:]))
+        todo = [(name, own) for size, name, own in self.sets if len(hits) >= self.bounds(size)[0] <= len(own & hits)]
         best: dict[str, float] = {}
-        units = [text]
-        if "\n" in text or _SENTENCE.search(text):
-            for line in text.split("\n"):
-                parts = _SENTENCE.split(line)
-                units += [line, *parts] if len(parts) > 1 else [line]
-        for unit in units:
-            # A unit of n characters has at most n / 2 words; one of fewer bigrams than any bound matches nothing.
-            if len(unit) < 2 * self.least:
-                continue
-            found = bigrams(unit)
-            if self.least <= len(found) <= self.most:
-                for name, d in self.match(found):
+        if todo:
+            pairs = list(zip(words, words[1:]))
+            near = [k for k, p in enumerate(pairs) if p in hits]
+            found = [w for name, own in todo for w in self.windows(pairs, [k for k in near if pairs[k] in own], name, own)]
+            taken = np.zeros(len(pairs), bool)  # by windows of a higher coefficient
+            for _, same in itertools.groupby(sorted(found, key=lambda w: -w[0]), key=lambda w: w[0]):
+                free = [w for w in same if not taken[w[1] : w[2] + 1].any()]
+                for d, start, end, name in free:
                     best[name] = max(best.get(name, 0.0), d)
+                    taken[start : end + 1] = True
         return best
 
 

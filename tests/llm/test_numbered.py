@@ -449,6 +449,43 @@ def test_licenses(spark, edge, none):
     assert licenses.scan(edge).where("licences IS NULL").count() == len(EDGE) and licenses.scan(none).count() == 0
 
 
+def test_license_inside_a_long_document(spark):
+    """Wrapped, commented and run on licences within other text."""
+    mit, gpl = licenses.TEMPLATES[21][1], licenses.TEMPLATES[15][1]
+    cut = lambda t, n, mark="": "\n".join(mark + " ".join(w[i : i + n]) for w in [t.split()] for i in range(0, len(w), n))
+    inside = [cut(mit, 12), cut(gpl, 9, "# "), mit, cut(gpl, 5, " * ")]
+    rows = [(i, f"{words(300, i)}\n{t} {words(300, 50 + i)}", None, None, None) for i, t in enumerate(inside)]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: "MIT", 1: "GPL-3.0", 2: "MIT", 3: "GPL-3.0"}
+
+
+def test_license_windows_equal_brute_force():
+    r, found = random.Random(5), 0
+    short = [t for t in licenses.TEMPLATES if len(t[1].split()) < 30]
+    m = licenses.Matcher(short, 0.8)
+    for _ in range(60):
+        w = words(20, r.randrange(10**6)).split()
+        for _ in range(r.randrange(1, 4)):
+            t = r.choice(short)[1].split()
+            for _ in range(r.randrange(3)):
+                t[r.randrange(len(t))] = r.choice(["other", "license", "the"])
+            k = r.randrange(len(w))
+            w[k:k] = t
+        text = " ".join(w)
+        pairs = list(zip(*[re.findall(r"[^\W_]+", text.lower())[k:] for k in (0, 1)]))
+        every = [(licenses.dice(set(pairs[i:j]), s), i, j, n) for _, n, s in m.sets for i in range(len(pairs)) for j in range(i + 1, min(len(pairs), i + 3 * len(s)) + 1)]
+        want, counted = {}, []
+        for d, i, j, n in sorted((x for x in every if x[0] >= 0.8), key=lambda x: -x[0]):
+            # A window with idle ends is the same match as the one without them.
+            own = [s for _, name, s in m.sets if name == n]
+            if any(pairs[i] in s and pairs[j - 1] in s and licenses.dice(set(pairs[i:j]), s) == d for s in own) and not any(a < j and i < b and e > d for e, a, b in counted):
+                want[n] = max(want.get(n, 0), d)
+                counted.append((d, i, j))
+        assert m.scan(text) == want
+        found += len(want)
+    assert found > 60
+
+
 def test_license_bounds_prune_nothing_that_matches():
     m, r = licenses.Matcher(licenses.TEMPLATES, 0.8), random.Random(4)
     for _ in range(300):
