@@ -10,8 +10,9 @@ Rows with the same words are one node, so exact copies cost one sketch and no pa
 consistent weighted samples form 12 bands of 4. In a bucket all nodes are compared with a leader;
 where the other nodes are not one class by then, those outside the leader's class are compared with
 all nodes of other classes, block by block. So every pair of a bucket is compared or already in one
-class, no bucket is capped, and a bucket of copies costs only its size. Links have a weighted Jaccard similarity of `similarity` or
-more; classes are their connected components, named by the smallest id.
+class, no bucket is capped, and a bucket of copies costs only its size. Links have a Jaccard similarity of `similarity` or
+more, weighted or plain, so that a pair of a large family, whose shared shingles weigh less, is judged as
+one of a small family is; classes are their connected components, named by the smallest id.
 
 Defined cases: a null text counts as empty; texts without words are classes by equal text; rows with
 a null id belong to a class but do not name it, and class_id is null where all ids are; rows that
@@ -123,10 +124,11 @@ def bands(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
-    """Weighted Jaccard of two sorted shingle sets."""
+    """The greater of weighted and plain Jaccard of two sorted shingle sets."""
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     both = float(np.minimum(wa[i], wb[j]).sum(dtype=np.float64))
-    return both / max(1e-9, float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - both)
+    weighted = both / max(1e-9, float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - both)
+    return max(weighted, len(i) / max(1, len(ha) + len(hb) - len(i)))
 
 
 def idf_weights(docs: DataFrame, theta: float) -> np.ndarray:
@@ -198,11 +200,11 @@ def _features(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
 
 
 def block_similarity(us: list[tuple[np.ndarray, np.ndarray]], vs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Weighted Jaccard of all pairs of two blocks, as sums of matrix products over shared shingles."""
+    """`similarity` of all pairs of two blocks, as sums of matrix products over shared shingles."""
     flat = lambda side: (np.concatenate([h for h, _ in side]), np.repeat(np.arange(len(side)), [len(h) for h, _ in side]), np.concatenate([w for _, w in side]))
     (hu, iu, wu), (hv, iv, wv) = flat(us), flat(vs)
     common = np.intersect1d(hu, hv)
-    both = np.zeros((len(us), len(vs)))
+    both, plain = np.zeros((len(us), len(vs))), np.zeros((len(us), len(vs)))
     if len(common):
         (cu, iu, wu_), (cv, iv, wv_) = ((np.searchsorted(common, h[m]), i[m], w[m]) for h, i, w in ((hu, iu, wu), (hv, iv, wv)) for m in [np.isin(h, common)])
         low, high = np.full(len(common), np.inf), np.zeros(len(common))
@@ -216,12 +218,18 @@ def block_similarity(us: list[tuple[np.ndarray, np.ndarray]], vs: list[tuple[np.
                 m = (c >= at) & (c < at + 4096) & even[c]
                 side[i[m], c[m] - at] = np.sqrt(low[c[m]])
             both += a @ b.T
+            a, b = np.zeros((len(us), 4096), np.float32), np.zeros((len(vs), 4096), np.float32)
+            for side, c, i in ((a, cu, iu), (b, cv, iv)):
+                m = (c >= at) & (c < at + 4096)
+                side[i[m], c[m] - at] = 1
+            plain += a @ b.T
         for c in np.flatnonzero(~even):
             a, b = np.zeros(len(us)), np.zeros(len(vs))
             a[iu[cu == c]], b[iv[cv == c]] = wu_[cu == c], wv_[cv == c]
             both += np.minimum.outer(a, b)
     total = np.array([w.sum(dtype=np.float64) for _, w in us])[:, None] + np.array([w.sum(dtype=np.float64) for _, w in vs])[None, :]
-    return both / np.maximum(total - both, 1e-9)
+    sizes = np.array([len(h) for h, _ in us])[:, None] + np.array([len(h) for h, _ in vs])[None, :]
+    return np.maximum(both / np.maximum(total - both, 1e-9), plain / np.maximum(sizes - plain, 1))
 
 
 def _compared(open_: DataFrame, features: DataFrame, least: float) -> DataFrame:
