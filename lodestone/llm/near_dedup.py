@@ -16,7 +16,7 @@ one of a small family is; classes are their connected components, named by the s
 
 Defined cases: a null text counts as empty; texts without words are classes by equal text; rows with
 a null id belong to a class but do not name it, and class_id is null where all ids are; rows that
-repeat an id are judged by their own text; an empty table gives an empty result; other columns are
+repeat an id are judged by their own text; `drop_near_copies` keeps exactly one row of each class; an empty table gives an empty result; other columns are
 ignored by `classes` and kept by `drop_near_copies`.
 """
 
@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, features: DataFrame, least: float) -> DataFrame:
 
 
 def _sketches(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, node, keys for every row; no keys for a text of no words."""
+    """doc_id, h1, h2, node, keys for every row of docs; no keys for a text of no words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, last = shared.value, (b"", [])
         for batch in batches:
@@ -177,10 +177,10 @@ def _sketches(docs: DataFrame, shared) -> DataFrame:
                     last = node, (bands(*weigh(h, idf)).view(np.int64).tolist() if len(h) else [])
                 nodes.append(node)
                 keys.append(last[1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "node", "keys"])
             trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, keys array<long>")
+    return docs.select("doc_id", "text", "h1", "h2").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, node binary, keys array<long>")
 
 
 def _features(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
@@ -283,29 +283,47 @@ def _search(members: DataFrame, features: DataFrame, least: float) -> DataFrame
     return materialize(links.unionByName(more), "links")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, theta: float = 0.01) -> DataFrame:
-    """doc_id, class_id, kept for every row of `df`."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(idf_weights(docs, theta))
-    sketches = materialize(_sketches(docs, shared), "sketches")
-    nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("rows"), F.any_value("keys").alias("keys")), "nodes")
+def _labelled(docs: DataFrame, similarity: float, theta: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text hashes h1 and h2, and node of every row of docs(doc_id, text); node, rep_id, rows, top
+    (its first row by id, null last, and text) and label (one per class) of every node."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf_weights(docs, theta))
+    sketches = materialize(_sketches(docs.withColumns(_text_hashes("text")), shared), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "h1", "h2")
+    nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("rows"), F.any_value("keys").alias("keys"), F.min(first).alias("top")), "nodes")
     buckets = nodes.select(F.explode("keys").alias("key"), "node", "rows")
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialize(buckets.join(full, "key"), "members")
     wanted = nodes.select("rep_id", "node").join(members.select("node").distinct(), "node", "left_semi")
     features = materialize(_features(docs, wanted, shared), "features")
     links = _search(members, features, similarity)
-    named = nodes.select("node", "rep_id", "rows")
+    named = nodes.select("node", "rep_id", "rows", "top")
     if links is None:
-        named = named.select("node", F.col("rep_id").alias("class_id"), "rows")
-    else:
-        labels = materialize(components(links), "labels")
-        names = labels.join(named, "node").groupBy("label").agg(F.min("rep_id").alias("_name"))
-        named = named.join(labels.join(names, "label").select("node", "_name", F.lit(True).alias("_in")), "node", "left").select("node", F.when(F.col("_in"), F.col("_name")).otherwise(F.col("rep_id")).alias("class_id"), "rows")
-    return join_groups(sketches.select("doc_id", "node"), materialize(named, "classes"), ["node"], "rows", sketches.count()).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        return sketches, named.withColumn("label", F.col("node"))
+    labels = materialize(components(links), "labels")
+    return sketches, materialize(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+
+def _text_hashes(text: str) -> dict:
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+
+
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, theta: float = 0.01) -> DataFrame:
+    """doc_id, class_id, kept for every row of `df`."""
+    sketches, nodes = _labelled(_docs(df, id_col, text_col), similarity, theta)
+    names = nodes.groupBy("label").agg(F.min("rep_id").alias("class_id"))
+    named = materialize(nodes.select("node", "label", "rows").join(names, "label").select("node", "class_id", "rows"), "classes")
+    return join_groups(sketches.select("doc_id", "node"), named, ["node"], "rows", sketches.count()).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, theta: float = 0.01) -> DataFrame:
-    """The rows of `df` whose id names their class, and rows without an id."""
-    gone = materialize(classes(df, id_col, text_col, similarity, theta).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of `df` of each class: of the smallest id, where rows with a null id come last, then by text."""
+    _, nodes = _labelled(_docs(df, id_col, text_col), similarity, theta)
+    tops = materialize(nodes.groupBy("label").agg(F.min("top").alias("top")).select(F.col("top.doc_id").alias("_id"), F.col("top.h1").alias("_h1"), F.col("top.h2").alias("_h2")), "tops")
+    own = {f"_own_{k}": h for k, h in _text_hashes("_own").items()}
+    rows = df.withColumn("_own", F.coalesce(F.col(text_col), F.lit(""))).withColumns(own).drop("_own")
+    kept = rows.join(tops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_h1") == F.col("_h1")) & (F.col("_own_h2") == F.col("_h2")), "left_semi")
+    return kept.dropDuplicates([id_col, "_own_h1", "_own_h2"]).drop("_own_h1", "_own_h2")

@@ -363,6 +363,16 @@ def test_near_dedup_finds_plain_copies(spark, none):
     assert near_dedup.classes(none).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Repeated ids with different texts, null ids and equal rows."""
+    a, b, c = (words(100, 300 + k) for k in range(3))
+    rows = [(5, a), (9, a + " more"), (5, b), (3, b + " more"), (None, c), (None, c + " more"), (None, c), (7, "x y"), (7, "x y"), (7, "X y!"), (8, None), (8, "")]
+    kept = near_dedup.drop_near_copies(clash(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS), "h1", "top"))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 5 and {(5, a), (3, b + " more")} <= set(got)
+    assert sorted((r for r in got if r[1] not in (a, b + " more")), key=str)[0][0] == 7 and [i for i, t in got if t and t.startswith(c)] == [None] and [i for i, t in got if not t] == [8]
+
+
 def test_near_copies_of_a_large_family_are_linked(spark):
     """Pairs of plain Jaccard 0.80 to 0.87 with one text, which is in a third of the rows."""
     base, rows = words(400, 77).split(), []
