@@ -137,3 +137,11 @@ def test_models(spark):
 
     assert {r.output for r in models.generate(df, "t", broken, fallback="none").collect()} == {"none"}
     assert all(abs(sum(x * x for x in r.embedding) - (1 if r.t else 0)) < 1e-5 for r in models.encode(df, "t", models.stub_vector(4)).collect())
+
+
+def test_question_columns_are_bounded(spark):
+    from lodestone.plans.training import question_columns
+
+    rows = question_columns(spark.range(3500).selectExpr("id AS item_id", "concat('q', id) AS text")).collect()
+    assert len(rows) == 4 and max(len(r.context) for r in rows) <= 1000
+    assert sorted((q, c) for r in rows for q, c in zip(r.question, r.context)) == sorted((f"q{i}", i) for i in range(3500))
