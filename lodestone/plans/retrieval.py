@@ -104,10 +104,10 @@ def _ranks(spark, d):
     """The rank of each query's best other vector of its label. The rank is the number of better rows,
     so no ranking of all rows is sorted: scores are counted against the target's."""
     vecs = _vecs(spark, d)
-    queries = F.broadcast(_queries(vecs, "label").withColumnRenamed("label", "wanted").limit(rt.BLOCK))
-    scores = materialize(vecs.select("vec_id", "v", "label").join(queries, F.col("vec_id") >= 0).select("query_id", "vec_id", "label", "wanted", F.round(vx.dot(F.col("v"), F.col("q")), 6).alias("score")), "scores")
+    queries = _queries(vecs, "label").withColumnRenamed("label", "wanted")
+    scores = materialize(vecs.select("vec_id", "v", "label").crossJoin(queries).select("query_id", "vec_id", "label", "wanted", F.round(vx.dot(F.col("v"), F.col("q")), 6).alias("score")), "scores")
     target = scores.where("label = wanted AND vec_id <> query_id").groupBy("query_id", "wanted").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id"))).alias("t"))
-    ahead = scores.drop("wanted").join(F.broadcast(target), "query_id").where((-F.col("score") < F.col("t.s")) | ((-F.col("score") == F.col("t.s")) & (F.col("vec_id") <= F.col("t.id"))))
+    ahead = scores.drop("wanted").join(target, "query_id").where((-F.col("score") < F.col("t.s")) | ((-F.col("score") == F.col("t.s")) & (F.col("vec_id") <= F.col("t.id"))))
     return ahead.groupBy("query_id", F.col("wanted").alias("label")).agg(F.count(F.lit(1)).alias("target_rank"))
 
 

@@ -145,3 +145,10 @@ def test_question_columns_are_bounded(spark):
     rows = question_columns(spark.range(3500).selectExpr("id AS item_id", "concat('q', id) AS text")).collect()
     assert len(rows) == 4 and max(len(r.context) for r in rows) <= 1000
     assert sorted((q, c) for r in rows for q, c in zip(r.question, r.context)) == sorted((f"q{i}", i) for i in range(3500))
+
+
+def test_ranks_take_every_query(spark, monkeypatch):
+    from lodestone.plans.retrieval import target_rank
+
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    assert target_rank(spark, "/root/testdata/sf0.001").select("query_id").distinct().count() == 20
