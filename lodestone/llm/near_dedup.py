@@ -10,14 +10,15 @@ Rows with the same words are one node, so exact copies cost one sketch and no pa
 consistent weighted samples form 12 bands of 4. In a bucket all nodes are compared with a leader;
 where the other nodes are not one class by then, those outside the leader's class are compared with
 all nodes of other classes, block by block. So every pair of a bucket is compared or already in one
-class, no bucket is capped, and a bucket of copies costs only its size. Links have a Jaccard similarity of `similarity` or
-more, weighted or plain, so that a pair of a large family, whose shared shingles weigh less, is judged as
-one of a small family is; classes are their connected components, named by the smallest id.
+class, no bucket is capped, and a bucket of copies costs only its size. A pair of blocks is one row, dealt
+by bucket and block. Links have a Jaccard similarity of `similarity` or more, weighted or plain, so that a
+pair of a large family, whose shared shingles weigh less, is judged as one of a small family is; classes
+are their connected components, named by the smallest id.
 
 Defined cases: a null text counts as empty; texts without words are classes by equal text; rows with
 a null id belong to a class but do not name it, and class_id is null where all ids are; rows that
-repeat an id are judged by their own text; `drop_near_copies` keeps exactly one row of each class; an empty table gives an empty result; other columns are
-ignored by `classes` and kept by `drop_near_copies`.
+repeat an id are judged by their own text; `drop_near_copies` keeps exactly one row of each class; an empty
+table gives an empty result; other columns are ignored by `classes` and kept by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -184,18 +185,20 @@ def _sketches(docs: DataFrame, shared) -> DataFrame:
 
 
 def _features(docs: DataFrame, wanted: DataFrame, shared) -> DataFrame:
-    """node, h, w of the wanted nodes (rep_id, node): sorted 32-bit shingle hashes and weights."""
+    """node, h, w of the wanted nodes (node, top: the row to read): sorted 32-bit shingle hashes and weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for wants, (h, node) in zip(batch.column("node").to_pylist(), shingles(batch.column("text"))):
-                if node == wants:  # else another text under the same id
+                if node == wants:
                     h, w = weigh(h, shared.value)
                     short, first = np.unique((h >> np.uint64(14)).astype(np.uint32), return_index=True)
                     out.append((node, short.tobytes(), w[first].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(3)], names=["node", "h", "w"])
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep_id"])).select("node", "text")
+    rows = docs.withColumns(_text_hashes("text"))
+    wanted = wanted.select("node", F.col("top.doc_id").alias("id"), F.col("top.h1").alias("k1"), F.col("top.h2").alias("k2"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("node", "text")
     return texts.mapInArrow(run, "node binary, h binary, w binary").dropDuplicates(["node"])
 
 
@@ -236,14 +239,20 @@ def _compared(open_: DataFrame, features: DataFrame, least: float) -> DataFrame:
     """Links between the nodes outside their bucket's main class and all nodes of other classes, from
     open_(key, node, label, main). Buckets are cut into blocks by a hash, so a task holds two blocks
     whatever the bucket's size; of a node's links into one class and block the first is enough."""
-    full = open_.join(features, "node").select("key", "label", "main", F.struct("node", "label", "h", "w").alias("x"), F.octet_length("h").alias("size"))
-    need = lambda rows: rows.groupBy("key").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK)).alias("blocks"))
+    full = materialize(open_.join(features, "node").select("key", "label", "main", F.struct("node", "label", "h", "w").alias("x"), F.octet_length("h").alias("size")), "open")
+    total = full.count()
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        placed = rows.join(need(rows), "key").withColumn("block", F.pmod(F.xxhash64("x.node"), F.col("blocks")))
-        return placed.groupBy("key", "block").agg(F.collect_list("x").alias(name)).select("key", name)
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        need = rows.groupBy("key").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK)).alias("blocks"), F.count(F.lit(1)).alias("n"))
+        need = materialize(need, "blocks")
+        # A bucket may hold most rows, so they are dealt by bucket and block, never by bucket alone.
+        placed = join_groups(rows.select("key", "x"), need, ["key"], "n", total).withColumn("block", F.pmod(F.xxhash64("x.node"), F.col("blocks")))
+        return placed.repartition("key", "block").groupBy("key", "block").agg(F.collect_list("x").alias(name)), need
 
-    pairs = blocks(full.where("label <> main"), "us").join(blocks(full, "vs"), "key").select("us", "vs")
+    us, _ = blocks(full.where("label <> main"), "us")
+    vs, need = blocks(full, "vs")
+    wide = us.select("key", "us").join(need.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "key")
+    pairs = wide.join(vs, ["key", "block"]).select("us", "vs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = lambda x: [(np.frombuffer(y["h"], np.uint32), np.frombuffer(y["w"], np.float32)) for y in x]
@@ -293,7 +302,7 @@ def _labelled(docs: DataFrame, similarity: float, theta: float) -> tuple[DataFra
     buckets = nodes.select(F.explode("keys").alias("key"), "node", "rows")
     full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialize(buckets.join(full, "key"), "members")
-    wanted = nodes.select("rep_id", "node").join(members.select("node").distinct(), "node", "left_semi")
+    wanted = nodes.select("top", "node").join(members.select("node").distinct(), "node", "left_semi")
     features = materialize(_features(docs, wanted, shared), "features")
     links = _search(members, features, similarity)
     named = nodes.select("node", "rep_id", "rows", "top")
