@@ -4,8 +4,9 @@ A token budget is propagated from the root: siblings share their parent's budget
 its capacity (its tokens times `max_epochs`). What a child cannot use goes to its siblings first; only
 what all of them cannot use stays with the ancestors, whose siblings then share it. A leaf with budget
 b over t tokens takes every document floor(b / t) times and, of the next epoch's seeded order, the
-token-prefix that fits the rest. The prefix is found from sums over bins of the order, so only the
-bin where it ends is sorted, and it is kept as one cut per leaf: no leaf is collected anywhere.
+token-prefix that fits the rest. The prefix's end is found digit pair by digit pair of the places in the
+order: each step sums at most 256 bins of a leaf, and only the last bin of a few rows is sorted. It is kept
+as one cut per leaf: no leaf is collected anywhere, and a leaf of most rows costs a task no more than others.
 
 Defined cases: null domain, language or source is the empty name; a text counts as
 max(1, ceil(bytes / 4)) tokens; rows that repeat an id stand at one place of the order and are taken
@@ -21,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.llm.skew import join_groups
 from lodestone.tables import materialize
 
 LEVELS = ("domain", "lang", "source")
-#: Rows of one bin of a leaf's order, about.
-BIN_ROWS = 20_000
+#: Rows of the bin of a leaf's order that is sorted, about.
+BIN_ROWS = 64
+#: Leaves whose table is broadcast; more meet their rows by shuffles, the hot ones still by broadcast.
+FEW_LEAVES = 100_000
 
 
 def domain_of(source: Column, n: int = 4) -> Column:
@@ -48,8 +52,8 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 
 def budgets(rows: DataFrame, weights: dict[str, dict[str, float]], fraction: float, max_epochs: int) -> DataFrame:
-    """domain, lang, source, tokens, budget of every leaf of rows(domain, lang, source, tokens)."""
-    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
+    """domain, lang, source, tokens, n (rows), budget of every leaf of rows(domain, lang, source, tokens)."""
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
     capacity = lambda *by: leaves.groupBy(*by).agg((F.sum("tokens") * max_epochs).cast("double").alias("capacity"))
     root = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * fraction).cast("double")).first()[0]
     given = capacity("domain").withColumn("root", F.lit(0)).withColumn("weight", _weight("domain", weights)).withColumn("given", F.lit(root))
@@ -70,26 +74,39 @@ def _place(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def cuts(rows: DataFrame, weights: dict[str, dict[str, float]], fraction: float, max_epochs: int, seed: int) -> DataFrame:
-    """Per leaf: tokens, budget, whole epochs, and the last place of the next epoch that is taken."""
+def _meet(rows: DataFrame, leaves: DataFrame, n_leaves: int, total: int) -> DataFrame:
+    """rows joined with leaves(domain, lang, source, n, ..)."""
+    return rows.join(F.broadcast(leaves), list(LEVELS)) if n_leaves <= FEW_LEAVES else join_groups(rows, leaves, list(LEVELS), "n", total)
+
+
+def cuts(rows: DataFrame, weights: dict[str, dict[str, float]], fraction: float, max_epochs: int, seed: int) -> tuple[DataFrame, int, int]:
+    """Per leaf: n, budget, whole epochs, and the last place of the next epoch that is taken; the numbers of leaves and rows."""
     leaves = materialize(budgets(rows, weights, fraction, max_epochs).withColumn("epochs", F.expr("budget div tokens")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
-    digits = 1
-    while 16**digits * BIN_ROWS < rows.count():
-        digits += 1
-    placed = rows.join(leaves.drop("tokens"), list(LEVELS)).withColumn("place", _place(F.col("doc_id"), F.col("epochs"), seed)).withColumn("bin", F.substring("place", 1, digits))
-    sums = placed.groupBy(*LEVELS, "bin", "rest").agg(F.sum("tokens").alias("n"))
-    sums = sums.withColumn("start", F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bin")) - F.col("n"))
-    last = materialize(sums.where("start <= rest AND rest < start + n").select(*LEVELS, "bin", "start"), "bins")
-    inside = placed.join(last, [*LEVELS, "bin"]).withColumn("upto", F.col("start") + F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("place")))
-    ends = inside.where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("end"))
-    return materialize(leaves.join(last.select(*LEVELS, "bin"), list(LEVELS), "left").join(ends, list(LEVELS), "left").select(*LEVELS, "budget", "epochs", F.coalesce("end", "bin").alias("cut")), "cuts")
+    n_leaves, total, most = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    placed = _meet(rows, leaves.drop("tokens", "budget"), n_leaves, total).select(*LEVELS, "tokens", _place(F.col("doc_id"), F.col("epochs"), seed).alias("place"))
+    placed = materialize(placed, "placed")
+    at, digits = leaves.select(*LEVELS, "n", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before")), 0
+    inside = lambda: _meet(placed, at, n_leaves, total).where(F.startswith("place", "prefix"))
+    while True:
+        digits += 2
+        sums = inside().groupBy(*LEVELS, "n", "rest", "before", F.substring("place", 1, digits).alias("bin")).agg(F.sum("tokens").alias("own"))
+        sums = sums.withColumn("start", F.col("before") + F.sum("own").over(W.partitionBy(*LEVELS).orderBy("bin")) - F.col("own"))
+        at = materialize(sums.where("start <= rest AND rest < start + own").select(*LEVELS, "n", "rest", F.col("bin").alias("prefix"), F.col("start").alias("before")), "bins")
+        if 16**digits * BIN_ROWS >= most:
+            break
+    # Rows that share a place, as those without id do, are one row here.
+    last = inside().groupBy(*LEVELS, "rest", "before", "place").agg(F.sum("tokens").alias("own"))
+    last = last.withColumn("upto", F.col("before") + F.sum("own").over(W.partitionBy(*LEVELS).orderBy("place")))
+    ends = last.where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("end"))
+    found = leaves.join(at.select(*LEVELS, "prefix"), list(LEVELS), "left").join(ends, list(LEVELS), "left")
+    return materialize(found.select(*LEVELS, "n", "budget", "epochs", F.coalesce("end", "prefix").alias("cut")), "cuts"), n_leaves, total
 
 
 def decide(df: DataFrame, weights: dict[str, dict[str, float]], fraction: float = 0.5, max_epochs: int = 2, seed: int = 42, domain: Column | None = None,
            id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, domain, lang, source, tokens, budget (of the leaf) and copies for every row of `df`."""
-    rows = _rows(df, id_col, text_col, lang_col, source_col, domain)
-    taken = rows.join(cuts(rows, weights, fraction, max_epochs, seed), list(LEVELS))
+    rows = materialize(_rows(df, id_col, text_col, lang_col, source_col, domain), "sizes")
+    taken = _meet(rows, *cuts(rows, weights, fraction, max_epochs, seed))
     copies = F.col("epochs") + F.coalesce(_place(F.col("doc_id"), F.col("epochs"), seed) <= F.col("cut"), F.lit(False)).cast("long")
     return taken.select("doc_id", *LEVELS, "tokens", "budget", copies.alias("copies"))
 
@@ -97,7 +114,9 @@ def decide(df: DataFrame, weights: dict[str, dict[str, float]], fraction: float
 def select(df: DataFrame, weights: dict[str, dict[str, float]], fraction: float = 0.5, max_epochs: int = 1, seed: int = 42, domain: Column | None = None,
            id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of `df`, each as often as the mix takes it."""
-    limits = cuts(_rows(df, id_col, text_col, lang_col, source_col, domain), weights, fraction, max_epochs, seed).select(*[F.col(c).alias(f"_{c}") for c in (*LEVELS, "epochs", "cut")])
+    limits, n_leaves, _ = cuts(materialize(_rows(df, id_col, text_col, lang_col, source_col, domain), "sizes"), weights, fraction, max_epochs, seed)
+    limits = limits.select(*[F.col(c).alias(f"_{c}") for c in (*LEVELS, "epochs", "cut")])
+    limits = F.broadcast(limits) if n_leaves <= FEW_LEAVES else limits
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keys = zip(LEVELS, (domain_of(F.col(source_col)) if domain is None else domain, F.col(lang_col), F.col(source_col)))
     taken = df.join(limits, reduce(lambda a, b: a & b, [name(c) == F.col(f"_{k}") for k, c in keys]))
