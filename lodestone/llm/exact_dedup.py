@@ -54,12 +54,17 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that stay, all columns unchanged: the one with the smallest id of each text."""
-    groups = _groups(_digests(df, id_col, text_col)).select(F.col("h").alias("_kept_h"), F.col("sha").alias("_kept_sha"), F.col("keep_id").alias("_kept_id"))
-    norm = normalised(df[text_col])
-    hashed = df.withColumn("_row_h", F.unhex(F.md5(norm))).withColumn("_row_sha", F.unhex(F.sha2(norm, 256)))
-    stay = hashed.join(groups, (F.col("_row_h") == F.col("_kept_h")) & (F.col("_row_sha") == F.col("_kept_sha")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return stay.dropDuplicates(["_row_h", "_row_sha"]).drop("_row_h", "_row_sha")
+    """The rows of `df` that stay, all columns unchanged: the one with the smallest id of each text. One
+    aggregation by hash and text: texts move once, copies collapse before they do, and the text in the key
+    compares the bytes. A row carries its own text only where that differs from the normalised one."""
+    others = [c for c in df.columns if c != text_col]
+    text = F.col("_text")
+    rows = df.select(F.struct(*others).alias("_others"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_norm", normalised(text))
+    own = F.struct("_others", F.when(text != F.col("_norm"), text).alias("text"), text.isNull().alias("none"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.xxhash64("_others", "_text"))
+    kept = rows.groupBy(F.unhex(F.md5("_norm")).alias("_h"), "_norm").agg(F.min_by(own, order).alias("_own"))
+    whole = F.when(~F.col("_own.none"), F.coalesce("_own.text", "_norm"))
+    return kept.select(*[whole.alias(c) if c == text_col else F.col("_own._others").getField(c).alias(c) for c in df.columns])
 
 
 ORACLE = r"""
