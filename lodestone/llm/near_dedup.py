@@ -273,13 +273,14 @@ def _compared(open_: DataFrame, features: DataFrame, least: float) -> DataFrame:
 
 
 def _search(members: DataFrame, features: DataFrame, least: float) -> DataFrame | None:
-    """Links between nodes that share a bucket, from members(key, node, rows), enough of them for the
-    same components as all links have; None where no bucket has two nodes. A bucket's leader is the
-    node of most rows, then of the largest buckets, which tends to be the text that others derive from."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    central = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("central"))
-    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("rows", "central", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
-    followers = materialize(members.join(leaders, "key").where("node <> leader").select("key", "node", "leader"), "followers")
+    """Links between nodes that share a bucket, from members(key, node, rows, n: the bucket's nodes), enough of
+    them for the same components as all links have; None where no bucket has two nodes. A bucket's leader is
+    the node of most rows, then of the largest buckets, which tends to be the text that others derive from."""
+    total = members.count()
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("rows", "central", "node")).alias("top"), F.max("n").alias("n"))
+    leaders = materialize(leaders.select("key", F.col("top.node").alias("leader"), "n"), "leaders")
+    followers = materialize(join_groups(members.drop("n"), leaders, ["key"], "n", total).where("node <> leader").select("key", "node", "leader"), "followers")
     if followers.isEmpty():
         return None
     links = materialize(_verified(followers.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), features, least), "links")
@@ -287,8 +288,9 @@ def _search(members: DataFrame, features: DataFrame, least: float) -> DataFrame
     labels = materialize(components(links), "labels")
     named = followers.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "leader")
     named = named.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("main")), "leader", "left").select("key", "node", "label", F.coalesce("main", "leader").alias("main"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    more = _compared(materialize(named.join(mixed, "key"), "open"), features, least)
+    named = materialize(named, "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
+    more = _compared(join_groups(named, materialize(mixed, "mixed"), ["key"], "n", total).drop("n"), features, least)
     return materialize(links.unionByName(more), "links")
 
 
@@ -300,8 +302,8 @@ def _labelled(docs: DataFrame, similarity: float, theta: float) -> tuple[DataFra
     first = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "h1", "h2")
     nodes = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("rows"), F.any_value("keys").alias("keys"), F.min(first).alias("top")), "nodes")
     buckets = nodes.select(F.explode("keys").alias("key"), "node", "rows")
-    full = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(buckets.join(full, "key"), "members")
+    full = materialize(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = materialize(join_groups(buckets, full, ["key"], "n", BANDS * nodes.count()), "members")
     wanted = nodes.select("top", "node").join(members.select("node").distinct(), "node", "left_semi")
     features = materialize(_features(docs, wanted, shared), "features")
     links = _search(members, features, similarity)
