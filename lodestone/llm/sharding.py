@@ -1,74 +1,80 @@
 """Hierarchical weighted hash tree: region, rack and shard are drawn in turn by weighted hash draws.
 
-At each level a row goes to the child with the smallest -ln(u) / weight, where u comes from md5 of
-the id and the child's name and weight is the sum of the shards below it. A weight change moves rows
-only into or out of the subtrees on its path. `tree(n)` places the first 16 shards in two regions of
-two racks of four; every later shard opens a region of its own, so one more shard takes rows only
-into itself.
-
-Defined cases: null ids all draw like the id "null"; repeated ids share a shard; slots number the
-rows of a shard from 0 without gaps, ties in any order; a null text has size 1 and checksum 0; an
-empty table gives an empty result; other columns are ignored.
+A shard's draw for a row is -ln(u) / weight, where u comes from md5 of the id and the shard's number. A
+rack's draw is the least of its shards' and a region's the least of its racks': exponential with the sum of
+the weights below, as a draw of its own would be, but it changes only where a shard below it wins or loses.
+At each level a row goes to the child with the least draw. So a changed weight moves rows only into or out
+of the shard that has it, within the subtrees on its path, and one more shard takes rows only into itself,
+at every number of shards. The price is a draw per shard and row; one md5 gives two.
+
+Shards fill racks of `rack` shards, and racks fill regions of `region` racks, in the order of their numbers.
+
+Defined cases: null ids all draw like the id "null"; repeated ids share a shard; a shard of weight 0 takes
+no row; slots number the rows of a shard from 0 without gaps, in the order of a hash of id, size and
+checksum, then of these, equal rows in any order; a null text has size 1 and checksum 0; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that one task numbers, about.
 SLOT_ROWS = 50_000
+#: Shards of a rack, racks of a region.
+RACK, REGION = 4, 2
 
 
-def tree(n: int, weights: list[float] | None = None) -> dict[int, dict[int, dict[int, float]]]:
-    """Region -> rack -> shard -> weight."""
-    out: dict[int, dict[int, dict[int, float]]] = {}
-    for s in range(n):
-        region, rack = (s // 8, s // 4 % 2) if s < 16 else (2 + s - 16, 0)
-        out.setdefault(region, {}).setdefault(rack, {})[s] = float(weights[s]) if weights else 1.0
-    return out
-
-
-def _draw(key: Column, name: str, weight: float) -> Column:
-    """Exponential with rate `weight`: the smallest of several is each with the odds of its weight."""
-    u = (F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{name}"))), 1, 12), 16, 10).cast("double") + 1.0) / float(2**48 + 1)
-    return -F.log(u) / F.lit(weight)
+def draws(key: Column, weights: list[float]) -> Column:
+    """The draw of each shard: exponential with its weight as rate."""
+    out = []
+    for s, weight in enumerate(weights):
+        digits = F.substring(F.md5(F.concat(key, F.lit(f"/{s // 2}"))), 1 + 12 * (s % 2), 12)
+        u = (F.conv(digits, 16, 10).cast("double") + 1.0) / float(2**48 + 1)
+        out.append(-F.log(u) / F.lit(float(weight)) if weight > 0 else F.lit(float("inf")))
+    return F.array(*out)
 
 
-def _pick(key: Column, level: str, children: dict[int, float]) -> Column:
-    if len(children) == 1:
-        return F.lit(next(iter(children)))
-    return F.array_min(F.array(*[F.struct(_draw(key, f"{level}{c}", w).alias("draw"), F.lit(c).alias("child")) for c, w in children.items()]))["child"]
+def _least(children: list[tuple[Column, int]]) -> Column:
+    """The child of the least draw; ties to the smaller number."""
+    return F.array_min(F.array(*[F.struct(draw.alias("draw"), F.lit(number).alias("child")) for draw, number in children]))["child"]
 
 
-def _by(value: Column, options: dict[int, Column]) -> Column:
-    return reduce(lambda case, kv: case.when(value == kv[0], kv[1]), options.items(), F) if options else F.lit(None)
+def descend(drawn: Column, n: int, rack: int = RACK, region: int = REGION) -> Column:
+    """The shard, of the first `n`, that a row with these draws reaches from the root."""
+    parts = lambda first, last, size: [(k, max(first, k * size), min(last, (k + 1) * size)) for k in range(first // size, -(-last // size))]
+    under = lambda first, last: F.array_min(F.slice(drawn, first + 1, last - first))
 
+    def reach(first: int, last: int, sizes: list[int]) -> Column:
+        children = parts(first, last, sizes[0])
+        if len(sizes) == 1:
+            return _least([(drawn[k], k) for k, _, _ in children])
+        chosen = _least([(under(a, b), k) for k, a, b in children])
+        out = reach(*children[-1][1:], sizes[1:])
+        for k, a, b in reversed(children[:-1]):
+            out = F.when(chosen == k, reach(a, b, sizes[1:])).otherwise(out)
+        return out
 
-def shard_columns(df: DataFrame, key: Column, shards: dict, out: str) -> DataFrame:
-    """`df` with column `out`, the shard; descends one level a projection."""
-    total = lambda x: sum(total(y) for y in x.values()) if isinstance(x, dict) else x
-    df = df.withColumn("_region", _pick(key, "region", {r: total(x) for r, x in shards.items()}))
-    df = df.withColumn("_rack", _by(F.col("_region"), {r: _pick(key, f"region{r}/rack", {k: total(y) for k, y in x.items()}) for r, x in shards.items()}))
-    rack = F.col("_region") * 1000 + F.col("_rack")
-    df = df.withColumn(out, _by(rack, {r * 1000 + k: _pick(key, "shard", y) for r, x in shards.items() for k, y in x.items()}))
-    return df.drop("_region", "_rack")
+    return reach(0, n, [rack * region, rack, 1])
 
 
-def assign(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `df`."""
+def assign(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None, rack: int = RACK, region: int = REGION) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of `df`. The next shard has the
+    mean weight of those before."""
+    weights = list(weights or [1.0] * n_shards)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = shard_columns(rows, F.col("_key"), tree(n_shards, weights), "shard")
-    rows = shard_columns(rows, F.col("_key"), tree(n_shards + 1, weights and [*weights, sum(weights) / len(weights)]), "grown_shard")
+    rows = rows.withColumn("_draws", draws(F.col("_key"), [*weights, sum(weights) / len(weights)]))
+    rows = rows.withColumn("shard", descend(F.col("_draws"), n_shards, rack, region)).withColumn("grown_shard", descend(F.col("_draws"), n_shards + 1, rack, region))
     # Slots: rows are numbered inside bins of a shard, and each bin starts where those before it end.
     # Bins come from all that tells rows apart, so repeated ids spread as well as their texts do.
-    bins = max(8, -(-df.count() // (n_shards * SLOT_ROWS)))
-    rows = rows.withColumn("_bin", F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(bins)))
+    digits = 1
+    while 16**digits * n_shards * SLOT_ROWS < df.count():
+        digits += 1
+    rows = rows.withColumn("_bin", F.substring(F.md5(F.concat_ws("/", "_key", "size", "text_crc32")), 1, digits)).drop("_draws")
     sums = rows.groupBy("shard", "_bin").agg(F.count(F.lit(1)).alias("n"))
     starts = sums.withColumn("start", F.sum("n").over(W.partitionBy("shard").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))).select("shard", "_bin", F.coalesce("start", F.lit(0)).alias("start"))
     numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy("shard", "_bin").orderBy("doc_id", "text_crc32", "size")))

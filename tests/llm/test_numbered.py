@@ -419,7 +419,7 @@ def test_unresolved_buckets_lose_no_link(spark, monkeypatch):
     rows = [(10 * k + v, " ".join(words(80, 500 + k).split()[: 80 - v]), None, None, None) for k in range(9) for v in range(4)]
     features = [(bytes([k, v]), near_dedup.weigh(next(iter(near_dedup.shingles(pa.array([rows[4 * k + v][1]]))))[0], np.ones(near_dedup.FEATURES, np.float32))) for k in range(9) for v in range(4)]
     table = spark.createDataFrame([(n, bytes((h >> np.uint64(14)).astype(np.uint32)[np.argsort((h >> np.uint64(14)).astype(np.uint32))]), bytes(w)) for n, (h, w) in features], "node binary, h binary, w binary")
-    members = spark.createDataFrame([(0, n, 1) for n, _ in features], "key long, node binary, rows long")
+    members = spark.createDataFrame([(0, n, 1, len(features)) for n, _ in features], "key long, node binary, rows long, n long")
     links = near_dedup._search(members, table, 0.8)
     labels = {bytes(r.node): bytes(r.label) for r in graph.components(links).collect()}
     assert labels == {bytes([k, v]): bytes([k, 0]) for k in range(9) for v in range(4)}
@@ -462,31 +462,54 @@ def test_components(spark):
 
 # 8
 
-def test_sharding(spark, edge, none):
-    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
-    got = sharding.assign(clash(rows.unionByName(edge.select("doc_id", "text")), "size", "shard", "_bin")).collect()
-    slots = defaultdict(list)
-    texts = Counter((zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for t in [f"text {i}" for i in range(5000)] + [e[1] for e in EDGE])
-    assert Counter((r.text_crc32, r.size) for r in got) == texts
-    place = {}
-    for r in got:
-        slots[r.shard].append(r.slot)
-        assert r.law == "key" and place.setdefault(r.doc_id, r.shard) == r.shard and r.grown_shard in (r.shard, 16)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(16))
-    assert 200 < min(map(len, slots.values())) and max(map(len, slots.values())) < 450 and 200 < sum(r.grown_shard == 16 for r in got) < 400
-    for r in got[:50]:  # the draws, once more
-        key = "null" if r.doc_id is None else str(r.doc_id)
-        draw = lambda name, w: -math.log((int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:12], 16) + 1) / (2**48 + 1)) / w
-        region = min((0, 1), key=lambda c: draw(f"region{c}", 8))
-        rack = min((0, 1), key=lambda c: draw(f"region{region}/rack{c}", 4))
-        assert r.shard == min(range(8 * region + 4 * rack, 8 * region + 4 * rack + 4), key=lambda c: draw(f"shard{c}", 1))
+def place(key, weights):
+    """The shard of a key by the definition: the least of all draws."""
+    u = [(int(hashlib.md5(f"{key}/{s // 2}".encode()).hexdigest()[12 * (s % 2) : 12 * (s % 2) + 12], 16) + 1) / (2**48 + 1) for s in range(len(weights))]
+    return min((s for s, w in enumerate(weights) if w), key=lambda s: (-math.log(u[s]) / weights[s], s))
+
+
+def brute_shards(rows, n):
+    """doc_id, size, checksum, shard, slot, grown shard of every (id, text)."""
+    named = []
+    for i, t in rows:
+        key, raw = "null" if i is None else str(i), (t or "").encode()
+        size, crc = len(raw) + 1, zlib.crc32(raw)
+        named.append((place(key, [1.0] * n), hashlib.md5(f"{key}/{size}/{crc}".encode()).hexdigest()[0], i is not None, i or 0, crc, size, i, place(key, [1.0] * (n + 1))))
+    seen, out = Counter(), Counter()
+    for shard, _, _, _, crc, size, i, grown in sorted(named, key=lambda x: x[:6]):
+        out[i, size, crc, shard, seen[shard], grown] += 1
+        seen[shard] += 1
+    return out
+
+
+def test_sharding_equals_brute_force(spark, edge, none):
+    """Every row: whole table of documents, and nulls, repeats and clashing columns."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for df in (docs, clash(docs.unionByName(edge.select("doc_id", "text")), "size", "shard", "_bin", "_draws")):
+        got = sharding.assign(df).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == brute_shards([(r.doc_id, r.text) for r in df.collect()], 16)
+        assert {r.law for r in got} == {"key"}
     assert sharding.assign(none).count() == 0
 
 
-def test_sharding_weights(spark):
+def test_sharding_grows_only_into_the_new_shard(spark):
+    """From 1 shard to 40, by steps of one; and the shares stay even."""
+    drawn = spark.range(4000).select(F.col("id").cast("string").alias("k")).withColumn("d", sharding.draws(F.col("k"), [1.0] * 41))
+    rows = drawn.select(*[sharding.descend(F.col("d"), n).alias(f"s{n}") for n in range(1, 42)]).collect()
+    for n in range(1, 41):
+        moved = [(r[n - 1], r[n]) for r in rows if r[n - 1] != r[n]]
+        assert moved and all(to == n for _, to in moved) and len({a for a, _ in moved}) >= min(n, 10)
+        assert max(Counter(r[n - 1] for r in rows).values()) < 4000 / n + 6 * math.sqrt(4000 / n)
+
+
+@pytest.mark.parametrize("weights", [[4.0] + [1.0] * 15, [1.0] * 5 + [0.0] + [1.0] * 10, [1.0] * 9 + [0.25] + [1.0] * 6])
+def test_sharding_confines_moves_to_the_changed_weight(spark, weights):
     rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    n = Counter(r.shard for r in sharding.assign(rows, weights=[4.0] + [1.0] * 15).collect())
-    assert abs(n[0] / 8000 - 4 / 19) < 0.03
+    was, now = ({r.doc_id: r.shard for r in sharding.assign(rows, weights=w).collect()} for w in (None, weights))
+    changed = next(s for s, w in enumerate(weights) if w != 1)
+    moved = [(was[i], now[i]) for i in was if was[i] != now[i]]
+    assert moved and all((to if weights[changed] > 1 else out) == changed for out, to in moved)
+    assert abs(list(now.values()).count(changed) / 8000 - weights[changed] / sum(weights)) < 0.02
 
 
 # 9
