@@ -28,20 +28,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), one below the warehouse."""
+    """The cluster's checkpoint folder. Where none is set, a local session gets one below its warehouse;
+    on a cluster that would be a folder of one machine, so it is an error there."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return folder or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    context, path = spark.sparkContext, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there, and a lost
     executor costs a reread of files, not the work before them. The files go when the application ends."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    context = df.sparkSession.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
