@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, chat, exact_dedup, licenses, line_rules, mixing, near_dedup, quality_lm, sharding, warc
-from lodestone.tables import materialize, table
+from lodestone.tables import materialize, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -29,8 +29,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = materialize(warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages"))), "warc")
-    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = scratch(spark, "warc")
+    index = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    return warc.read_archives(spark, folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

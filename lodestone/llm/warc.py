@@ -1,13 +1,14 @@
 """WARC archives as seekable Zstandard bundles.
 
-Records are packed into independent frames of about `frame_bytes`; a bundle ends with a skippable
-frame that holds the seek table (compressed and plain size of every frame), and an index maps each
-record to its frame and the offset inside it. A bundle is one row (bundle_id, archive, index) of a
-Parquet table in the shared folder, so Spark's committers, any file system and lost executors are
-covered; `export` writes bundles as .warc.zst files where a file system is mounted everywhere.
+Records are packed into independent frames of about `frame_bytes`; a bundle is one .warc.zst file that
+ends with a skippable frame, which holds the seek table (compressed and plain size of every frame). An
+index maps each record to its bundle, its frame and the offset inside it. Tasks write bundles to a shared
+folder and commit their index rows with the index table; a file that a lost task left behind is in no
+committed row, and reading skips it.
 
 Of pages with equal payloads of at least `min_bytes` the one with the smallest page id is written as
-response, the others as revisits that refer to it.
+response, the others as revisits that refer to it. A record's id comes from its page id, its digest and
+its row's place in the input, so rows that repeat an id, or everything, have records of their own.
 
 Defined cases: a null html is an empty payload; rows that repeat the smallest page id are all
 responses; in a group with only null ids all rows are responses, and otherwise null ids are revisits;
@@ -26,7 +27,8 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.skew import join_groups
@@ -34,36 +36,46 @@ from lodestone.tables import materialize
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-BUNDLE_SCHEMA = "bundle_id string, archive binary, index array<struct<record_id:string,frame:int,offset:long,bytes:long>>"
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, bundle_id string, frame int, offset long"
+INDEX_SCHEMA = "record_id string, bundle_id string, frame int, offset long, bytes long"
+RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, bundle_id string, frame int, offset long"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-page")
 
 
+def _placed(pages: DataFrame) -> DataFrame:
+    """`pages` with `_row`, each row's place: in its file, or in a copy where it does not come from files."""
+    try:
+        return pages.select("*", F.concat_ws("/", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias("_row"))
+    except AnalysisException:
+        return materialize(pages.withColumn("_row", F.monotonically_increasing_id().cast("string")), "pages")
+
+
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, sha1, refers_to."""
+    """page_id, url, row, payload (null for revisits), payload_bytes, sha1, refers_to, refers_row."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.cast("binary").alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("sha1"))
+    rows = _placed(pages.select(id_col, url_col, html_col)).select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col("_row").alias("row"), html.cast("binary").alias("payload"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("sha1"))
     keys = ["sha1", "payload_bytes"]
-    first = rows.groupBy(*keys).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    first = rows.groupBy(*keys).agg(F.min(F.struct(F.col("page_id").isNull().alias("lacks"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
     rows = join_groups(rows, materialize(first, "payloads"), keys, "copies", pages.count())
-    revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(revisit, F.col("first")).alias("refers_to"))
+    revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return rows.select("page_id", "url", "row", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.col("first.row")).alias("refers_row"))
 
 
-def _record_id(page_id: int | None, sha1: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}' if page_id is not None else f'null/{sha1}')}>"
+def _record_id(page_id: int | None, sha1: str, row: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{sha1}/{row}')}>"
 
 
-def _record(page_id, url, payload, payload_bytes, sha1, refers_to, date) -> tuple[str, bytes]:
+def _record(page_id, url, row, payload, payload_bytes, sha1, refers_to, refers_row, date) -> tuple[str, bytes]:
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload or b"")
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-    name = _record_id(page_id, sha1)
+    name = _record_id(page_id, sha1, row)
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {payload_bytes}", f"X-Page-Id: {'' if page_id is None else page_id}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, sha1)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, sha1, refers_row)}", f"X-Refers-To-Page-Id: {refers_to}"]
     head.append(f"Content-Length: {len(body)}")
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -88,31 +100,51 @@ class _Bundle:
         self.sizes.append((len(frame), self.plain))
         self.open, self.plain = [], 0
 
-    def finish(self) -> dict:
+    def finish(self) -> bytes:
+        """The archive, with its footer."""
         if self.open:
             self.close()
         entries = b"".join(struct.pack("<II", *s) for s in self.sizes)
         footer = struct.pack("<IBI", len(self.sizes), 0, SEEKABLE)
-        archive = b"".join(self.frames) + struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer
-        return {"bundle_id": hashlib.sha256(archive).hexdigest()[:32], "archive": archive, "index": [dict(zip(("record_id", "frame", "offset", "bytes"), x)) for x in self.index]}
+        return b"".join(self.frames) + struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer
 
 
-def write_bundles(records: DataFrame, frame_bytes: int = 256 << 10, bundle_bytes: int = 4 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """BUNDLE_SCHEMA rows; each task packs the records of its partition in their order."""
+def write_archives(records: DataFrame, folder: str, frame_bytes: int = 256 << 10, bundle_bytes: int = 16 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """The index (INDEX_SCHEMA) of the bundles <folder>/<bundle_id>.warc.zst, which tasks write through pyarrow's
+    file systems; each packs the records of its partition in their order. A bundle's name comes from its
+    content, so a task that runs twice writes the same file or one that no index row names."""
+    columns = ("page_id", "url", "row", "payload", "payload_bytes", "sha1", "refers_to", "refers_row")
+    context = records.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bundle_id", pa.string()), ("archive", pa.binary()), ("index", pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("bytes", pa.int64())])))])
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder.removeprefix("file:") if folder.startswith("file:/") else folder)
+
+        def put(bundle: _Bundle) -> pa.RecordBatch:
+            archive = bundle.finish()
+            name = hashlib.sha256(archive).hexdigest()[:32]
+            part = f"{base}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(archive)
+            store.move(part, f"{base}/{name}.warc.zst")
+            ids, frames, offsets, sizes = zip(*bundle.index)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([name] * len(ids), pa.string()), pa.array(frames, pa.int32()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], names=["record_id", "bundle_id", "frame", "offset", "bytes"])
+
         bundle = _Bundle(frame_bytes)
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to")]
+            values = [batch.column(c) for c in columns]
             for i in range(batch.num_rows):
-                bundle.add(*_record(*[c[i].as_py() for c in columns], date))
+                bundle.add(*_record(*[c[i].as_py() for c in values], date))
                 if bundle.total >= bundle_bytes:
-                    yield pa.RecordBatch.from_pylist([bundle.finish()], schema)
+                    yield put(bundle)
                     bundle = _Bundle(frame_bytes)
         if bundle.total:
-            yield pa.RecordBatch.from_pylist([bundle.finish()], schema)
+            yield put(bundle)
 
-    return records.select("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to").mapInArrow(run, BUNDLE_SCHEMA)
+    return materialize(records.select(*columns).mapInArrow(run, INDEX_SCHEMA), "index")
 
 
 def seek_table(archive: bytes) -> list[tuple[int, int, int]]:
@@ -145,55 +177,43 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
-def fetch(archive: bytes, index: list, record_id: str) -> tuple[dict[str, str], bytes]:
-    """One record, decompressing its frame alone."""
-    entry = next(x for x in index if x["record_id"] == record_id)
+def fetch(archive: bytes, entry) -> tuple[dict[str, str], bytes]:
+    """The record of an index row, decompressing its frame alone."""
     plain = frame(archive, seek_table(archive)[entry["frame"]])
     return parse_record(plain[entry["offset"] : entry["offset"] + entry["bytes"]])
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """RECORD_SCHEMA rows of all records; a response whose payload does not match its digest or length
-    stops the job."""
+def _split(plain: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset, headers and payload of the records of a frame."""
+    at = 0
+    while at < len(plain):
+        head = plain.index(b"\r\n\r\n", at) + 4
+        end = head + int(plain[at:head].rpartition(b"Content-Length: ")[2]) + 4
+        yield at, *parse_record(plain[at:end])
+        at = end
+
+
+def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+    """RECORD_SCHEMA rows of all records of the bundles that the index names; a response whose payload does
+    not match its digest or length stops the job."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("bundle_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+                            ("record_id", pa.string()), ("refers_to_record", pa.string()), ("bundle_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64())])
         number = lambda x: int(x) if x else None
         for batch in batches:
             for i in range(batch.num_rows):
-                archive = batch.column("archive")[i].as_py()
-                table, opened, out = seek_table(archive), (-1, b""), []
-                for entry in batch.column("index")[i].as_py():
-                    if entry["frame"] != opened[0]:
-                        opened = entry["frame"], frame(archive, table[entry["frame"]])
-                    headers, payload = parse_record(opened[1][entry["offset"] : entry["offset"] + entry["bytes"]])
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if headers["WARC-Type"] == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(headers["X-Payload-Length"])):
-                        raise ValueError(f"damaged record {headers['WARC-Record-ID']}")
-                    out.append((number(headers["X-Page-Id"]), headers["WARC-Target-URI"], int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], number(headers.get("X-Refers-To-Page-Id")), headers["WARC-Record-ID"], batch.column("bundle_id")[i].as_py(), entry["frame"], entry["offset"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-    return bundles.mapInArrow(run, RECORD_SCHEMA)
-
-
-def export(bundles: DataFrame, folder: str) -> DataFrame:
-    """Write each bundle as <folder>/<bundle_id>.warc.zst through pyarrow's file systems; the name comes
-    from the content, so a task that runs twice writes the same file. Returns bundle_id, path."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        for batch in batches:
-            paths = []
-            for name, archive in zip(batch.column("bundle_id").to_pylist(), batch.column("archive").to_pylist()):
-                part, path = f"{base}/.{name}.{uuid.uuid4().hex}", f"{base}/{name}.warc.zst"
-                with store.open_output_stream(part) as f:
-                    f.write(archive)
-                store.move(part, path)
-                paths.append(path)
-            yield pa.RecordBatch.from_pydict({"bundle_id": batch.column("bundle_id"), "path": pa.array(paths, pa.string())})
-
-    return bundles.select("bundle_id", "archive").mapInArrow(run, "bundle_id string, path string")
+                archive, name = batch.column("content")[i].as_py(), batch.column("path")[i].as_py().rpartition("/")[2].partition(".")[0]
+                for k, entry in enumerate(seek_table(archive)):
+                    out = []
+                    for offset, headers, payload in _split(frame(archive, entry)):
+                        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if headers["WARC-Type"] == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(headers["X-Payload-Length"])):
+                            raise ValueError(f"damaged record {headers['WARC-Record-ID']}")
+                        out.append((number(headers["X-Page-Id"]), headers["WARC-Target-URI"], int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], number(headers.get("X-Refers-To-Page-Id")), headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), name, k, offset))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return files.select("path", "content").mapInArrow(run, RECORD_SCHEMA).join(index.select("bundle_id").distinct(), "bundle_id", "left_semi")
 
 
 ORACLE = r"""

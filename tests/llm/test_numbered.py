@@ -98,37 +98,51 @@ def test_chat_round_trip(spark):
 
 # 3
 
-def test_warc_bundles(spark):
-    pages = [(5, "http://a/x y\n", "same", "q"), (3, None, "same", "q"), (9, "u", "same", "q"), (1, "u", None, "q"), (2, "u", "", "q"), (4, "u", "é" * 300_000, "q"), (None, "u", "same", "q"), (None, "v", "alone", "q"), (7, "u", "b\r\n\r\nWARC/1.1", "q"), (7, "u", "b\r\n\r\nWARC/1.1", "q")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, sha1 string")
-    bundles = materialize(warc.write_bundles(warc.plan_records(df), frame_bytes=1000, bundle_bytes=5000), "warc")
-    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_bundles(bundles).collect())
+PAGES = [(5, "http://a/x y\n", "same", "q"), (3, None, "same", "q"), (9, "u", "same", "q"), (1, "u", None, "q"), (2, "u", "", "q"), (4, "u", "é" * 300_000, "q"), (None, "u", "same", "q"), (None, "v", "alone", "q"), (None, "v", "alone", "q"),
+         (7, "u", "b\r\n\r\nWARC/1.1", "q"), (7, "u", "b\r\n\r\nWARC/1.1", "q"), (7, "u", "other", "q"), (8, "u", "b\r\n\r\nWARC/1.1", "q")]
+
+
+def test_warc_archives(spark, tmp_path):
+    df = clash(spark.createDataFrame(PAGES, "page_id long, url string, html string, sha1 string"), "row", "_row", "payload", "copies")
+    index = warc.write_archives(warc.plan_records(df), f"file:{tmp_path}/out", frame_bytes=1000, bundle_bytes=5000)
+    records = warc.read_archives(spark, f"file:{tmp_path}/out", index).collect()
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records)
     first = {}
-    for p, _, h, _ in pages:
+    for p, _, h, _ in PAGES:
         first[h or ""] = min([x for x in (first.get(h or ""), p) if x is not None], default=None)
     want = Counter()
-    for p, _, h, _ in pages:
+    for p, _, h, _ in PAGES:
         b, f = (h or "").encode(), first[h or ""]
         again = f is not None and p != f
         want[p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", f if again else None] += 1
     assert got == want
-    row = next(r for r in bundles.collect() if len(r["index"]) > 1)
-    for entry in row["index"]:
-        headers, payload = warc.fetch(row.archive, row["index"], entry.record_id)
-        assert headers["WARC-Record-ID"] == entry.record_id
-    small = warc.plan_records(df, min_bytes=5)
-    assert small.where("refers_to IS NOT NULL").select("page_id").collect() == []
-    assert warc.write_bundles(warc.plan_records(df.limit(0))).count() == 0
-
-
-def test_warc_export(spark, tmp_path):
-    df = spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], "page_id long, url string, html string")
-    paths = [r.path for r in warc.export(warc.write_bundles(warc.plan_records(df)), f"file://{tmp_path}/out").collect()]
+    # Every record has an id of its own; the index finds it by one frame; a revisit names its response.
+    by_id = {r.record_id: r for r in records}
+    assert len(by_id) == len(PAGES) == index.count()
+    for entry in index.collect():
+        headers, payload = warc.fetch((tmp_path / "out" / f"{entry.bundle_id}.warc.zst").read_bytes(), entry)
+        assert headers["WARC-Record-ID"] == entry.record_id and (by_id[entry.record_id].frame, by_id[entry.record_id].offset) == (entry.frame, entry.offset)
+    for r in records:
+        if r.record_type == "revisit":
+            to = by_id[r.refers_to_record]
+            assert (to.page_id, to.payload_digest, to.record_type) == (r.refers_to, r.payload_digest, "response")
     import zstandard
 
-    for p in paths:  # any decoder reads the frames and skips the table
-        data = zstandard.ZstdDecompressor().stream_reader(open(p, "rb"), read_across_frames=True).read()
-        assert data.startswith(b"WARC/1.1")
+    for p in (tmp_path / "out").glob("*.zst"):  # any decoder reads the frames and skips the table
+        assert zstandard.ZstdDecompressor().stream_reader(p.open("rb"), read_across_frames=True).read().startswith(b"WARC/1.1")
+    # A file that no index row names is skipped.
+    kept = index.where(F.col("bundle_id") != index.first()["bundle_id"])
+    assert warc.read_archives(spark, f"file:{tmp_path}/out", kept).count() == kept.count() < len(PAGES)
+
+
+def test_warc_bounds_and_files(spark, tmp_path):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string, sha1 string")
+    assert warc.plan_records(df, min_bytes=5).where("refers_to IS NOT NULL").select("page_id").collect() == [(8,)]
+    empty = warc.write_archives(warc.plan_records(df.limit(0)), f"{tmp_path}/none")
+    assert empty.count() == 0 and warc.read_archives(spark, f"{tmp_path}/none", empty).count() == 0
+    df.write.parquet(f"{tmp_path}/pages")  # places in files instead of a copy
+    index = warc.write_archives(warc.plan_records(spark.read.parquet(f"{tmp_path}/pages")), f"{tmp_path}/files")
+    assert len({r.record_id for r in warc.read_archives(spark, f"{tmp_path}/files", index).collect()}) == len(PAGES)
 
 
 # 4
