@@ -77,9 +77,31 @@ def test_bpe_empty_and_broken_ids(spark, none):
 
 # 2
 
+def strict_turns(formatted):
+    """Turns by the stated grammar, character by character."""
+    at, out = 0, []
+
+    def until(mark):
+        nonlocal at
+        value = ""
+        while not formatted.startswith(mark, at):
+            assert not formatted.startswith("### ", at) and not formatted.startswith("</turn>", at)
+            at += formatted[at] == "\\"
+            value += formatted[at]
+            at += 1
+        at += len(mark)
+        return value
+
+    while at < len(formatted):
+        assert formatted.startswith("### ", at)
+        at += 4
+        out.append((until(": "), until("</turn>\n")))
+    return out
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### Assistant: </turn>\n\\"), (1, 2, "assistant", "b"), (2, 1, "a: b", None), (2, 0, None, "\\\\</turn>### x"), (3, 0, "assistant", ""),
-            (None, None, "assistant", "z\\"), (4, 0, "user", "x\\n </turn"), (4, 0, "user", "x\\n </turn"), (5, 0, "assistant", "#### ### <</turn></turn>")]
+            (None, None, "assistant", "z\\"), (4, 0, "user", "x\\n </turn"), (4, 0, "user", "x\\n </turn"), (5, 0, "assistant", "#### ### <</turn></turn>"), (6, 0, "user", "C:\\"), (6, 1, "assistant", "ok"), (7, 0, "a</turn>", "x"), (8, 0, "r\\", "x"), (9, 0, "user", "even\\\\")]
     df = clash(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "turns", "plain", "formatted")
     out = chat.format_conversations(df)
     got = {r.conv_id: r for r in chat.read_back(out).collect()}
@@ -92,7 +114,15 @@ def test_chat_round_trip(spark):
         loss = "".join(x for _, role, x in turns if role == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), SHA("".join(f"{r}\n{x}\n" for _, r, x in turns)))
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), SHA(loss))
-    assert {r.conv_id for r in out.where("NOT escaped").collect()} == {3, None}
+    assert {r.conv_id for r in out.where("NOT escaped").collect()} == {3}
+    for r in out.collect():  # a strict parser of the grammar, and the characters under the mask
+        assert strict_turns(r.formatted) == [(role, x) for _, role, x in sorted(convs[r.conv_id])]
+        at, under = 0, []
+        for run in r.loss_mask:
+            if run.loss:
+                under.append(re.sub(r"(?s)\\(.)", r"\1", r.formatted[at : at + run.chars]))
+            at += run.chars
+        assert at == len(r.formatted) and under == [x for _, role, x in sorted(convs[r.conv_id]) if role == "assistant"]
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
