@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 #: Separators that stand alone between the entries of menus and tables.
 MENU = r"(?:^|\x20)(?:\||>|»|•|·)(?=\x20|$)"
-BOILERPLATE = r"(?i)lorem ipsum|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|subscribe to our newsletter"
+BOILERPLATE = r"(?i)lorem ipsum|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|subscribe to our newsletter|skip to (?:main )?content|datenschutzerklärung|alle rechte vorbehalten|cookie-einstellungen|newsletter abonnieren|politique de confidentialité|tous droits réservés|mentions légales|política de (?:privacidad|cookies)|todos los derechos reservados|aviso legal"
 WINDOW = 5
 
 
@@ -30,7 +30,8 @@ def _chars(text: Column, pattern: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Punctuation: over 10 % symbols, over 5 % exclamation marks, or mostly capitals in a line of 20 or
-    more characters. Navigation: three or more free-standing separators. Boilerplate: a stock phrase."""
+    more characters. Navigation: three or more free-standing separators. Boilerplate: a stock phrase of
+    English, German, French or Spanish pages."""
     word_chars = F.length(F.regexp_replace(line, SPACE, ""))
     punctuation = (10 * _chars(line, SYMBOLS) > word_chars) | (20 * _chars(line, "!+") > word_chars) | ((word_chars >= 20) & (2 * _chars(line, r"\p{Lu}+") > word_chars))
     navigation = F.regexp_count(line, F.lit(MENU)) >= 3
@@ -84,7 +85,7 @@ m AS (SELECT r, s, length(regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g')) AS c,
              length(s) - length(regexp_replace(s, '\p{Lu}+', '', 'g')) AS up,
              len(regexp_extract_all(replace(s, ' ', '  '), '(?:^| )(?:\||>|»|•|·)(?: |$)')) AS menu FROM l),
 k AS (SELECT r, sum(CASE WHEN 10 * sym > c OR 20 * bang > c OR (c >= 20 AND 2 * up > c) OR menu >= 3 OR
-             regexp_matches(s, '(?i)lorem ipsum|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|subscribe to our newsletter')
+             regexp_matches(s, '(?i)lorem ipsum|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|subscribe to our newsletter|skip to (?:main )?content|datenschutzerklärung|alle rechte vorbehalten|cookie-einstellungen|newsletter abonnieren|politique de confidentialité|tous droits réservés|mentions légales|política de (?:privacidad|cookies)|todos los derechos reservados|aviso legal')
              THEN 0 ELSE c END)::BIGINT AS kept_chars FROM m GROUP BY r),
 b AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
