@@ -559,7 +559,7 @@ def test_sharding_confines_moves_to_the_changed_weight(spark, weights):
 # 9
 
 def test_licenses(spark, edge, none):
-    rows = [(1, "Some text.\nLicensed under the Apache License, Version 2.0.\nMore", None, None, None), (2, "Intro. Released under the MIT License. End of it here", None, None, None), (3, licenses.TEMPLATES[21][1].replace(". ", ".\n"), None, None, None),
+    rows = [(1, "Some text.\nLicensed under the Apache License, Version 2.0.\nMore", None, None, None), (2, "Intro. Released under the MIT License. End of it here", None, None, None), (3, max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len).replace(". ", ".\n"), None, None, None),
             (4, "This work is licensed under the GNU General Public License, version 2.\nLicensed under CC BY-NC 4.0.", None, None, None), (5, "a licence of no kind at all, released to you", None, None, None)]
     got = {r.doc_id: r for r in licenses.scan(clash(spark.createDataFrame(rows, DOCS), "m", "best")).collect()}
     assert [got[i].licences for i in range(1, 6)] == ["Apache-2.0", "MIT", "MIT", "CC-BY-NC-4.0,GPL-2.0", None] and [got[i].permissive for i in range(1, 6)] == [True, True, True, False, None]
@@ -568,7 +568,7 @@ def test_licenses(spark, edge, none):
 
 def test_license_inside_a_long_document(spark):
     """Wrapped, commented and run on licences within other text."""
-    mit, gpl = licenses.TEMPLATES[21][1], licenses.TEMPLATES[15][1]
+    mit, gpl = (max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("MIT", "GPL-3.0"))
     cut = lambda t, n, mark="": "\n".join(mark + " ".join(w[i : i + n]) for w in [t.split()] for i in range(0, len(w), n))
     inside = [cut(mit, 12), cut(gpl, 9, "# "), mit, cut(gpl, 5, " * ")]
     rows = [(i, f"{words(300, i)}\n{t} {words(300, 50 + i)}", None, None, None) for i, t in enumerate(inside)]
@@ -576,6 +576,23 @@ def test_license_inside_a_long_document(spark):
     assert got == {0: "MIT", 1: "GPL-3.0", 2: "MIT", 3: "GPL-3.0"}
 
 
+def test_license_versions_and_wrapped_texts(spark):
+    """Versions are told apart; a licence wrapped at 72 columns amid other text is found."""
+    import textwrap
+
+    by = lambda name, k: [t for n, t in licenses.TEMPLATES if n == name][k]
+    other = "\n".join(words(9, 900 + k) for k in range(60))
+    cases = [
+        (0, by("GPL-2.0", 2), "GPL-2.0"), (1, by("GPL-3.0", 2), "GPL-3.0"), (2, by("GPL-3.0", 2).replace("version 3", "version 4"), None), (3, other + "\n" + textwrap.fill(max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len), 72) + "\n" + other, "MIT"),
+        (4, other + "\n# " + textwrap.fill(by("BSD-3-Clause", 1), 72).replace("\n", "\n# ") + "\n" + other, "BSD-3-Clause"), (5, textwrap.fill(by("BSD-2-Clause", 1), 60), "BSD-2-Clause"), (6, by("ISC", 0), "ISC"), (7, by("0BSD", 0), "0BSD"),
+        (8, "Licensed under CC BY 3.0.", None), (9, "Licensed under CC BY 4.0", "CC-BY-4.0"), (10, other, None)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
+    assert {i: got[i].best for i, _, _ in cases} == {i: name for i, _, name in cases}
+    assert all((r.licences or "").split(",").count(r.best or "") == 1 for r in got.values())
+    whole = {name for name, t in licenses.TEMPLATES if licenses.Matcher(licenses.TEMPLATES, 0.8).scan(t).get(name, 0) < 1}
+    assert not whole
+
+
 def test_license_windows_equal_brute_force():
     r, found = random.Random(5), 0
     short = [t for t in licenses.TEMPLATES if len(t[1].split()) < 30]
@@ -592,10 +609,10 @@ def test_license_windows_equal_brute_force():
         pairs = list(zip(*[re.findall(r"[^\W_]+", text.lower())[k:] for k in (0, 1)]))
         every = [(licenses.dice(set(pairs[i:j]), s), i, j, n) for _, n, s in m.sets for i in range(len(pairs)) for j in range(i + 1, min(len(pairs), i + 3 * len(s)) + 1)]
         want, counted = {}, []
-        for d, i, j, n in sorted((x for x in every if x[0] >= 0.8), key=lambda x: -x[0]):
+        for d, i, j, n in sorted((x for x in every if x[0] >= 0.8), key=lambda x: (-x[0], x[1] - x[2])):
             # A window with idle ends is the same match as the one without them.
             own = [s for _, name, s in m.sets if name == n]
-            if any(pairs[i] in s and pairs[j - 1] in s and licenses.dice(set(pairs[i:j]), s) == d for s in own) and not any(a < j and i < b and e > d for e, a, b in counted):
+            if any(pairs[i] in s and pairs[j - 1] in s and licenses.dice(set(pairs[i:j]), s) == d and licenses.versions(s) <= set(pairs[i:j]) for s in own) and not any(a < j and i < b and (e, b - a) > (d, j - i) for e, a, b in counted):
                 want[n] = max(want.get(n, 0), d)
                 counted.append((d, i, j))
         assert m.scan(text) == want
@@ -611,7 +628,7 @@ def test_license_bounds_prune_nothing_that_matches():
         for _ in range(r.randrange(4)):
             w[r.randrange(len(w))] = "other"
         unit = licenses.bigrams(" ".join(w[r.randrange(2) :]))
-        scores = [(n, licenses.dice(unit, s)) for _, n, s in m.sets]
+        scores = [(n, licenses.dice(unit, s) if licenses.versions(s) <= unit else 0.0) for _, n, s in m.sets]
         most = max(d for _, d in scores)
         assert sorted(m.match(unit)) == sorted((n, d) for n, d in scores if d == most >= 0.8)
 
