@@ -6,11 +6,14 @@ characters is written out as explicit classes, since the JVM's short forms diffe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions import vectors
+
 #: White space as Python's str.strip and str.split see it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -29,10 +32,12 @@ def split_words(x: Column) -> Column:
 
 def is_clean(x: Column) -> Column:
     """A passage worth keeping: 3 or more characters, ASCII, at most 30 % symbols, not only dots."""
-    inner = strip(x)
-    symbols = F.length(F.regexp_replace(x, r"[A-Za-z0-9\s\x1c-\x1f]", ""))
-    good = (F.length(inner) >= 3) & (symbols / F.greatest(F.length(x), F.lit(1)) <= 0.3) & ~F.regexp_like(x, F.lit(r"[^\x00-\x7F]")) & ~inner.isin(".", "...", ". . .")
-    return F.coalesce(good, F.lit(False))
+    blank = r"[\s\x1c-\x1f]"
+    symbols = F.length(x) - F.length(F.regexp_replace(x, r"[^A-Za-z0-9\s\x1c-\x1f]+", ""))
+    few = symbols / F.greatest(F.length(x), F.lit(1)) <= 0.3
+    enough = F.regexp_like(x, F.lit(r"[^\s\x1c-\x1f][\s\S]+[^\s\x1c-\x1f]")) & ~F.regexp_like(x, F.lit(rf"^{blank}*+(?:\.\.\.|\. \. \.){blank}*$"))
+    # The cheap test first: what fails it needs no replacement.
+    return F.coalesce(F.when(F.regexp_like(x, F.lit(r"[^\x00-\x7F]")), False).when(few, enough).otherwise(False), F.lit(False))
 
 
 def normalize_answer(x: Column) -> Column:
@@ -41,27 +46,52 @@ def normalize_answer(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, f"{SPACE}+", " "), "^ | $", "")
 
 
-def token_f1(prediction: Column, gold: Column) -> Column:
-    """F1 of the normalised answers' token multisets; 0 where they share none."""
-    p, g = F.split(normalize_answer(prediction), " "), F.split(normalize_answer(gold), " ")
-    p, g = F.filter(p, lambda w: w != ""), F.filter(g, lambda w: w != "")
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(count(p, w), count(g, w)))
-    return F.when(same == 0, 0.0).otherwise(2.0 * same / F.greatest(F.size(p) + F.size(g), F.lit(1)))
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f uses it, as for each entry of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def answer_words(x: Column) -> Column:
+    """The normalised words of an answer."""
+    return F.filter(F.split(normalize_answer(x), " "), lambda w: w != "")
+
+
+def _counted(words: Column) -> Column:
+    """Each word with how many of it came before, so that a set of these stands for the multiset."""
+    return bind(F.array_sort(words), lambda a: F.transform(a, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(a, w)).cast("string"))))
 
 
 def best_f1(prediction: Column, golds: Column) -> Column:
-    return F.array_max(F.transform(golds, lambda g: token_f1(prediction, g)))
+    """The greatest token F1 over the gold answers; each answer is normalised once."""
+    def f1(p: Column, g: Column) -> Column:
+        same = F.size(F.array_intersect(p, g))
+        return F.when(same == 0, 0.0).otherwise(2.0 * same / F.greatest(F.size(p) + F.size(g), F.lit(1)))
+
+    return bind(_counted(answer_words(prediction)), lambda p: F.array_max(F.transform(golds, lambda gold: bind(_counted(answer_words(gold)), lambda g: f1(p, g)))))
+
+
+def token_f1(prediction: Column, gold: Column) -> Column:
+    """F1 of the normalised answers' token multisets; 0 where they share none."""
+    return best_f1(prediction, F.array(gold))
 
 
 def matches(prediction: Column, golds: Column, normalised: bool = True) -> Column:
     """1 if any gold answer occurs in the prediction."""
     form = normalize_answer if normalised else (lambda x: x)
-    return F.exists(golds, lambda g: F.contains(form(prediction), form(g))).cast("int")
+    return bind(form(prediction), lambda p: F.exists(golds, lambda g: F.contains(p, form(g)))).cast("int")
+
+
+def soft_match(prediction: Column, golds: Column, vector: Column, gold_vectors: Column, threshold: float = 0.63) -> tuple[Column, Column]:
+    """Whether a gold answer occurs in the prediction or else a gold vector's cosine to the prediction's
+    reaches the threshold; and whether the vectors alone decided so."""
+    hit = F.coalesce(matches(prediction, golds) == 1, F.lit(False))
+    near = F.coalesce(F.array_max(F.transform(gold_vectors, lambda g: F.round(vectors.cosine(vector, g), 6))) >= threshold, F.lit(False))
+    return hit | near, ~hit & near
 
 
 def entity_tags(x: Column) -> Column:
-    """Map of entity to tag from 'entity <tag>' runs; a later entity wins."""
+    """Map of entity to tag from 'entity <tag>' runs; a later entity wins. The two expressions are fixed
+    values: they define what an entity and a tag are."""
     names = F.regexp_extract_all(x, F.lit(r"(.+?)(?=\s<|$)"), F.lit(1))
     tags = F.regexp_extract_all(x, F.lit("<(.+?)>"), F.lit(1))
     n = F.least(F.size(names), F.size(tags))
@@ -125,3 +155,34 @@ def arc_choices(labels: Column, texts: Column) -> Column:
     pick = lambda want: F.try_element_at(F.filter(pairs, lambda p: letter(p["k"]) == want), F.lit(-1))["v"]
     block = F.concat(F.lit("\nA: "), pick("A"), F.lit("\nB: "), pick("B"), F.lit("\nC: "), pick("C"), F.lit("\nD: "), F.coalesce(pick("D"), F.lit("")))
     return F.concat(block, F.coalesce(F.concat(F.lit("\nE: "), F.try_element_at(F.filter(pairs, lambda p: p["k"] == "E"), F.lit(-1))["v"]), F.lit("")))
+
+
+def chat_answer(x: Column) -> Column:
+    """What follows the first '[/INST]', up to the next, in single spaces; null without one."""
+    return strip(F.regexp_replace(F.get(F.split(x, r"\[/INST\]"), F.lit(1)), f"{SPACE}+", " "))
+
+
+def titled_documents(titles: Column, texts: Column) -> Column:
+    """Lines 'Document [i](Title: t): text'."""
+    docs = F.arrays_zip(titles.alias("title"), texts.alias("text"))
+    return F.array_join(F.transform(docs, lambda d, i: F.concat(F.lit("Document ["), (i + 1).cast("string"), F.lit("](Title: "), d["title"], F.lit("): "), d["text"])), "\n")
+
+
+def plain_documents(texts: Column) -> Column:
+    """Lines 'Document [i]: text'."""
+    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("Document ["), (i + 1).cast("string"), F.lit("]: "), t)), "\n")
+
+
+def instruction(task: Column, question: Column, before: dict[str, str], between: dict[str, str]) -> Column:
+    """The task's text, what stands between, and the question; the question alone for other tasks."""
+    lookup = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[task]
+    return F.coalesce(F.concat(lookup(before), F.coalesce(lookup(between), F.lit("")), question), question)
+
+
+def model_input(task: Column, item: dict[str, Column], before: dict[str, str]) -> tuple[Column, Column]:
+    """instruction and golds by task: 'factscore' takes input, and output or else the topic; 'qa' its
+    instruction or else the question, and its answers or else the output; long-form tasks their text first."""
+    long_form = F.concat(F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[task], F.lit("## Input:\n\n"), item["question"])
+    asks = F.when(task == "factscore", item["input"]).when(task == "qa", F.coalesce(item["instruction"], item["question"])).otherwise(long_form)
+    golds = F.when(task == "factscore", F.array(F.coalesce(item["output"], item["topic"]))).otherwise(F.coalesce(item["answers"], F.array(item["output"])))
+    return asks, golds

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import bind
+
 
 def triple(s: Column, p: Column, o: Column) -> Column:
     return F.concat(F.lit("(S> "), s, F.lit("| P> "), p, F.lit("| O> "), o, F.lit(")"))
@@ -21,9 +23,9 @@ def join(triples: Column) -> Column:
 
 def parse(t: Column) -> Column:
     """struct(subject, predicate, object); null where there are fewer than three parts."""
-    parts = F.split(F.regexp_replace(t, r"^[()]+|[()]+$", ""), r"\|")
-    part = lambda i: F.trim(F.regexp_replace(F.get(parts, F.lit(i)), "S>|P>|O>", ""))
-    return F.when(F.size(parts) >= 3, F.struct(part(0).alias("subject"), part(1).alias("predicate"), part(2).alias("object")))
+    part = lambda parts, i: F.trim(F.regexp_replace(F.get(parts, F.lit(i)), "S>|P>|O>", ""))
+    whole = lambda p: F.when(F.size(p) >= 3, F.struct(part(p, 0).alias("subject"), part(p, 1).alias("predicate"), part(p, 2).alias("object")))
+    return bind(F.split(F.regexp_replace(t, r"^[()]+|[()]+$", ""), r"\|"), whole)
 
 
 def extract(text: Column) -> Column:
@@ -47,3 +49,20 @@ def expand_objects(t: Column) -> Column:
 def both_directions(s: Column, p: Column, o: Column) -> Column:
     """The edge and its inverse."""
     return F.array(F.struct(s.alias("src"), p.alias("predicate"), o.alias("dst")), F.struct(o.alias("src"), F.concat(F.lit("inverse_"), p).alias("predicate"), s.alias("dst")))
+
+
+def graphs(triples: DataFrame, key: str, triple_col: str) -> DataFrame:
+    """key, names (a graph's nodes in order) and facts of the triples of each key; a key with a triple that
+    does not parse has no graph. A graph is the few triples of one text, so it is one row."""
+    parsed = triples.groupBy(key).agg(F.collect_list(F.struct(parse(F.col(triple_col)).alias("x"))).alias("facts"))
+    facts = F.transform("facts", lambda f: f["x"])
+    whole = parsed.where(F.forall("facts", lambda f: f["x"].isNotNull())).select(key, facts.alias("facts"))
+    return whole.select(key, "facts", F.array_sort(F.array_distinct(F.concat(F.col("facts.subject"), F.col("facts.object")))).alias("names"))
+
+
+def edges(graph: DataFrame, key: str) -> DataFrame:
+    """key, src, dst, predicate: both directions of each fact, between node numbers from 0."""
+    every = F.flatten(F.transform("facts", lambda x: both_directions(x["subject"], x["predicate"], x["object"])))
+    e = graph.select(key, "names", F.explode(every).alias("e"))
+    node = lambda c: F.array_position("names", F.col(c)) - 1
+    return e.select(key, node("e.src").alias("src"), node("e.dst").alias("dst"), "e.predicate")

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _with(scalar: Column, v: Column, f) -> Column:
+    """f(x, scalar) of each entry, with the scalar computed once a row: an expression inside the inner function
+    would be computed for every entry."""
+    return F.flatten(F.transform(F.array(F.struct(scalar.alias("s"), v.alias("v"))), lambda b: F.transform(b["v"], lambda x: f(x, b["s"]))))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -24,8 +30,7 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit length; the zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return _with(norm(v), v, lambda x, n: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,7 +40,7 @@ def cosine(a: Column, b: Column) -> Column:
 def distribution(v: Column, eps: float = 1e-15) -> Column:
     """Clipped to [eps, 1] and scaled to sum 1."""
     clipped = F.transform(v, lambda x: F.least(F.greatest(x.cast("double"), F.lit(eps)), F.lit(1.0)))
-    return F.transform(clipped, lambda x: x / total(clipped))
+    return _with(total(clipped), clipped, lambda x, n: x / n)
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -55,8 +60,8 @@ def l1(p: Column, q: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    powers = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = _with(F.array_max(v).cast("double"), v, lambda x, most: F.exp(x.cast("double") - most))
+    return F.flatten(F.transform(F.array(powers), lambda p: _with(total(p), p, lambda x, n: x / n)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 
 def index_map(new: DataFrame, old: DataFrame, text: str = "text") -> DataFrame:
     """old_idx -> new_idx of equal texts; of repeated new texts the last index counts."""
-    last = new.groupBy(text).agg(F.max("idx").alias("new_idx"))
-    return old.join(last, text).select(F.col("idx").alias("old_idx"), "new_idx")
+    return text_map(old, new, "idx", text).select(F.col("left_id").alias("old_idx"), F.col("right_id").alias("new_idx"))
+
+
+def text_map(left: DataFrame, right: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """left_id -> right_id of equal texts, one row per left row: of repeated right texts the last id counts.
+    Texts meet by two hashes of 64 bits, so no text is shuffled."""
+    keyed = lambda df: df.select(id_col, F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2"))
+    last = keyed(right).groupBy("_k1", "_k2").agg(F.max(id_col).alias("right_id"))
+    return keyed(left).withColumnRenamed(id_col, "left_id").join(last, ["_k1", "_k2"]).select("left_id", "right_id")
 
 
 def gather(new: DataFrame, old: DataFrame, key: str, vector: str, dim: int) -> DataFrame:

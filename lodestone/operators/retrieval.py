@@ -1,63 +1,168 @@
 """Exact vector retrieval.
 
-A stated set of queries is compared with all rows: each task multiplies its vectors with the block of
-query vectors and keeps its own k best per query, so what is shuffled is k rows a query and task. A
-query block has at most BLOCK queries; more queries run in several passes over the vectors.
+A stated set of queries is compared with all rows. Queries go in blocks of about BLOCK, which is the bound of
+what the driver and a broadcast hold; each block is one pass over the vectors. A task keeps a running k best
+of its rows for each query and emits them at its end, so what is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import vectors
+from lodestone.tables import materialize
 
 BLOCK = 4096
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length, as doubles."""
+    flat = np.asarray(column.flatten().cast(pa.float64()), np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def dot(a: Column, b: Column, digits: int = 6) -> Column:
+    """Rounded inner products of two columns of vectors of one length, neither null, by Arrow batches."""
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(np.round(np.einsum("ij,ij->i", matrix(x), matrix(y)), digits))
+
+    return F.arrow_udf(run, T.DoubleType())(a, b)
+
+
 def best(df: DataFrame, k: int, *by: str, score: str = "score", id_col: str = "vec_id") -> DataFrame:
     """The k best rows of each group by (score desc, id), with their rank from 1."""
     order = W.partitionBy(*by).orderBy(F.desc(score), id_col)
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def blocks(queries: DataFrame) -> Iterator[list]:
+    """The rows of `queries` in blocks of about BLOCK by a hash of query_id, each read when its turn comes."""
+    n = -(-2 * queries.count() // BLOCK) or 1
+    for k in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).orderBy("query_id").collect()
+
+
+def _passes(queries: DataFrame, one: Callable[[list], DataFrame], name: str) -> DataFrame:
+    """The union of one pass a block; several are written as they end, so the plan stays small."""
+    parts = []
+    for rows in blocks(queries):
+        if parts:
+            parts[-1] = materialize(parts[-1], name)
+        parts.append(one(rows))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str, digits: int) -> np.ndarray:
+    s = q @ v.T if metric == "ip" else -((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :])
+    return np.round(s, digits)
+
+
+class Best:
+    """The k best (score, then smaller id) of what each query has met."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
+
+    def meet(self, s: np.ndarray, ids: np.ndarray) -> None:
+        for i, row in enumerate(s):
+            full = len(self.scores[i]) == self.k
+            new = row >= self.scores[i][-1] if full else np.ones(len(row), bool)
+            if not new.any():
+                continue
+            score, name = np.append(self.scores[i], row[new]), np.append(self.ids[i], ids[new])
+            if len(score) > self.k:  # ties at the edge stay until ids settle them
+                near = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
+                score, name = score[near], name[near]
+            order = np.lexsort((name, -score))[: self.k]
+            self.scores[i], self.ids[i] = score[order], name[order]
+
+
 def topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", split_col: str | None = None, digits: int = 6) -> DataFrame:
     """(query_id, [split], vec_id, score, rank): exact top k of vecs(vec_id, v) for queries(query_id, q).
     metric: 'ip' inner product, 'l2' negated squared distance. Scores are rounded before ranking."""
-    rows = queries.select("query_id", "q").orderBy("query_id").collect()
-    blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+    keys = [split_col] if split_col else []
+    return best(candidates(vecs, queries, k, metric, split_col, digits), k, "query_id", *keys)
+
+
+def candidates(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", split_col: str | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, [split], vec_id, score): each task's k best for each query."""
     keys = [split_col] if split_col else []
     kinds = {f.name: f.dataType.simpleString() for f in [*vecs.schema, *queries.schema]}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["query_id", *keys, "vec_id"]) + ", score double"
-    out = None
-    for block in blocks or [[]]:
-        ids, q = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+    def one(block: list) -> DataFrame:
+        ids, q = np.array([r["query_id"] for r in block], np.int64), np.array([r["q"] for r in block], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: dict = {}
             for batch in batches:
-                if not ids or not batch.num_rows:
+                if not len(ids) or not batch.num_rows:
                     continue
-                column = batch.column("v")
-                v = np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, -1)
-                s = q @ v.T if metric == "ip" else -((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :])
-                s = np.round(s, digits)
-                names = np.asarray(batch.column("vec_id"))
-                groups = np.asarray(batch.column(split_col)) if split_col else np.zeros(len(names))
+                s, names = _scores(q, matrix(batch.column("v")), metric, digits), np.asarray(batch.column("vec_id"))
+                groups = np.asarray(batch.column(split_col)) if split_col else np.zeros(len(names), np.int64)
                 for g in np.unique(groups):
-                    inside = np.flatnonzero(groups == g)
-                    for i in range(len(ids)):
-                        order = inside[np.lexsort((names[inside], -s[i, inside]))[:k]]
-                        columns = [pa.array([ids[i]] * len(order)), *([pa.array(groups[order])] if split_col else []), pa.array(names[order]), pa.array(s[i, order])]
-                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", *keys, "vec_id", "score"])
+                    inside = groups == g
+                    met.setdefault(g, Best(len(ids), k)).meet(s[:, inside], names[inside])
+            for g, found in met.items():
+                n = [len(x) for x in found.ids]
+                columns = [pa.array(np.repeat(ids, n)), *([pa.array(np.repeat(g, sum(n)))] if split_col else []), pa.array(np.concatenate(found.ids)), pa.array(np.concatenate(found.scores))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", *keys, "vec_id", "score"])
+
+        return vecs.select(*keys, "vec_id", "v").where("v IS NOT NULL").mapInArrow(run, schema)
+
+    return _passes(queries.select("query_id", "q"), one, "candidates")
+
+
+def target_ranks(vecs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, label, target_rank: the rank of the best other vector of the query's label among
+    vecs(vec_id, v, label), for queries(query_id, q, label). Two passes a block: the target of each query,
+    then how many rows are ahead of it; a task emits a row a query."""
+    kind, arrow_kind = queries.schema["label"].dataType.simpleString(), to_arrow_type(queries.schema["label"].dataType)
 
-        part = vecs.select(*keys, "vec_id", "v").where("v IS NOT NULL").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return best(out, k, "query_id", *keys)
+    def one(block: list) -> DataFrame:
+        ids, labels, q = np.array([r["query_id"] for r in block], np.int64), np.array([r["label"] for r in block]), np.array([r["q"] for r in block], np.float64)
+        rows = vecs.select("vec_id", "v", "label").where("v IS NOT NULL")
+
+        def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met = Best(len(ids), 1)
+            for batch in batches:
+                names = np.asarray(batch.column("vec_id"))
+                s = _scores(q, matrix(batch.column("v")), "ip", digits) if batch.num_rows and len(ids) else np.zeros((0, 0))
+                own = (np.asarray(batch.column("label"))[None, :] == labels[:, None]) & (names[None, :] != ids[:, None])
+                for i in range(len(s)):
+                    met_i = Best(1, 1)
+                    met_i.scores, met_i.ids = [met.scores[i]], [met.ids[i]]
+                    met_i.meet(s[i : i + 1, own[i]], names[own[i]])
+                    met.scores[i], met.ids[i] = met_i.scores[0], met_i.ids[0]
+            n = [len(x) for x in met.ids]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *met.ids])), pa.array(np.concatenate([np.zeros(0), *met.scores]))], names=["query_id", "vec_id", "score"])
+
+        found = {r["query_id"]: r for r in best(rows.mapInArrow(targets, "query_id long, vec_id long, score double"), 1, "query_id").collect()}
+        have = np.array([int(i) in found for i in ids], bool)
+        score, target = np.array([found[int(i)]["score"] for i in ids[have]]), np.array([found[int(i)]["vec_id"] for i in ids[have]], np.int64)
+
+        def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(int(have.sum()), np.int64)
+            for batch in batches:
+                if batch.num_rows and len(n):
+                    s, names = _scores(q[have], matrix(batch.column("v")), "ip", digits), np.asarray(batch.column("vec_id"))
+                    n += ((s > score[:, None]) | ((s == score[:, None]) & (names[None, :] <= target[:, None]))).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[have]), pa.array(labels[have].tolist(), arrow_kind), pa.array(n)], names=["query_id", "label", "n"])
+
+        return rows.mapInArrow(ahead, f"query_id long, label {kind}, n long").groupBy("query_id", "label").agg(F.sum("n").alias("target_rank"))
+
+    return _passes(queries.select("query_id", "q", "label"), one, "ranks")
 
 
 def theme_scoped(vecs: DataFrame, queries: DataFrame, theme_k: int, dense_k: int, k: int, dense_weight: float, metric: str = "ip", eps: float = 1e-8, split_col: str | None = None) -> DataFrame:
@@ -65,11 +170,11 @@ def theme_scoped(vecs: DataFrame, queries: DataFrame, theme_k: int, dense_k: int
     theme are scored by vector, the dense_k best of these blended, and the k best returned. Queries
     whose theme has no length fall back to dense retrieval alone."""
     keys = ["query_id", *([split_col] if split_col else [])]
-    themed = queries.where(vectors.norm(F.col("theme")) >= eps)
-    plain = queries.where(~(vectors.norm(F.col("theme")) >= eps))
+    has_theme = vectors.norm(F.col("theme")) >= eps
+    themed, plain = queries.where(has_theme), queries.where(~has_theme)
     stage = topk(vecs.withColumn("v", F.col("theme")), themed.withColumn("q", F.col("theme")), theme_k, metric, split_col).withColumnRenamed("score", "theme_score").drop("rank")
-    scored = stage.join(vecs.select("vec_id", "v"), "vec_id").join(F.broadcast(themed.select("query_id", "q")), "query_id")
-    dense = best(scored.withColumn("score", F.round(vectors.dot(F.col("v"), F.col("q")), 6)).drop("v", "q"), dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
+    scored = stage.join(vecs.select("vec_id", "v"), "vec_id").join(themed.select("query_id", "q"), "query_id")
+    dense = best(scored.withColumn("score", dot(F.col("v"), F.col("q"))).drop("v", "q"), dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
     blend = F.round(dense_weight * F.col("dense_score") + F.round(F.lit(1 - dense_weight), 9) * F.col("theme_score"), 8)
     scoped = best(dense.withColumn("score", blend), k, *keys).select(*keys, "vec_id", "score", "rank")
     return scoped.unionByName(topk(vecs, plain, k, "ip", split_col).select(*keys, "vec_id", "score", "rank"))
@@ -84,6 +189,10 @@ def with_theme(vecs: DataFrame, label: str = "label") -> DataFrame:
     """`vecs` with `theme`: its product with each label's centroid, in label order, at least 1e-15. The
     labels are a fixed small set; their centroids are one broadcast row of a few vectors."""
     c = centroids(vecs, label).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("c"))
-    rows = [r["c"] for r in c.orderBy(label).collect()]
-    theme = F.array(*[F.round(F.greatest(vectors.dot(F.col("v"), F.array(*map(F.lit, row))), F.lit(1e-15)), 6) for row in rows])
-    return vecs.withColumn("theme", theme)
+    rows = np.array([r["c"] for r in c.orderBy(label).collect()], np.float64)
+
+    def run(v: pa.Array) -> pa.Array:
+        values = np.round(np.maximum(matrix(v) @ rows.T, 1e-15), 6) if len(rows) and len(v) else np.zeros((len(v), len(rows)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * len(rows), pa.int32()), pa.array(values.ravel()))
+
+    return vecs.withColumn("theme", F.arrow_udf(run, T.ArrayType(T.DoubleType()))("v"))

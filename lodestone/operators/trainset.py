@@ -28,6 +28,53 @@ def pack(docs: DataFrame, key: str, score: str, tokens: str, budget: int, id_col
     return docs.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
 
 
+def select_docs(docs: DataFrame, key: str, pos: str, reply: str) -> DataFrame:
+    """Documents that a model's reply names by their number in `pos` order, from 1: those of the first run of
+    comma-separated numbers. A question without any number is dropped; one with a number out of range is kept
+    as it is. `reply` is the same for all documents of a question, which are few, so a window numbers them."""
+    own = W.partitionBy(key)
+    numbers = F.regexp_extract(reply, r"(?:^|\D)(\d+(?:\s*,\s*\d+)*)", 1)
+    numbered = docs.withColumns({"_i": F.row_number().over(own.orderBy(pos)), "_n": F.count(F.lit(1)).over(own), "_chosen": numbers}).where("_chosen <> ''")
+    numbered = numbered.withColumn("_chosen", F.transform(F.split("_chosen", ","), lambda x: F.trim(x).cast("long")))
+    odd = F.exists("_chosen", lambda x: (x < 1) | (x > F.col("_n")))
+    return numbered.where(odd | F.array_contains("_chosen", F.col("_i").cast("long"))).drop("_i", "_n", "_chosen")
+
+
+#: How question sets of public benchmarks name their fields. `top`: documents kept, all where it is None.
+ADAPTERS = {
+    "ranked": {"answer": "answers", "docs": "ctxs", "top": 5, "more": ["s_wiki_title", "prop"]},
+    "claims": {"answer": "answers", "docs": "ctxs", "top": 5, "more": ["claim", "label"]},
+    "all_docs": {"answer": "answer", "docs": "docs", "top": None, "more": []},
+    "plain": {"answer": "answer", "docs": None, "top": None, "more": []},
+}
+
+
+def adapt(items: DataFrame, kind: str) -> DataFrame:
+    """question, answer, context (texts of the documents) and the kind's own fields of a question set. Of kind
+    "pairs" a document is an array of its title and its text, and the titles are the answers."""
+    if kind == "pairs":
+        return items.select("question", F.transform("context", lambda c: c[0]).alias("answer"), F.transform("context", lambda c: c[1]).alias("context"))
+    spec = ADAPTERS[kind]
+    texts = [] if spec["docs"] is None else [F.transform(spec["docs"] if spec["top"] is None else F.slice(spec["docs"], 1, spec["top"]), lambda c: c["text"]).alias("context")]
+    return items.select("question", F.col(spec["answer"]).alias("answer"), *texts, *spec["more"])
+
+
+def graph_prefixes(steps: DataFrame, key: str, pos: str, ask: str, found: str, instruction: str, done: DataFrame | None = None) -> DataFrame:
+    """Planner examples of questions with several sub-queries: each step's input is the instruction and all
+    sub-queries up to it with what was found for them; inputs in done(input) are left out, and equal inputs
+    give one example, the first by key and position."""
+    line = F.concat(F.lit("[SUBQ] "), F.col(ask), F.lit("\nRetrieved Graph Information: "), F.col(found))
+    out = prefix_examples(steps.withColumn("_line", line), key, pos, "_line", ask, f"{instruction}\n")
+    out = out.groupBy("input").agg(F.min(F.struct(key, pos, "label")).alias("_x")).select(f"_x.{key}", f"_x.{pos}", "input", "_x.label")
+    return out if done is None else out.join(done.select("input").distinct(), "input", "left_anti")
+
+
+def paragraphs_of(items: DataFrame, found: DataFrame, by: str | None, value: str) -> DataFrame:
+    """items with what was retrieved for them: by id, or by row position (`pos` on both sides) without one."""
+    key = by or "pos"
+    return items.join(found.select(key, value), key)
+
+
 def override(base: DataFrame, over: DataFrame, key: str, value: str) -> DataFrame:
     """Map merge: values of `over` replace those of `base`."""
     return base.select(key, F.col(value).alias("_a")).join(over.select(key, F.col(value).alias("_b")), key, "full").select(key, F.coalesce("_b", "_a").alias(value))

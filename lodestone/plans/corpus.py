@@ -37,10 +37,18 @@ def corpus_intersect(spark, d):
     return part("doc_id % 2 = 0").intersect(part("doc_id % 3 = 0")).intersect(part("length(text) > 50")).select(F.md5("text").alias("text_md5"))
 
 
-@query("SELECT t.doc_id AS theme_id, x.doc_id AS dense_id FROM documents t JOIN documents x ON t.text = x.text WHERE t.doc_id % 2 = 0 AND x.doc_id % 2 = 1")
+@query("SELECT doc_id AS theme_id, dense_id FROM documents JOIN (SELECT text, max(doc_id) AS dense_id FROM documents WHERE doc_id % 2 = 1 GROUP BY text) USING (text) WHERE doc_id % 2 = 0")
 def theme_dense_align(spark, d):
+    """Of texts that repeat in the dense index the last position counts, so a theme id has one dense id."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "theme_id").join(docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "dense_id"), "text").select("theme_id", "dense_id")
+    pairs = corpora.text_map(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
+    return pairs.select(F.col("left_id").alias("theme_id"), F.col("right_id").alias("dense_id"))
+
+
+@query("SELECT dense_id, max(doc_id) AS theme_id FROM documents JOIN (SELECT text, max(doc_id) AS dense_id FROM documents WHERE doc_id % 2 = 1 GROUP BY text) USING (text) WHERE doc_id % 2 = 0 GROUP BY dense_id")
+def dense_theme_align(spark, d):
+    """The same map backwards: of theme ids with one dense id the last counts."""
+    return theme_dense_align(spark, d).groupBy("dense_id").agg(F.max("theme_id").alias("theme_id"))
 
 
 @query("SELECT count(*) AS n_texts, (SELECT count(*) FROM documents) = count(*) AS aligned FROM documents")
@@ -251,7 +259,6 @@ def label_multihot(spark, d):
     part = table(spark, d, "part")
     long = part.select("p_partkey", F.explode(F.array("p_brand", "p_type", "p_name")).alias("label"))
     numbered = rows.number(long.select("label").distinct(), "label", name="i")
-    n = numbered.count()
-    own = long.join(numbered, "label").groupBy("p_partkey").agg(F.collect_set("i").alias("on"))
-    hot = own.withColumn("hot", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains("on", i.cast("long")).cast("int")))
-    return hot.select("p_partkey", F.aggregate(F.transform("hot", lambda x, i: (x * i).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"), F.aggregate("hot", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
+    # A sparse vector: the positions that are 1. A dense one would be as long as the label dictionary, row by row.
+    own = long.join(numbered, "label").groupBy("p_partkey").agg(F.array_sort(F.collect_set("i")).alias("on"))
+    return own.select("p_partkey", F.aggregate("on", F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"), F.size("on").cast("long").alias("ones"))

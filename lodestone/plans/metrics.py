@@ -70,18 +70,18 @@ def accuracy(spark, d):
     return _pairs(spark, d).agg(F.round(100.0 * F.avg(same), 6).alias("accuracy"))
 
 
-@query(f"SELECT count(*) AS n, round(avg({SAME}::INT), 6) AS em, round(avg({f1_sql('p', 'g')}), 6) AS f1, round(avg(contains({norm_sql('p')}, {norm_sql('g')})::INT), 6) AS match FROM {PAIRS} WHERE turn = 0")
+@query(f"SELECT count(*) AS n, round(avg({SAME}::INT), 6) AS em, round(avg({f1_sql('p', 'g')}), 6) AS f1, round(avg(contains({norm_sql('p')}, {norm_sql('g')})::INT), 6) AS match FROM {PAIRS}")
 def pip_qa_eval(spark, d):
     p, g = F.col("p"), F.col("g")
-    return _pairs(spark, d).where("turn = 0").agg(
+    return _pairs(spark, d).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg((tx.normalize_answer(p) == tx.normalize_answer(g)).cast("int")), 6).alias("em"),
         F.round(F.avg(tx.token_f1(p, g)), 6).alias("f1"), F.round(F.avg(tx.matches(p, F.array(g))), 6).alias("match"))
 
 
-@query(f"""WITH x AS (SELECT regexp_replace(array_to_string(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')[1:100], ' '), '[!-/:-@\\[-`{{-~]+$', '') AS p, g FROM {PAIRS} WHERE turn % 3 = 0)
+@query(f"""WITH x AS (SELECT regexp_replace(array_to_string(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')[1:100], ' '), '[!-/:-@\\[-`{{-~]+$', '') AS p, g FROM {PAIRS})
 SELECT count(*) AS n, round(avg(contains({norm_sql('p')}, {norm_sql('g')})::INT), 6) AS match FROM x WHERE NOT contains(lower(p), 'apolo') AND NOT contains(lower(p), 'the information')""")
 def pip_eval(spark, d):
-    x = _pairs(spark, d).where("turn % 3 = 0").select(tx.first_tokens(F.col("p")).alias("p"), "g")
+    x = _pairs(spark, d).select(tx.first_tokens(F.col("p")).alias("p"), "g")
     x = x.where(~F.contains(F.lower("p"), F.lit("apolo")) & ~F.contains(F.lower("p"), F.lit("the information")))
     return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(tx.matches(F.col("p"), F.array("g"))), 6).alias("match"))
 

@@ -1,4 +1,4 @@
-"""Vector retrieval and distribution queries. Queries are the vectors with an id below 20."""
+"""Vector retrieval and distribution queries. Queries are the vectors whose id is divisible by 50."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
+from lodestone.operators import corpora, rows
 from lodestone.operators import retrieval as rt
-from lodestone.operators import rows
 from lodestone.plans.registry import query
+from lodestone.plans.texts import norm_sql
 from lodestone.tables import materialize, table
 
 SPLIT = "vec_id % 4"
@@ -19,13 +20,13 @@ def _vecs(spark, d):
 
 
 def _queries(vecs, *more):
-    return vecs.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), *more)
+    return vecs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), *more)
 
 
-VECS = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, ({SPLIT})::INT AS split_id FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id < 20)"
+VECS = f"v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, ({SPLIT})::INT AS split_id FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 50 = 0)"
 DENSE = f"WITH {VECS}, s AS (SELECT query_id, vec_id, split_id, label, round(list_dot_product(v, q), 6) AS score FROM v, q)"
 THEME = f"""WITH {VECS}, c1 AS (SELECT label, i, round(avg(v[i]), 6) AS x FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS c FROM c1 GROUP BY label),
-t AS (SELECT vec_id, list(round(greatest(list_dot_product(v, c), 1e-15), 6) ORDER BY c.label) AS theme FROM v, c GROUP BY vec_id), w AS (SELECT v.*, theme FROM v JOIN t USING (vec_id)), qt AS (SELECT vec_id AS query_id, v AS q, theme AS qtheme FROM w WHERE vec_id < 20)"""
+t AS (SELECT vec_id, list(round(greatest(list_dot_product(v, c), 1e-15), 6) ORDER BY c.label) AS theme FROM v, c GROUP BY vec_id), w AS (SELECT v.*, theme FROM v JOIN t USING (vec_id)), qt AS (SELECT vec_id AS query_id, v AS q, theme AS qtheme FROM w WHERE vec_id % 50 = 0)"""
 
 
 @query(f"{DENSE} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
@@ -95,23 +96,18 @@ def theme_topk(spark, d):
     return top.select("vec_id", F.col("x.i").alias("theme_idx"), F.col("x.p").alias("p"), (F.col("k") + 1).alias("rank"))
 
 
-@query(f"{DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, r.label, min(rank) AS target_rank FROM r JOIN (SELECT vec_id AS query_id, label FROM v WHERE vec_id < 20) t USING (query_id, label) WHERE r.vec_id <> query_id GROUP BY query_id, r.label")
+@query(f"{DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, r.label, min(rank) AS target_rank FROM r JOIN (SELECT vec_id AS query_id, label FROM v WHERE vec_id % 50 = 0) t USING (query_id, label) WHERE r.vec_id <> query_id GROUP BY query_id, r.label")
 def target_rank(spark, d):
     return _ranks(spark, d)
 
 
 def _ranks(spark, d):
-    """The rank of each query's best other vector of its label. The rank is the number of better rows,
-    so no ranking of all rows is sorted: scores are counted against the target's."""
+    """The rank of each query's best other vector of its label."""
     vecs = _vecs(spark, d)
-    queries = _queries(vecs, "label").withColumnRenamed("label", "wanted")
-    scores = materialize(vecs.select("vec_id", "v", "label").crossJoin(queries).select("query_id", "vec_id", "label", "wanted", F.round(vx.dot(F.col("v"), F.col("q")), 6).alias("score")), "scores")
-    target = scores.where("label = wanted AND vec_id <> query_id").groupBy("query_id", "wanted").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id"))).alias("t"))
-    ahead = scores.drop("wanted").join(target, "query_id").where((-F.col("score") < F.col("t.s")) | ((-F.col("score") == F.col("t.s")) & (F.col("vec_id") <= F.col("t.id"))))
-    return ahead.groupBy("query_id", F.col("wanted").alias("label")).agg(F.count(F.lit(1)).alias("target_rank"))
+    return rt.target_ranks(vecs, _queries(vecs, "label"))
 
 
-RANKS = f"{DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), t AS (SELECT query_id, min(rank) AS k FROM r JOIN (SELECT vec_id AS query_id, label FROM v WHERE vec_id < 20) t USING (query_id, label) WHERE r.vec_id <> query_id GROUP BY query_id)"
+RANKS = f"{DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), t AS (SELECT query_id, min(rank) AS k FROM r JOIN (SELECT vec_id AS query_id, label FROM v WHERE vec_id % 50 = 0) t USING (query_id, label) WHERE r.vec_id <> query_id GROUP BY query_id)"
 
 
 @query(f"{RANKS} SELECT round(avg(k), 6) AS mean_rank, round(avg((k <= 10)::INT), 6) AS success_10, round(avg((k <= 100)::INT), 6) AS success_100 FROM t")
@@ -120,10 +116,10 @@ def recall_at_k(spark, d):
     return _ranks(spark, d).agg(F.round(F.avg(r), 6).alias("mean_rank"), F.round(F.avg((r <= 10).cast("int")), 6).alias("success_10"), F.round(F.avg((r <= 100).cast("int")), 6).alias("success_100"))
 
 
-@query(f"{RANKS} SELECT a.query_id, a.k > 100 AND b.k > 100 AND c.k > 100 AS hard, b.k < a.k OR c.k < a.k AS better, b.k > a.k AND c.k > a.k AS worse FROM t a JOIN t b ON b.query_id = (a.query_id + 1) % 20 JOIN t c ON c.query_id = (a.query_id + 2) % 20")
+@query(f"{RANKS} SELECT a.query_id, a.k > 100 AND b.k > 100 AND c.k > 100 AS hard, b.k < a.k OR c.k < a.k AS better, b.k > a.k AND c.k > a.k AS worse FROM t a JOIN t b ON b.query_id = a.query_id + 50 JOIN t c ON c.query_id = a.query_id + 100")
 def rank_case_studies(spark, d):
     ranks = materialize(_ranks(spark, d).select("query_id", F.col("target_rank").alias("k")), "ranks")
-    sub = lambda k, name: ranks.select(((F.col("query_id") - k + 20) % 20).alias("query_id"), F.array("k").alias(name))
+    sub = lambda k, name: ranks.select((F.col("query_id") - 50 * k).alias("query_id"), F.array("k").alias(name))
     a, b, c = F.col("k"), F.array_min("s1"), F.array_min("s2")
     every = F.concat(F.array("k"), "s1", "s2")
     return ranks.join(sub(1, "s1"), "query_id").join(sub(2, "s2"), "query_id").select("query_id", F.forall(every, lambda x: x > 100).alias("hard"), ((b < a) | (c < a)).alias("better"), ((b > a) & (c > a)).alias("worse"))
@@ -193,11 +189,18 @@ def mean_of_means(spark, d):
     return rt.centroids(_vecs(spark, d)).groupBy((F.col("position") + 1).cast("long").alias("position")).agg(F.round(F.avg("value"), 8).alias("value"))
 
 
-@query("""SELECT item_id, contains(lower(text), lower(left(text, 20))) OR false AS ok FROM benchmark""")
+SOFT = f"""WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e, split_part(text, '.', 1) AS p FROM embeddings JOIN documents ON doc_id = vec_id),
+x AS (SELECT a.vec_id, contains({norm_sql('a.p')}, {norm_sql("string_split(b.p, ' ')[1]")}) AS hit, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM a JOIN a b ON b.vec_id = a.vec_id + 1)"""
+
+
+@query(f"{SOFT} SELECT vec_id, hit OR c >= 0.63 AS ok, NOT hit AND c >= 0.63 AS by_vector FROM x")
 def soft_match(spark, d):
-    near = F.array(F.lit(0.5), F.lit(0.7))
-    hit = F.contains(F.lower("text"), F.lower(F.left("text", F.lit(20)))) | (F.array_max(near) < 0.63)
-    return table(spark, d, "benchmark").select("item_id", hit.alias("ok"))
+    """The first sentence of a document against the first word of the next; where it is not a part, their vectors."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("p"))
+    a = table(spark, d, "embeddings").select("vec_id", "embedding").join(docs, "vec_id")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.array(F.split_part("p", F.lit(" "), F.lit(1))).alias("golds"), F.array("embedding").alias("vectors"))
+    ok, added = tx.soft_match(F.col("p"), F.col("golds"), F.col("embedding"), F.col("vectors"))
+    return a.join(b, "vec_id").select("vec_id", ok.alias("ok"), added.alias("by_vector"))
 
 
 @query(f"{DENSE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s QUALIFY r <= 5) SELECT query_id, list_max(list(score)) AS best, row_number() OVER (ORDER BY list_max(list(score)) DESC, query_id) - 1 AS pos FROM k GROUP BY query_id")
@@ -207,10 +210,37 @@ def order_by_array_max(spark, d):
     return rows.number(lists.select("query_id", F.array_max("scores").alias("best")).withColumn("down", -F.col("best")), "down", "query_id").select("query_id", "best", "pos")
 
 
-@query(f"""{DENSE}, k AS (SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
-h AS (SELECT a.query_id, 1 AS hop, a.vec_id FROM k a QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY CASE WHEN a.vec_id = a.query_id THEN 1 ELSE 0 END, a.score DESC, a.vec_id) = 1) SELECT query_id, hop, vec_id FROM h""")
+def _hop_sql(n, seen):
+    """Hop n: the best vector that the query has not seen, for queries whose last one scored too little."""
+    return f"""h{n} AS (SELECT p.query_id, x.vec_id, {", ".join(f"p.v{i}" for i in range(1, n))}{", " if n > 1 else ""}x.vec_id AS v{n}, round(list_dot_product(x.v, y.v), 6) AS score FROM h{n - 1} p JOIN v y ON y.vec_id = p.vec_id CROSS JOIN v x
+WHERE p.score < {ENOUGH} AND x.vec_id NOT IN ({seen}) QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY round(list_dot_product(x.v, y.v), 6) DESC, x.vec_id) = 1)"""
+
+
+#: A score that some hops reach and others do not.
+ENOUGH = 0.9
+HOPS = f"WITH {VECS}, h0 AS (SELECT query_id, query_id AS vec_id, -1e9::DOUBLE AS score FROM q), {_hop_sql(1, 'p.query_id')}, {_hop_sql(2, 'p.query_id, p.v1')}, {_hop_sql(3, 'p.query_id, p.v1, p.v2')}"
+
+
+@query(f"{HOPS} SELECT query_id, 1 AS hop, vec_id FROM h1 UNION ALL SELECT query_id, 2, vec_id FROM h2 UNION ALL SELECT query_id, 3, vec_id FROM h3")
 def iterative_hops(spark, d):
     from lodestone.plans.loop import hops
 
     vecs = _vecs(spark, d)
-    return hops(vecs, _queries(vecs), 1)
+    return hops(vecs, _queries(vecs), 3, enough=ENOUGH)
+
+
+@query(f"""WITH {VECS}, t AS (SELECT text, max(doc_id) AS dense_id FROM documents WHERE doc_id % 2 = 1 OR doc_id % 5 = 0 GROUP BY text), m AS (SELECT doc_id AS vec_id, dense_id FROM documents JOIN t USING (text)),
+s AS (SELECT query_id, x.vec_id, dense_id, round(list_dot_product(x.v, q), 6) AS ts, round(list_dot_product(y.v, q), 6) AS ds FROM v x JOIN m ON m.vec_id = x.vec_id JOIN v y ON y.vec_id = dense_id, q),
+a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, vec_id) <= 50)
+SELECT query_id, dense_id, max(round(0.8::DOUBLE * ds + 0.2::DOUBLE * ts, 8)) AS score FROM a GROUP BY query_id, dense_id""")
+def unsplit_scoped(spark, d):
+    """Two indexes over texts, joined by the text: a theme hit is scored by the vector of the last equal text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    dense = docs.where("doc_id % 2 = 1 OR doc_id % 5 = 0")
+    pairs = materialize(corpora.text_map(docs, dense).select(F.col("left_id").alias("vec_id"), F.col("right_id").alias("dense_id")), "pairs")
+    vecs = _vecs(spark, d)
+    inside = vecs.join(pairs, "vec_id").join(vecs.select(F.col("vec_id").alias("dense_id")), "dense_id", "left_semi")
+    hits = rt.topk(inside.select("vec_id", "v"), _queries(vecs), 50).withColumnRenamed("score", "theme_score").join(pairs, "vec_id")
+    scored = hits.join(vecs.select(F.col("vec_id").alias("dense_id"), "v"), "dense_id").join(_queries(vecs), "query_id")
+    blend = F.round(0.8 * rt.dot(F.col("v"), F.col("q")) + F.lit(0.2) * F.col("theme_score"), 8)
+    return scored.select("query_id", "dense_id", blend.alias("score")).groupBy("query_id", "dense_id").agg(F.max("score").alias("score"))

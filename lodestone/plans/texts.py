@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -199,14 +198,17 @@ def prompt_rewrite(spark, d):
 
 
 #: Accepted wordings of the three claim labels.
-LABEL_SYNONYMS = {"SUPPORTS": ["true", "SUPPORTS", "supports"], "REFUTES": ["false", "REFUTES", "refutes"], "NOT ENOUGH INFO": ["not enough info"]}
+LABEL_SYNONYMS = {
+    "REFUTES": ["refutes", "refute", "false", "incorrect", "not accurate", "not true", "not correct", "does not make sense", "not entirely accurate", "incomplete"],
+    "SUPPORTS": ["supports", "support", "true", "correct"],
+    "NOT ENOUGH INFO": ["not enough information", "not enough info"]}
 
 
-@query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'true' WHEN toxic = 1 THEN 'false' ELSE 'not enough info' END AS first_synonym, CASE WHEN quality = 1 OR toxic = 1 THEN 3 ELSE 1 END::BIGINT AS n FROM labels""")
+@query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'supports|support|true|correct' WHEN toxic = 1 THEN 'refutes|refute|false|incorrect|not accurate|not true|not correct|does not make sense|not entirely accurate|incomplete' ELSE 'not enough information|not enough info' END AS synonyms FROM labels""")
 def label_synonym_lookup(spark, d):
     names = spark.createDataFrame(list(LABEL_SYNONYMS.items()), "label string, synonyms array<string>")
     label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUPPORTS").when(F.col("toxic") == 1, "REFUTES").otherwise("NOT ENOUGH INFO")
-    return table(spark, d, "labels").withColumn("label", label).join(F.broadcast(names), "label").select("doc_id", F.get("synonyms", F.lit(0)).alias("first_synonym"), F.size("synonyms").cast("long").alias("n"))
+    return table(spark, d, "labels").withColumn("label", label).join(F.broadcast(names), "label").select("doc_id", F.array_join("synonyms", "|").alias("synonyms"))
 
 
 @query("""WITH x AS (SELECT conv_id, list(text ORDER BY turn) AS c FROM conversations GROUP BY conv_id) SELECT conv_id, least(len(c), 5) AS n, md5(array_to_string(c[1:5], '|')) AS context_md5 FROM x""")
@@ -328,10 +330,8 @@ def modification_flag(spark, d):
     return triples(spark, d).select("l_orderkey", "l_linenumber", F.when(new != F.col("t"), "modified").otherwise("unchanged").alias("flag"))
 
 
-def _nodes(spark, d):
-    parsed = triples(spark, d).select("l_orderkey", tr.parse(F.col("t")).alias("x"))
-    names = parsed.select("l_orderkey", F.explode(F.array("x.subject", "x.object")).alias("name")).distinct()
-    return parsed, names.withColumn("node_idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy("name")) - 1)
+def _graphs(spark, d):
+    return tr.graphs(triples(spark, d), "l_orderkey", "t")
 
 
 NODES = f"(SELECT l_orderkey, name, row_number() OVER (PARTITION BY l_orderkey ORDER BY name) - 1 AS node_idx FROM (SELECT DISTINCT l_orderkey, unnest([s, o]) AS name FROM {TRIPLES}))"
@@ -339,7 +339,7 @@ NODES = f"(SELECT l_orderkey, name, row_number() OVER (PARTITION BY l_orderkey O
 
 @query(f"SELECT l_orderkey, name, node_idx FROM {NODES}")
 def graph_nodes(spark, d):
-    return _nodes(spark, d)[1].select("l_orderkey", "name", "node_idx")
+    return _graphs(spark, d).select("l_orderkey", F.posexplode("names").alias("node_idx", "name")).select("l_orderkey", "name", "node_idx")
 
 
 EDGES = f"""(SELECT e.l_orderkey, a.node_idx AS src, b.node_idx AS dst, e.p AS predicate FROM (SELECT l_orderkey, s, p, o FROM {TRIPLES} UNION ALL SELECT l_orderkey, o, 'inverse_' || p, s FROM {TRIPLES}) e
@@ -347,10 +347,7 @@ JOIN {NODES} a ON a.l_orderkey = e.l_orderkey AND a.name = e.s JOIN {NODES} b ON
 
 
 def _edges(spark, d):
-    parsed, nodes = _nodes(spark, d)
-    edges = parsed.select("l_orderkey", F.explode(tr.both_directions(F.col("x.subject"), F.col("x.predicate"), F.col("x.object"))).alias("e")).select("l_orderkey", F.col("e.src").alias("s"), F.col("e.dst").alias("o"), "e.predicate")
-    side = lambda name, idx: nodes.select("l_orderkey", F.col("name").alias(name), F.col("node_idx").alias(idx))
-    return edges.join(side("s", "src"), ["l_orderkey", "s"]).join(side("o", "dst"), ["l_orderkey", "o"]).select("l_orderkey", "src", "dst", "predicate")
+    return tr.edges(_graphs(spark, d), "l_orderkey")
 
 
 @query(f"SELECT * FROM {EDGES}")

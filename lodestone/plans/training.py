@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.functions import vectors as vx
 from lodestone.functions.models import similarity_label
+from lodestone.operators import retrieval as rt
 from lodestone.operators import rows, trainset
 from lodestone.plans.registry import query
 from lodestone.plans.texts import TRIPLES, triples
@@ -51,11 +53,15 @@ def anti_join_questions(spark, d):
     return asked.withColumn("key", tx.question_key(F.col("input"))).join(seen, "key", "left_anti").select("o_orderkey", F.col("o_orderpriority").alias("answer"))
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 3) GROUP BY l_orderkey")
+REPLIES = "CASE l_orderkey % 5 WHEN 0 THEN 'Documents 1, 3 help.' WHEN 1 THEN 'none of them' WHEN 2 THEN '9,1' WHEN 3 THEN 'only 2' ELSE '1 , 2 and 7' END"
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, regexp_extract({REPLIES}, '[0-9]+( *, *[0-9]+)*') AS r FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+c AS (SELECT *, list_transform(string_split(r, ','), lambda k: trim(k)::BIGINT) AS k FROM x WHERE r <> '') SELECT l_orderkey, l_linenumber FROM c WHERE list_contains(k, i) OR list_max(k) > n""")
 def doc_index_filter(spark, d):
-    docs = _facts(spark, d).groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"))
-    chosen = F.transform(F.split(F.regexp_extract(F.lit("Documents 1, 3 help."), r"\d+(?:\s*,\s*\d+)*", 0), r"\s*,\s*"), lambda x: x.cast("int"))
-    return docs.select("l_orderkey", F.size(F.filter("lines", lambda x: F.array_contains(chosen, x))).cast("long").alias("n")).where("n > 0")
+    """Replies that name documents, none, or one that is not there."""
+    docs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(REPLIES).alias("reply"))
+    return trainset.select_docs(docs, "l_orderkey", "l_linenumber", "reply").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_partkey) AS titles, count(*) AS docs FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey")
@@ -73,18 +79,24 @@ def semi_join_topic(spark, d):
     return line.join(kept, ["l_orderkey", "l_partkey"], "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT vec_id, round(s, 6) AS similarity, s < 0.8 AS needs_subquery, CASE WHEN s < 0.8 THEN '[SUBQ=YES]' ELSE '[SUBQ=NO] No subquery is needed.' END AS label FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) * 4 AS s FROM embeddings)")
+@query("SELECT vec_id, s AS similarity, s < 0.8 AS needs_subquery, CASE WHEN s < 0.8 THEN '[SUBQ=YES]' ELSE '[SUBQ=NO] No subquery is needed.' END AS label FROM (SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10 UNION ALL SELECT vec_id, 1.0 FROM embeddings WHERE vec_id % 10 = 0)")
 def threshold_label(spark, d):
-    s = F.abs(F.col("embedding")[0].cast("double")) * 4
-    return table(spark, d, "embeddings").select("vec_id", F.round(s, 6).alias("similarity"), (s < 0.8).alias("needs_subquery"), similarity_label(s).alias("label"))
+    """Cosine of an answer's vector and a gold's: another of its label, or for some the same vector."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    other = e.select((F.col("vec_id") - 10).alias("vec_id"), F.col("embedding").alias("gold"), "label")
+    pairs = e.join(other, ["vec_id", "label"]).unionByName(e.where("vec_id % 10 = 0").withColumn("gold", F.col("embedding")))
+    scored = pairs.select("vec_id", F.round(vx.cosine(F.col("embedding"), F.col("gold")), 6).alias("s"))
+    return scored.select("vec_id", F.col("s").alias("similarity"), (F.col("s") < 0.8).alias("needs_subquery"), similarity_label(F.col("s")).alias("label"))
 
 
-@query("SELECT conv_id, turn, length(trim(text)) >= 200 AS can_answer FROM conversations JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') USING (conv_id) WHERE role = 'user'")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, max(round(list_dot_product(q.v, x.v), 6)) AS best FROM v q, v x WHERE q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id GROUP BY q.vec_id) SELECT query_id, best, best >= 0.8 AS can_answer FROM s WHERE query_id IN (SELECT doc_id FROM labels)")
 def threshold_retrieval(spark, d):
-    c = table(spark, d, "conversations")
-    answered = c.where("role = 'assistant'").select("conv_id").distinct()
-    score = F.length(F.trim("text")) / 250.0
-    return c.where("role = 'user'").join(answered, "conv_id").select("conv_id", "turn", (score >= 0.8).alias("can_answer"))
+    """Whether the best retrieved vector answers the question; unlabelled questions are dropped."""
+    vecs = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    found = rt.topk(vecs, vecs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 2).where("vec_id <> query_id")
+    best = found.groupBy("query_id").agg(F.max("score").alias("best"))
+    answered = table(spark, d, "labels").select(F.col("doc_id").alias("query_id")).distinct()
+    return best.join(answered, "query_id", "left_semi").select("query_id", "best", (F.col("best") >= 0.8).alias("can_answer"))
 
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON trim(b.text) = trim(d.text) UNION ALL SELECT item_id, item_id FROM benchmark")
@@ -154,7 +166,7 @@ def question_columns(b):
     return b.groupBy(F.expr("item_id div 1000").alias("block")).agg(F.collect_list("text").alias("question"), F.collect_list("item_id").alias("context")).drop("block")
 
 
-@query("SELECT text AS question, max_by(item_id, item_id) AS context FROM (SELECT text, item_id FROM benchmark UNION ALL SELECT text, item_id + 1000 FROM benchmark WHERE item_id % 2 = 0) WHERE item_id < 2000 GROUP BY text")
+@query("SELECT text AS question, max_by(item_id, item_id) AS context FROM (SELECT text, item_id FROM benchmark UNION ALL SELECT text, item_id + 1000 FROM benchmark WHERE item_id % 2 = 0) GROUP BY text")
 def question_context_map(spark, d):
     b = table(spark, d, "benchmark")
     columns = question_columns(b)
@@ -216,3 +228,115 @@ def model_boundary_stub(spark, d):
 
     prompts = table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return generate(prompts, "text", stub_answer).select("item_id", "output")
+
+
+# Question sets: an order is a question, its lines are its documents.
+
+def _items(spark, d):
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
+    g = _facts(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("ctxs"))
+    key = F.col("l_orderkey").cast("string")
+    return g.select("l_orderkey", key.alias("question"), F.array(key).alias("answers"), key.alias("answer"), "ctxs", F.col("ctxs").alias("docs"), F.transform("ctxs", lambda c: F.array(c["title"], c["text"])).alias("context"), F.concat(F.lit("title "), key).alias("s_wiki_title"), F.lit("author").alias("prop"), F.concat(F.lit("claim "), key).alias("claim"), F.when(F.col("l_orderkey") % 2 == 0, "true").otherwise("false").alias("label"))
+
+
+ITEMS = "(SELECT l_orderkey, l_orderkey::VARCHAR AS question, list(p_name ORDER BY l_linenumber, p_name, p_type) AS titles, list(p_type ORDER BY l_linenumber, p_name, p_type) AS texts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"
+
+
+@query(f"SELECT question, question AS answer, array_to_string(texts[1:5], '|') AS context, 'title ' || question AS s_wiki_title, 'author' AS prop FROM {ITEMS}")
+def adapt_ranked(spark, d):
+    return trainset.adapt(_items(spark, d), "ranked").select("question", F.array_join("answer", "|").alias("answer"), F.array_join("context", "|").alias("context"), "s_wiki_title", "prop")
+
+
+@query(f"SELECT question, question AS answer, array_to_string(texts[1:5], '|') AS context, 'claim ' || question AS claim, CASE WHEN l_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS label FROM {ITEMS}")
+def adapt_claims(spark, d):
+    return trainset.adapt(_items(spark, d), "claims").select("question", F.array_join("answer", "|").alias("answer"), F.array_join("context", "|").alias("context"), "claim", "label")
+
+
+@query(f"SELECT question, array_to_string(titles, '|') AS answer, array_to_string(texts, '|') AS context FROM {ITEMS}")
+def adapt_pairs(spark, d):
+    return trainset.adapt(_items(spark, d), "pairs").select("question", F.array_join("answer", "|").alias("answer"), F.array_join("context", "|").alias("context"))
+
+
+@query(f"SELECT question, question AS answer, array_to_string(texts, '|') AS context FROM {ITEMS}")
+def adapt_all_docs(spark, d):
+    return trainset.adapt(_items(spark, d), "all_docs").select("question", "answer", F.array_join("context", "|").alias("context"))
+
+
+@query(f"SELECT question, question AS answer FROM {ITEMS}")
+def adapt_plain(spark, d):
+    return trainset.adapt(_items(spark, d), "plain")
+
+
+@query(f"SELECT l_orderkey, array_to_string(list_transform(range(1, len(texts) + 1), lambda i: 'Document [' || i || '](Title: ' || titles[i] || '): ' || texts[i]), chr(10)) AS titled, array_to_string(list_transform(range(1, len(texts) + 1), lambda i: 'Document [' || i || ']: ' || texts[i]), chr(10)) AS plain FROM {ITEMS}")
+def document_blocks(spark, d):
+    return _items(spark, d).select("l_orderkey", tx.titled_documents(F.col("ctxs.title"), F.col("ctxs.text")).alias("titled"), tx.plain_documents(F.col("ctxs.text")).alias("plain"))
+
+
+TASKS = {"fever": "Verify it.", "asqa": "Answer at length. "}
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'Verify it.' || chr(10) || chr(10) || '### Input:' || chr(10) || text WHEN 1 THEN 'Answer at length. ' || text ELSE text END AS instruction FROM conversations WHERE role = 'user'""")
+def task_instruction(spark, d):
+    k = F.col("conv_id") % 3
+    task = F.when(k == 0, "fever").when(k == 1, "asqa").otherwise("other")
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", tx.instruction(task, F.col("text"), TASKS, {"fever": "\n\n### Input:\n"}).alias("instruction"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text, conv_id % 3 AS k, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'out ' || turn END AS o FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'in ' || text WHEN 1 THEN coalesce(CASE WHEN turn % 2 = 0 THEN 'do ' || turn END, text) ELSE 'Answer at length. ## Input:' || chr(10) || chr(10) || text END AS asks, CASE k WHEN 0 THEN coalesce(o, 'topic') ELSE coalesce(CASE WHEN turn % 3 = 0 THEN 'gold' END, o) END AS gold FROM x""")
+def model_inputs(spark, d):
+    k, turn = F.col("conv_id") % 3, F.col("turn").cast("string")
+    task = F.when(k == 0, "factscore").when(k == 1, "qa").otherwise("asqa")
+    item = {"input": F.concat(F.lit("in "), "text"), "instruction": F.when(F.col("turn") % 2 == 0, F.concat(F.lit("do "), turn)), "question": F.col("text"), "topic": F.lit("topic"), "output": F.when(F.col("turn") % 4 != 0, F.concat(F.lit("out "), turn)), "answers": F.when(F.col("turn") % 3 == 0, F.array(F.lit("gold")))}
+    asks, golds = tx.model_input(task, item, TASKS)
+    return table(spark, d, "conversations").select("conv_id", "turn", asks.alias("asks"), golds[0].alias("gold"))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(CASE WHEN turn % 2 = 0 THEN text || '  end' ELSE text END, '\s+', ' ', 'g')) AS answer FROM conversations""")
+def chat_answers(spark, d):
+    reply = F.concat(F.lit("[INST] ask [/INST]  "), "text", F.when(F.col("turn") % 2 == 0, "  end[/INST] more").otherwise("\n"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.chat_answer(reply).alias("answer"))
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, text, '[SUBQ] ' || text || chr(10) || 'Retrieved Graph Information: ' || turn AS line FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id, turn, 'Plan it.' || chr(10) || {PREFIX.format("line")} AS input, coalesce('[SUBQ] ' || lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') AS label FROM u)
+SELECT min_by(conv_id, (conv_id, turn)) AS conv_id, min_by(turn, (conv_id, turn)) AS turn, md5(input) AS input_md5, min_by(label, (conv_id, turn)) AS label FROM e WHERE input NOT IN (SELECT input FROM e WHERE conv_id % 7 = 0) GROUP BY input""")
+def planner_graph_prefixes(spark, d):
+    """Sub-queries with what was found for each; inputs that are done already are left out."""
+    u = table(spark, d, "conversations").where("role = 'user'").withColumn("found", F.col("turn").cast("string"))
+    done = trainset.graph_prefixes(u.where("conv_id % 7 = 0"), "conv_id", "turn", "text", "found", "Plan it.").select("input")
+    return trainset.graph_prefixes(u, "conv_id", "turn", "text", "found", "Plan it.", done).select("conv_id", "turn", F.md5("input").alias("input_md5"), "label")
+
+
+@query("SELECT i.doc_id, f.doc_id AS found FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE doc_id % 2 = 0) i JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE doc_id % 2 = 1) f USING (pos)")
+def retrieval_by_position(spark, d):
+    """A retrieval file without ids belongs to its questions by row position."""
+    docs = table(spark, d, "documents").select("doc_id")
+    items, found = (rows.number(docs.where(f"doc_id % 2 = {k}"), "doc_id") for k in (0, 1))
+    return trainset.paragraphs_of(items, found.withColumnRenamed("doc_id", "found"), None, "found").select("doc_id", "found")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('5:' || doc_id), doc_id LIMIT 200")
+def sample_200(spark, d):
+    """A seeded sample of a stated size."""
+    return table(spark, d, "documents").select("doc_id").orderBy(rows.hash_order(F.col("doc_id"), 5), "doc_id").limit(200)
+
+
+@query("SELECT event_id, 'run-' || (event_id % 1000) || '.ckpt' AS file, row_number() OVER (ORDER BY event_id % 1000, event_id) - 1 AS pos FROM events")
+def files_by_number(spark, d):
+    """Files in the order of the number in their names, not of the names."""
+    files = table(spark, d, "events").select("event_id", F.concat(F.lit("run-"), (F.col("event_id") % 1000).cast("string"), F.lit(".ckpt")).alias("file"))
+    return rows.number(files.withColumn("k", F.regexp_extract("file", r"(\d+)", 1).cast("long")), "k", "event_id").select("event_id", "file", "pos")
+
+
+CASES = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), r AS (SELECT q.vec_id AS query_id, x.vec_id, q.label AS wanted, x.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, x.v), 6) DESC, x.vec_id) AS rank FROM v q, v x WHERE q.vec_id % 50 = 0),
+t AS (SELECT query_id, wanted, min(rank) AS k FROM r WHERE label = wanted AND vec_id <> query_id GROUP BY ALL)"""
+
+
+@query(f"{CASES} SELECT query_id, 'Query ' || query_id || ' (label ' || wanted || '): best document at rank ' || k || CASE WHEN k <= 10 THEN ', found' ELSE ', missed' END AS line, least((k - 1) // 10, 9) AS bin FROM t")
+def case_report(spark, d):
+    """A line of text a query, and its bin of ten ranks for a histogram."""
+    vecs = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
+    ranks = rt.target_ranks(vecs, vecs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label"))
+    line = F.concat(F.lit("Query "), F.col("query_id").cast("string"), F.lit(" (label "), F.col("label").cast("string"), F.lit("): best document at rank "), F.col("target_rank").cast("string"), F.when(F.col("target_rank") <= 10, ", found").otherwise(", missed"))
+    return ranks.select("query_id", line.alias("line"), F.least(F.expr("(target_rank - 1) div 10"), F.lit(9)).alias("bin"))

@@ -151,4 +151,65 @@ def test_ranks_take_every_query(spark, monkeypatch):
     from lodestone.plans.retrieval import target_rank
 
     monkeypatch.setattr(retrieval, "BLOCK", 5)
-    assert target_rank(spark, "/root/testdata/sf0.001").select("query_id").distinct().count() == 20
+    assert target_rank(spark, "/root/testdata/sf0.001").select("query_id").distinct().count() == 10
+
+
+def test_candidates_are_k_a_query_and_task(spark):
+    """However many batches a task reads."""
+    r = np.random.default_rng(2)
+    vecs = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(r.normal(size=(900, 4)))], "vec_id long, v array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(r.normal(size=(5, 4)))], "query_id long, q array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert retrieval.candidates(vecs, queries, 10).count() == 5 * 3 * 10
+        assert retrieval.candidates(vecs, queries, 10_000).count() == 5 * 900
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_target_ranks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, size=(120, 3)).astype(float)
+    vecs = spark.createDataFrame([(i, list(x), f"l{i % 7}") for i, x in enumerate(v.tolist())] + [(999, None, "l0")], "vec_id long, v array<double>, label string").repartition(4)
+    queries = vecs.where("vec_id % 11 = 0 AND vec_id < 120").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label")
+    queries = queries.unionByName(spark.createDataFrame([(500, [1.0, 0.0, 0.0], "none")], queries.schema))
+    want = {}
+    for i in range(0, 120, 11):
+        order = np.lexsort((np.arange(120), -(v @ v[i])))
+        want[i] = 1 + next(k for k, j in enumerate(order) if j != i and j % 7 == i % 7)
+    assert {x.query_id: x.target_rank for x in retrieval.target_ranks(vecs, queries).collect()} == want
+
+
+def test_hops_stop_and_move_on(spark):
+    from lodestone.plans.loop import hops
+
+    v = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.5, 2.0]), (3, [0.0, 3.0]), (50, [0.0, 0.1])]
+    vecs = spark.createDataFrame([(i, x) for i, x in v], "vec_id long, v array<double>")
+    queries = vecs.where("vec_id IN (0, 50)").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    got = {(r.query_id, r.hop): r.vec_id for r in hops(vecs, queries, 3, enough=1.0).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (50, 1): 3, (50, 2): 2}
+
+
+def test_select_docs(spark):
+    replies = {1: "Docs 2 , 3 help, not 1", 2: "none", 3: "4", 4: "0,1", 5: "x1"}
+    docs = spark.createDataFrame([(q, i * 10, replies[q]) for q in replies for i in range(3)], "q long, p long, reply string")
+    got = sorted((r.q, r.p) for r in trainset.select_docs(docs, "q", "p", "reply").collect())
+    assert got == [(1, 10), (1, 20), *[(3, 10 * i) for i in range(3)], *[(4, 10 * i) for i in range(3)], (5, 0)]
+
+
+def test_text_map_takes_the_last(spark):
+    df = lambda *t: spark.createDataFrame(list(t), "doc_id long, text string")
+    got = corpora.text_map(df((1, "a"), (2, "a"), (3, "b"), (4, "c")), df((7, "a"), (9, "a"), (8, "b"), (6, "b"))).collect()
+    assert sorted((r.left_id, r.right_id) for r in got) == [(1, 9), (2, 9), (3, 8)]
+
+
+def test_scratch_needs_shared_storage(spark):
+    from lodestone import tables
+
+    class Far:
+        sparkContext = type("C", (), {"master": "yarn", "getCheckpointDir": lambda self: None})()
+        conf = type("F", (), {"get": lambda self, *a: None})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Far())
