@@ -66,6 +66,17 @@ def read_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("tr
     return spark.read.parquet(folder).where(F.col("split").isin(*splits))
 
 
+def read_texts(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
+    """The text column of a CSV file with a header, for inference."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(F.col(column).alias("text"))
+
+
+def read_index(spark: SparkSession, path: str, split: str, splits: list | None = None) -> DataFrame:
+    """Vectors, ids and texts of an index; only the folders of the wanted splits are read."""
+    rows = spark.read.parquet(f"{path}/vectors")
+    return rows if splits is None else rows.where(F.col(split).isin(*splits))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -75,8 +86,11 @@ def write_csv(df: DataFrame, path: str, column: str = "text") -> None:
     df.where(F.col(column) != "").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_splits(df: DataFrame, path: str, name: str = "split") -> None:
+def write_splits(df: DataFrame, path: str, name: str = "split", sample: int = 0) -> None:
+    """A folder a split, and beside them `sample` rows as JSON lines to look at."""
     df.write.mode("overwrite").partitionBy(name).parquet(path)
+    if sample:
+        df.sparkSession.read.parquet(path).limit(sample).write.mode("overwrite").json(f"{path.rstrip('/')}_sample")
 
 
 def write_index(df: DataFrame, path: str, vector: str = "embedding", split: str | None = None) -> DataFrame:

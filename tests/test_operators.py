@@ -117,12 +117,19 @@ def test_sources(spark, tmp_path):
 
     (tmp_path / "AA").mkdir()
     (tmp_path / "AA" / "w.bz2").write_bytes(bz2.compress(json.dumps({"id": "1", "title": "T", "url": "u", "text": [["T"], ["a <a href=\"x\">b</a>", " c. "]]}).encode() + b"\nbroken\n"))
-    assert [r.paragraphs for r in sources.read_articles(spark, f"{base}/AA").where("id IS NOT NULL").collect()] == [["T", "a b c."]]
+    assert [(r.paragraphs, r.file) for r in sources.read_articles(spark, f"{base}/AA").where("id IS NOT NULL").collect()] == [(["T", "a b c."], 0)]
     df = spark.createDataFrame([(1, 'say "hi"', [3.0, 4.0], "train"), (2, "", [0.0, 0.0], "val")], "id long, text string, embedding array<float>, split string")
     sources.write_csv(df.select("id", "text"), f"{base}/csv")
     assert spark.read.option("header", True).option("escape", '"').csv(f"{base}/csv").first().text == 'say "hi"'
     assert tuple(sources.write_index(df, f"{base}/ix").first()) == (2, 2, "ip")
-    sources.write_splits(df, f"{base}/sp")
+    sources.write_index(df, f"{base}/parts", split="split")
+    part = sources.read_index(spark, f"{base}/parts", "split", ["val"])
+    assert [r.id for r in part.collect()] == [2] and len(sources.read_index(spark, f"{base}/parts", "split").collect()) == 2
+    assert all("split=val" in f for f in part.select("_metadata.file_path").distinct().toPandas()["file_path"])
+    (tmp_path / "t.csv").write_text('id,text\n1,"a ""b"", c"\n')
+    assert [r.text for r in sources.read_texts(spark, f"{base}/t.csv").collect()] == ['a "b", c']
+    sources.write_splits(df, f"{base}/sp", sample=1)
+    assert spark.read.json(f"{base}/sp_sample").count() == 1
     assert sources.read_splits(spark, f"{base}/sp", ("train",)).count() == 1
     sources.write_jsonl(df, f"{base}/js")
     assert sources.read_jsonl(spark, f"{base}/js", "id long").count() == 2
