@@ -334,7 +334,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row of `df` of each class: of the smallest id, where rows with a null id come last, then by text."""
     _, nodes = _labelled(_docs(df, id_col, text_col), similarity, theta)
     tops = materialize(nodes.groupBy("label").agg(F.min("top").alias("top")).select(F.col("top.doc_id").alias("_id"), F.col("top.h1").alias("_h1"), F.col("top.h2").alias("_h2")), "tops")
-    own = {f"_own_{k}": h for k, h in _text_hashes("_own").items()}
-    rows = df.withColumn("_own", F.coalesce(F.col(text_col), F.lit(""))).withColumns(own).drop("_own")
-    kept = rows.join(tops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_h1") == F.col("_h1")) & (F.col("_own_h2") == F.col("_h2")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own_h1", "_own_h2"]).drop("_own_h1", "_own_h2")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The input's row is one value until the end, so its columns meet none of these names.
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_own_id"), F.xxhash64(text).alias("_own_h1"), F.xxhash64(F.lit(1), text).alias("_own_h2"))
+    kept = rows.join(tops, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_h1") == F.col("_h1")) & (F.col("_own_h2") == F.col("_h2")), "left_semi")
+    return kept.dropDuplicates(["_own_id", "_own_h1", "_own_h2"]).select(*[F.col("_row").getField(c).alias(c) for c in df.columns])

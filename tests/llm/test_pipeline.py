@@ -26,6 +26,35 @@ def test_stages_follow_their_operators(spark):
     assert all(r.decoded_sha256 == texts[r.doc_id] for r in last)
 
 
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, n string, _own string, _k1 string, gram string, good string"
+
+
+def test_stages_meet_nulls_repeats_and_clashing_columns(spark):
+    """Each stage gives whole rows of its input back, one of each text and class, whatever the columns hold."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "a b c d e f", "en", "src1"), (1, "a b c d e f", "en", "src1"), (1, "other words are here now", None, None), (2, None, None, None), (3, "", "en", "src2"), (None, "no id at all here", "de", "srcX"), (None, "no id at all here", "de", "srcX"), (None, None, None, None), (7, long, "en", "src1"), (8, long + " end", "en", "src1"), (9, "\n \t", "en", "src1")]
+    rows = [(*r, None, "n", "own", "k", "g", "yes") for r in rows]
+    docs = spark.createDataFrame(rows, EDGE)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialize(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns and out.subtract(docs).count() == 0, name
+        counts.append(out.count())
+        docs = out
+    assert counts[0] == len(rows)
+    assert counts[1] == len({" ".join((r[1] or "").split()) if (r[1] or "").strip() else ("" if not r[1] else " ") for r in rows})
+    assert counts[2] == counts[1] - 1 and 0 < counts[3] <= counts[2]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == counts[3]
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], EDGE)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
 def test_held_out_accuracy(spark):
     """Labels that the model has not seen: nearly all good documents stay, most junk goes."""
     sf = "/root/testdata/sf0.01"
