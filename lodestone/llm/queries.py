@@ -39,7 +39,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return judged.select("doc_id", "lang", "n_scored", "log_perplexity", "threshold", F.col("good").alias("kept"))
 
 
