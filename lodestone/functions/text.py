@@ -89,6 +89,12 @@ def soft_match(prediction: Column, golds: Column, vector: Column, gold_vectors:
     return hit | near, ~hit & near
 
 
+def candidates(reply: Column, n: int = 3) -> Column:
+    """Answers that a reply lists: all of a JSON array, or else the first n between commas, stripped."""
+    parsed = F.from_json(F.when(F.regexp_like(reply, F.lit(r"^\s*\[[\s\S]*\]\s*$")), reply), "array<string>")
+    return F.coalesce(parsed, F.transform(F.slice(F.split(reply, ","), 1, n), strip))
+
+
 def entity_tags(x: Column) -> Column:
     """Map of entity to tag from 'entity <tag>' runs; a later entity wins. The two expressions are fixed
     values: they define what an entity and a tag are."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def theme_of(v: Column, mode: Column, shift: Callable[[Column], Column]) -> Column:
+    """A question's distribution (mode 'q') shifted towards those of documents; a document's as it is."""
+    return F.when(mode == "q", shift(v)).otherwise(v)
+
+
 def top_positions(v: Column, k: int) -> Column:
     """The k largest entries as structs (p, i), ties to the smaller position."""
     pairs = F.transform(v, lambda x, i: F.struct((-x.cast("double")).alias("n"), i.alias("i")))

@@ -162,11 +162,13 @@ def citation_join(spark, d):
     return x.select("conv_id", F.md5(joined).alias("answer_md5"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE event_type END AS first, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n FROM events""")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN event_type ELSE '["' || event_type END AS first, CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END::BIGINT AS n, CASE event_id % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'y' ELSE 'b' END AS last FROM events""")
 def json_or_csv(spark, d):
-    reply = F.when(F.col("event_id") % 2 == 0, '["a", "b"]').otherwise(F.concat("event_type", F.lit(",x,y,z")))
-    parsed = F.coalesce(F.from_json(F.when(F.startswith(reply, F.lit("[")), reply), "array<string>"), F.slice(F.split(reply, ","), 1, 3))
-    return table(spark, d, "events").select("event_id", parsed.alias("c")).select("event_id", F.get("c", F.lit(0)).alias("first"), F.size("c").cast("long").alias("n"))
+    """A list of any length, names between commas, and a list that is cut off."""
+    k = F.col("event_id") % 3
+    reply = F.when(k == 0, ' ["a", "b", "c", "d"]').when(k == 1, F.concat(F.lit(" "), "event_type", F.lit(" ,x, y ,z"))).otherwise(F.concat(F.lit('["'), "event_type", F.lit(", b")))
+    c = table(spark, d, "events").select("event_id", tx.candidates(reply).alias("c"))
+    return c.select("event_id", F.get("c", F.lit(0)).alias("first"), F.size("c").cast("long").alias("n"), F.try_element_at("c", F.lit(-1)).alias("last"))
 
 
 @query("""SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN json_extract_string(props, '$.k') END, event_type) AS answer FROM events""")

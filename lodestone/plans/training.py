@@ -8,7 +8,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.functions.models import similarity_label
 from lodestone.operators import retrieval as rt
-from lodestone.operators import rows, trainset
+from lodestone.operators import reasoning, rows, trainset
 from lodestone.plans.registry import query
 from lodestone.plans.texts import TRIPLES, triples
 from lodestone.tables import table
@@ -340,3 +340,57 @@ def case_report(spark, d):
     ranks = rt.target_ranks(vecs, vecs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label"))
     line = F.concat(F.lit("Query "), F.col("query_id").cast("string"), F.lit(" (label "), F.col("label").cast("string"), F.lit("): best document at rank "), F.col("target_rank").cast("string"), F.when(F.col("target_rank") <= 10, ", found").otherwise(", missed"))
     return ranks.select("query_id", line.alias("line"), F.least(F.expr("(target_rank - 1) div 10"), F.lit(9)).alias("bin"))
+
+
+# Several model calls a question, with stand-ins for the model that read what the prompts say.
+
+def _asks(prompts: list[str]) -> list[str]:
+    """The third question of a key gets no proper reply."""
+    out = []
+    for p in prompts:
+        n = p.count("\n- ")
+        out.append("none" if n == 2 else f' "Which part is {p.split(chr(10))[1]}, number {n}?" ')
+    return out
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, lower(p_name) AS topic, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, lower(p_name)) - 1 AS n FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, l_linenumber, CASE WHEN n = 2 THEN 'What does this document tell us about ' || topic || '?' ELSE 'Which part is ' || topic || ', number ' || n || '?' END AS sub_query, n = 2 AS is_fallback FROM x""")
+def pip_subqueries(spark, d):
+    """A question for each document of an order, asked with those before it."""
+    docs = _facts(spark, d).select("l_orderkey", "l_linenumber", F.lower("p_name").alias("topic"))
+    prompt = lambda row, before: "\n".join([f"Ask about this part of order {row['l_orderkey']}.", row["topic"], "Asked:", *[f"- {q}" for q in before]])
+    return reasoning.sub_queries(docs, "l_orderkey", ["l_linenumber", "topic"], "topic", _asks, prompt).drop("topic")
+
+
+def _reads(prompts: list[str]) -> list[str]:
+    """By a prompt's first line; even questions get a JSON list, those divisible by three an object as choice."""
+    out = []
+    for p in prompts:
+        kind, q, rest = p.split("\n", 2)
+        if kind == "propose":
+            out.append(f'["a {q}", "b {q}"]' if int(q) % 2 == 0 else f"x {q} , y {q}, z,w")
+        elif kind == "sum up":
+            out.append(f"{rest.split(chr(10))[0]} in {rest.count('[')}")
+        else:
+            last = rest.rsplit("Candidate '", 1)[1].split("'")[0]
+            out.append(f'{{"final_answer": "{last}"}}' if int(q) % 3 == 0 else "unsure")
+    return out
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, question AS q, least(len(texts), 5) AS k, CASE WHEN l_orderkey % 2 = 0 THEN ['a ' || question, 'b ' || question] ELSE ['x ' || question, 'y ' || question, 'z'] END AS c FROM {ITEMS})
+SELECT l_orderkey, array_to_string(c, '|') AS candidates, array_to_string(list_transform(c, lambda v: v || ' in ' || k), '|') AS summaries, CASE WHEN l_orderkey % 3 = 0 THEN c[-1] ELSE c[1] END AS output FROM x""")
+def pip_candidates(spark, d):
+    """Candidates, a summary of the documents for each, and a choice."""
+    items = _items(spark, d).select("l_orderkey", "question", tx.evidence_block(F.col("ctxs.title"), F.col("ctxs.text"), 5).alias("passages"))
+    lines = lambda *parts: F.concat_ws("\n", *parts)
+    got = reasoning.answer_by_candidates(
+        items, "l_orderkey", "question", "passages", _reads, lambda q: lines(F.lit("propose"), q, F.lit("")),
+        lambda q, c, p: lines(F.lit("sum up"), q, c, p), lambda q, s: lines(F.lit("verify"), q, s))
+    return got.select("l_orderkey", F.array_join("candidates", "|").alias("candidates"), F.array_join("summaries", "|").alias("summaries"), "output")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN round(embedding[len(embedding)]::DOUBLE, 6) ELSE round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings")
+def theme_mode(spark, d):
+    """Questions' distributions are shifted (here: turned round), documents' are not."""
+    mode = F.when(F.col("vec_id") % 2 == 0, "q").otherwise("d")
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(vx.theme_of(F.col("embedding"), mode, F.reverse), F.lit(0)).cast("double"), 6).alias("first"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import sources
 from lodestone.functions import models
-from lodestone.operators import corpora, retrieval, rows, trainset
+from lodestone.operators import corpora, reasoning, retrieval, rows, trainset
 from lodestone.operators.asof import asof
 
 
@@ -220,3 +220,29 @@ def test_scratch_needs_shared_storage(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Far())
+
+
+def test_sub_queries(spark):
+    def hook(prompts):
+        if "broken" in prompts[0]:
+            raise RuntimeError
+        return [f'"Is it {prompts[0]}?"']
+
+    docs = spark.createDataFrame([(1, 0, "long topic", "x"), (1, 1, "broken", None), (1, 2, None, "z"), (None, 0, "no key here", "y"), (2, 0, "t", "w")], "k long, p long, topic string, other string")
+    got = {(r.k, r.p): (r.sub_query, r.is_fallback, r.other) for r in reasoning.sub_queries(docs, "k", ["p"], "topic", hook, lambda row, before: f"{row['topic']}/{len(before)}", tries=2).collect()}
+    assert got == {
+        (1, 0): ("Is it long topic/0?", False, "x"), (1, 1): ("What does this document tell us about broken?", True, None), (1, 2): ("Is it None/2?", False, "z"),
+        (None, 0): ("Is it no key here/0?", False, "y"), (2, 0): ("What does this document tell us about t?", True, "w")}  # ten characters are too few
+    assert reasoning.sub_queries(docs.limit(0), "k", ["p"], "topic", hook, lambda row, before: "").count() == 0
+
+
+def test_answer_by_candidates(spark):
+    replies = {"q1": '["a", "b"]', "q2": "c , d", "q3": "[]", "q4": '["a", 3'}
+
+    def hook(prompts):
+        return [replies[p[1:]] if p[0] == "?" else p.upper() if p[0] == "s" else '{"final_answer": "b"}' if "Candidate 'b'" in p else "{}" for p in prompts]
+
+    items = spark.createDataFrame([(i, f"q{i}", "p") for i in range(1, 5)], "k long, q string, p string")
+    got = reasoning.answer_by_candidates(items, "k", "q", "p", hook, lambda q: F.concat(F.lit("?"), q), lambda q, c, p: F.concat(F.lit("s"), q, c, p), lambda q, s: F.concat(F.lit("v"), q, s))
+    assert {r.k: (r.candidates, r.summaries, r.output) for r in got.collect()} == {
+        1: (["a", "b"], ["SQ1AP", "SQ1BP"], "b"), 2: (["c", "d"], ["SQ2CP", "SQ2DP"], "c"), 3: ([], [], None), 4: (['["a"', "3"], ['SQ4["A"P', "SQ43P"], '["a"')}
