@@ -14,8 +14,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label for every end of `links` (u, v): the label is the component's smallest node. Each
-    round is two aggregations and joins; a hub's rows are split by the skew join. Self-links and nulls
-    say nothing and are left out."""
+    round is two aggregations and joins. A hub's rows, two names each, meet in one task: its own minimum
+    is made in the join's stage, so the skew join can't split them. Self-links and nulls say nothing and are left out."""
     edges = materialize(links.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "links")
     before = None
     while (mark := _mark(edges)) != before:
