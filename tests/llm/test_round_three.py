@@ -1,12 +1,15 @@
 """Token counts, periodic runs and hard negatives against the library and brute force, and their edge cases."""
 
+import math
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import token_counts
+from lodestone.llm import hard_negatives, token_counts
+from lodestone.operators import retrieval
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string"
@@ -58,3 +61,59 @@ def test_token_counts_do_not_depend_on_their_bounds(monkeypatch, batch, long):
         cut = token_counts.pieces(text)
         assert "".join(cut) == text
         assert sum(token_counts.lengths(cut, source)) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+# 13
+
+def brute_negatives(rows, every=100, scale=256.0, n_pos=5, n_neg=10, low=30, high=90):
+    """rows(id, vector, label, ..) -> the rows of hard_negatives.mine, pair by pair."""
+    fit = [(i, [math.floor(scale * x) for x in v], y) for i, v, y, *_ in rows if None not in (i, v, y) and all(x is not None and math.isfinite(x) for x in v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for i, v, y in {(i, tuple(v), y) for i, v, y in fit if i % every == 0}:
+        met = [(-dot(v, w), j, z) for j, w, z in fit if len(w) == len(v)]
+        for s, j, _ in sorted(x for x in met if x[2] == y and x[1] != i)[:n_pos]:
+            inside = sorted((t, k) for t, k, z in met if z != y and low * -s <= 100 * -t <= high * -s)
+            out += [(i, j, r + 1, k, -s, -t) for r, (t, k) in enumerate(inside[:n_neg])]
+    return sorted(out)
+
+
+def vectors(n, dim, seed, size=1.0):
+    r = random.Random(seed)
+    return [(i, [r.choice((0.0, -size, size, r.uniform(-size, size))) for _ in range(dim)], r.randint(0, 3)) for i in range(n)]
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, _own string"
+
+
+@pytest.mark.parametrize("dim, size, chunk, block", [(4, 1.0, 7, 4096), (4, 1.0, 1024, 8), (1, 0.01, 64, 16), (8, 2.0**14, 64, 4096), (2, 2.0**17, 5, 4096)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, dim, size, chunk, block):
+    """Few distinct vectors, so that scores tie at every edge; components that take three, two or one field."""
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    monkeypatch.setattr(hard_negatives, "CHUNK", chunk)
+    rows = [(*x, "mine") for x in vectors(300, dim, dim, size)]
+    rows += [(600 + k, rows[0][1], k % 3, "same") for k in range(80)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(5)
+    got = hard_negatives.mine(df, F.col("vec_id") % 10 == 0, n_positives=3, n_negatives=4)
+    held = [(r.vec_id, r.embedding, r.label) for r in df.collect()]  # as 32-bit floats
+    assert sorted(map(tuple, got.collect())) == brute_negatives(held, 10, n_pos=3, n_neg=4) != []
+
+
+def test_hard_negatives_meet_nulls_repeats_and_other_lengths(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 1.0], 1, "x"), (0, [1.0, 1.0], 1, "x"), (0, [0.5, 1.0], 2, "other"), (1, [1.0, 0.9], 1, None), (1, [1.0, 0.9], 1, None), (2, [0.5, 0.5], 2, None), (2, [0.5, 0.5], 2, None), (3, [0.5, 0.4], 3, None), (None, [0.5, 0.5], 2, None), (4, None, 2, None), (5, [0.5, 0.5], None, None),
+            (6, [0.5, None], 2, None), (7, [nan, 0.5], 2, None), (8, [inf, 0.5], 2, None), (9, [-inf, 0.5], 2, None), (11, [0.5], 2, None), (100, [1.0], 1, None), (12, [2.0], 1, None), (13, [], 1, None), (200, [], 1, None), (14, [], 2, None), (-100, [0.0, 0.0], 3, None)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = hard_negatives.mine(df, F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_negatives(rows) != []
+    assert hard_negatives.mine(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_packed_products_are_exact():
+    r = np.random.default_rng(3)
+    for bits in (0, 3, 8, 14, 20, 22):
+        a, c = (r.integers(-(2**bits), 2**bits, (9, 12), endpoint=True).astype(float) for _ in range(2))
+        assert (hard_negatives.scores(a, c[:7]) == a.astype(np.int64) @ c[:7].astype(np.int64).T).all()
+    assert hard_negatives.scores(np.zeros((2, 0)), np.zeros((3, 0))).tolist() == [[0] * 3] * 2
+    with pytest.raises(ValueError, match="bits"):
+        hard_negatives.scores(np.full((1, 1), 2.0**40), np.full((1, 1), 2.0**40))
