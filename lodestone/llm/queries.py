@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, exact_dedup, hard_negatives, licenses, line_rules, mixing, near_dedup, quality_lm, sharding, token_counts, warc
+from lodestone.llm import bpe, chat, exact_dedup, hard_negatives, licenses, line_rules, mixing, near_dedup, periods, quality_lm, sharding, token_counts, warc
 from lodestone.tables import materialize, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,6 +63,11 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periods.made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periods.digests(periods.find(texts, keep=["doc_id"]))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -73,5 +78,5 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=relabelled)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_warc_bundles, op4_exact_dedup, op5_quality_lm, op6_hierarchical_mix, op7_minhash_near_dedup, op8_hash_tree_shards, op9_license_scan, op10_line_rules, op12_token_counts, op13_hard_negatives)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_warc_bundles, op4_exact_dedup, op5_quality_lm, op6_hierarchical_mix, op7_minhash_near_dedup, op8_hash_tree_shards, op9_license_scan, op10_line_rules, op11_periodic_runs, op12_token_counts, op13_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE, "op3_warc_bundles": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_hierarchical_mix": mixing.ORACLE, "op10_line_rules": line_rules.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

@@ -1,14 +1,17 @@
 """Token counts, periodic runs and hard negatives against the library and brute force, and their edge cases."""
 
+import hashlib
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import hard_negatives, token_counts
+from lodestone.llm import hard_negatives, periods, token_counts
 from lodestone.operators import retrieval
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -117,3 +120,97 @@ def test_packed_products_are_exact():
     assert hard_negatives.scores(np.zeros((2, 0)), np.zeros((3, 0))).tolist() == [[0] * 3] * 2
     with pytest.raises(ValueError, match="bits"):
         hard_negatives.scores(np.full((1, 1), 2.0**40), np.full((1, 1), 2.0**40))
+
+
+# 11
+
+def brute_runs(w, least=12):
+    """Every maximal stretch of each period, in order of periods: a stretch counts for its smallest."""
+    out = {}
+    for p in range(1, len(w) // 2 + 1):
+        x = 0
+        while x + p < len(w):
+            start = x
+            while x + p < len(w) and w[x] == w[x + p]:
+                x += 1
+            if x - start >= p and x - start + p >= least:
+                out.setdefault((start, x - start + p), p)
+            x += x == start
+    return sorted((s, n, p) for (s, n), p in out.items())
+
+
+def periodic(r, few):
+    """Words of a small alphabet with repeated passages of several periods put in."""
+    out = [r.randint(1, few) for _ in range(r.randint(0, 120))]
+    for _ in range(r.randint(0, 3)):
+        passage, at = [r.randint(1, 50) for _ in range(r.randint(1, 60))], r.randint(0, len(out))
+        out[at:at] = (passage * r.randint(2, 9))[: r.randint(1, 300)]
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 12])
+def test_runs_equal_brute_force(least):
+    r = random.Random(least)
+    for _ in range(60):
+        some = [periodic(r, r.randint(1, 4)) for _ in range(r.randint(1, 8))]
+        for w, runs in zip(some, periods.runs_of([np.array(w, np.int64) for w in some], least)):
+            assert list(map(tuple, runs.tolist())) == brute_runs(w, least)
+
+
+def test_cover_reaches_every_pair():
+    assert {(a - b) % periods.PERIOD for a in periods.COVER for b in periods.COVER} == set(range(periods.PERIOD))
+
+
+def test_extensions_equal_brute_force():
+    r = random.Random(5)
+    texts = periods.Texts([np.array(periodic(r, 2), np.int64) for _ in range(6)])
+    extend, w = periods.Extensions(texts), texts.words
+    for k, n in enumerate(texts.sizes):
+        a, b = (texts.starts[k] + np.array([r.randint(0, n) for _ in range(300)]) for _ in range(2))
+        a, b = a[a != b], b[a != b]
+        want = [next(t for t in range(1 << 20) if w[x + t] != w[y + t] or not w[x + t]) for x, y in zip(a, b)]
+        assert extend(a, b).tolist() == want
+
+
+def run_digests(i, text):
+    """A row of the query, word by word, for a text that is as it is."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    runs = brute_runs(w)
+    gone = {x for s, n, q in runs for x in range(s + q, s + n)}
+    s, n, q = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None,) * 3
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return i, len(runs), s, n, q, runs and 1000 * n // q or None, sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)), sha(" ".join(x for k, x in enumerate(w) if k not in gone))
+
+
+def test_run_digests_equal_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, r.choice([" ", "\n", "\t \x0b"]).join(f"w{x}é" for x in periodic(r, 3)), "en") for i in range(40)]
+    rows += [(None, None, None), (50, "", None), (51, " \n ", "en"), (52, "a " * 30, "en"), (52, "a " * 30, "en"), (None, "x y " * 9, None), (53, " ".join(map(str, range(40_000))), "en"), (54, "one two\x85three " * 40, "en"), (55, "\x1c \x1c " * 12, "en")]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"runs": F.lit("mine"), "collapsed": F.lit("mine")})
+    want = sorted((run_digests(i, x) for i, x, _ in rows if i != 53), key=repr)
+    for block, pairs in ((1 << 17, 1 << 20), (100, 50)):
+        monkeypatch.setattr(periods, "BLOCK_WORDS", block)
+        monkeypatch.setattr(periods, "PAIRS", pairs)
+        small = df if block > 100 else df.where("doc_id IS NULL OR doc_id <> 53")
+        got = [tuple(x) for x in periods.digests(periods.find(small)).collect()]
+        assert sorted((x for x in got if x[0] != 53), key=repr) == want
+    assert periods.find(df.where("false")).columns == ["doc_id", "text", "lang", "runs", "collapsed"]
+    assert periods.digests(periods.find(df.where("false"))).count() == 0
+
+
+def test_texts_made_periodic(spark):
+    ids = [None, *range(200)]
+    text = "a b\tc  d e f g h i j k l m n o p q r s t u v"
+    rows = [(i, text, "en") for i in ids] + [(i, x, None) for i in range(60) for x in (None, "", " ", "one")]
+    got = periods.made_periodic(spark.createDataFrame(rows, DOCS))
+    want = []
+    for i, x, lang in rows:
+        w, h = re.findall(r"[^\x20\x09-\x0D]+", x or ""), None if i is None else zlib.crc32(str(i).encode())
+        if h is not None and h % 10 == 0 and w:
+            g = h // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            x = " ".join(w[k] if k < a else w[a + (k - a) % p] for k in range(len(w)))
+        want.append((i, x, lang))
+    assert sum(x != y for x, y in zip(want, rows)) > 5
+    assert sorted(((i, x or "", y) for i, x, y in map(tuple, got.collect())), key=repr) == sorted(((i, x or "", y) for i, x, y in want), key=repr)
