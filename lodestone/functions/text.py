@@ -61,13 +61,18 @@ def _counted(words: Column) -> Column:
     return bind(F.array_sort(words), lambda a: F.transform(a, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(a, w)).cast("string"))))
 
 
-def best_f1(prediction: Column, golds: Column) -> Column:
-    """The greatest token F1 over the gold answers; each answer is normalised once."""
+def best_overlap(prediction: Column, golds: Column, words: Callable[[Column], Column]) -> Column:
+    """The greatest F1 of the texts' multisets of words over the gold answers; each answer is split once."""
     def f1(p: Column, g: Column) -> Column:
         same = F.size(F.array_intersect(p, g))
         return F.when(same == 0, 0.0).otherwise(2.0 * same / F.greatest(F.size(p) + F.size(g), F.lit(1)))
 
-    return bind(_counted(answer_words(prediction)), lambda p: F.array_max(F.transform(golds, lambda gold: bind(_counted(answer_words(gold)), lambda g: f1(p, g)))))
+    return bind(_counted(words(prediction)), lambda p: F.array_max(F.transform(golds, lambda gold: bind(_counted(words(gold)), lambda g: f1(p, g)))))
+
+
+def best_f1(prediction: Column, golds: Column) -> Column:
+    """The greatest token F1 of normalised answers over the gold answers."""
+    return best_overlap(prediction, golds, answer_words)
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import rouge
 from lodestone.functions import text as tx
+from lodestone.operators import evaluation
 from lodestone.plans.registry import query
-from lodestone.plans.texts import f1_sql, norm_sql
+from lodestone.plans.texts import f1_sql, norm_sql, overlap_sql
 from lodestone.tables import table
 
 
@@ -131,9 +133,68 @@ def full_batches_only(spark, d):
 
 @query(None)
 def rouge_lsum(spark, d):
-    from lodestone.functions.rouge import rouge_lsum as score
+    return _pairs(spark, d).select("conv_id", "turn", F.round(rouge.rouge_lsum(F.col("p"), F.col("g")), 6).alias("rouge"))
 
-    return _pairs(spark, d).select("conv_id", "turn", F.round(score(F.col("p"), F.col("g")), 6).alias("rouge"))
+
+def _with_golds(spark, d):
+    """Each prediction with two gold answers: the neighbouring turn's, and a sentence of its own in other words."""
+    return _pairs(spark, d).withColumn("golds", F.array("g", F.concat(F.lit("An "), F.reverse(F.split("p", " "))[0], F.lit(" of "), "g")))
+
+
+@query(None)
+def rouge_stemmed(spark, d):
+    """All kinds with stemming, by the better of two gold answers."""
+    x = _with_golds(spark, d).select("conv_id", "turn", rouge.rouge(F.col("p"), F.col("golds")).alias("r"))
+    return x.select("conv_id", "turn", *[F.round(F.col("r")[k], 6).alias(k.lower()) for k in rouge.KINDS])
+
+
+@query(None)
+def bootstrap_rouge(spark, d):
+    """The mean of stemmed ROUGE and its spread, by task."""
+    x = _with_golds(spark, d).withColumn("r", rouge.rouge(F.col("p"), F.col("golds")))
+    x = x.select("conv_id", "turn", F.expr("conv_id % 3").alias("task"), *[F.col("r")[k].alias(k.lower()) for k in rouge.KINDS])
+    return evaluation.bootstrap(x, F.concat_ws(":", "conv_id", "turn"), [k.lower() for k in rouge.KINDS], ["task"], 200)
+
+
+WITH_GOLDS = f"(SELECT *, [g, 'An ' || string_split(p, ' ')[-1] || ' of ' || g] AS golds FROM {PAIRS})"
+R1_WORDS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+OVER = lambda f: f"list_max(list_transform(golds, lambda q: {f}))"
+METRIC_SQL = {
+    "em": OVER(f"({norm_sql('p')} = {norm_sql('q')})::INT::DOUBLE"), "f1": OVER(f1_sql("p", "q")), "match": OVER(f"contains({norm_sql('p')}, {norm_sql('q')})::INT::DOUBLE"),
+    "contains": OVER("contains(lower(p), lower(q))::INT::DOUBLE"), "rouge1": OVER(overlap_sql(R1_WORDS("p"), R1_WORDS("q")))}
+
+
+@query(f"SELECT conv_id, turn, " + ", ".join(f"round({sql}, 9) AS {m}" for m, sql in METRIC_SQL.items()) + f" FROM {WITH_GOLDS}")
+def metrics_over_golds(spark, d):
+    """Every metric of the registry over the gold answers, in one pass."""
+    x = evaluation.scored(_with_golds(spark, d), "p", "golds", list(METRIC_SQL))
+    return x.select("conv_id", "turn", *[F.round(m, 9).alias(m) for m in METRIC_SQL])
+
+
+TASKS = {"0": "em", "1": "f1", "2": "match", "3": "rouge1"}
+
+
+@query("SELECT task, count(*) AS n, round(avg(score), 6) AS score FROM (SELECT (conv_id % 5)::VARCHAR AS task, CASE (conv_id % 5)::VARCHAR " + " ".join(f"WHEN '{t}' THEN {METRIC_SQL[m]}" for t, m in TASKS.items()) + f" END AS score FROM {WITH_GOLDS}) GROUP BY task")
+def metric_by_task(spark, d):
+    """Each task by its own metric; the last task has none."""
+    x = evaluation.by_task(_with_golds(spark, d).withColumn("task", (F.col("conv_id") % 5).cast("string")), "p", "golds", "task", TASKS)
+    return x.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"))
+
+
+BOOTSTRAP = f"""WITH d AS (SELECT b, ('0x' || substr(md5('42:a:' || b), 1, 8))::BIGINT % {evaluation.PRIME - 1} + 1 AS a, ('0x' || substr(md5('42:c:' || b), 1, 8))::BIGINT % {evaluation.PRIME} AS c FROM range(1, 201) t(b)),
+s AS (SELECT conv_id % 3 AS task, ('0x' || substr(md5(conv_id || ':' || turn), 1, 8))::BIGINT % {evaluation.PRIME} AS x, {METRIC_SQL['f1']} AS f1, {METRIC_SQL['rouge1']} AS rouge1 FROM {WITH_GOLDS}),
+w AS (SELECT task, b, f1, rouge1, len(list_filter({evaluation.poisson_steps()}, lambda t: (a * x + c) % {evaluation.PRIME} >= t)) AS w FROM s, d),
+r AS (SELECT task, b, unnest(['f1', 'rouge1']) AS metric, unnest([sum(w * f1), sum(w * rouge1)]) / sum(w) AS m FROM w GROUP BY task, b),
+p AS (SELECT task, unnest(['f1', 'rouge1']) AS metric, unnest([count(*), count(*)]) AS n, unnest([avg(f1), avg(rouge1)]) AS mean FROM s GROUP BY task)
+SELECT task, metric, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS high FROM r JOIN p USING (task, metric) GROUP BY task, metric"""
+
+
+@query(BOOTSTRAP)
+def bootstrap_scores(spark, d):
+    """The means of F1 and ROUGE-1 and their spread over 200 resampled tables, by task."""
+    x = evaluation.scored(_with_golds(spark, d).withColumn("task", F.col("conv_id") % 3), "p", "golds", ["f1", "rouge1"])
+    out = evaluation.bootstrap(x, F.concat_ws(":", "conv_id", "turn"), ["f1", "rouge1"], ["task"], 200)
+    return out.select("task", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "mid", "high")])
 
 
 # Engine extras: grouping sets, range frames, as-of and range joins.

@@ -16,10 +16,15 @@ def norm_sql(x: str) -> str:
     return f"array_to_string(list_filter({bare}, lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
 
 
+def overlap_sql(p: str, g: str) -> str:
+    """F1 of two lists of words as multisets."""
+    same = f"coalesce(list_sum(list_transform(list_distinct({p}), lambda w: least(len(list_filter({p}, lambda x: x = w)), len(list_filter({g}, lambda x: x = w))))), 0)"
+    return f"CASE WHEN {same} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {same} / (len({p}) + len({g})) END"
+
+
 def f1_sql(p: str, g: str) -> str:
     words = lambda x: f"list_filter(string_split({norm_sql(x)}, ' '), lambda w: w <> '')"
-    same = f"coalesce(list_sum(list_transform(list_distinct({words(p)}), lambda w: least(len(list_filter({words(p)}, lambda x: x = w)), len(list_filter({words(g)}, lambda x: x = w))))), 0)"
-    return f"CASE WHEN {same} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {same} / (len({words(p)}) + len({words(g)})) END"
+    return overlap_sql(words(p), words(g))
 
 
 @query("SELECT doc_id, text, n_chars FROM documents")
