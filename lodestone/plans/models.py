@@ -1,12 +1,15 @@
-"""Themes by a small network, messages over graphs, and triples as rows."""
+"""Themes by a small network, messages over graphs, triples as rows, and the question loop."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import extraction, models
-from lodestone.operators import graphs, networks
+from lodestone.operators import graphs, networks, questions
 from lodestone.plans.registry import query
 from lodestone.tables import materialize, table
 
@@ -133,3 +136,59 @@ def triple_reply_stats(spark, d):
     extraction.register(spark, extraction.stub_reply)
     found = spark.sql("SELECT doc_id, t.ok FROM {docs} AS d, LATERAL text_to_triples(d.text) AS t", docs=table(spark, d, "documents").select("doc_id", "text"))
     return found.groupBy("doc_id").agg(F.count_if(~F.col("ok")).alias("malformed"), F.count_if("ok").alias("triples"))
+
+
+MAX_HOPS, ENOUGH = 4, 7
+
+
+def stub_prompt(question: str, path: list[tuple[str, str]]) -> str:
+    return "".join(f"{sub_query}\nRetrieved Graph Information: {triples}\n" for sub_query, triples in path) + f"Question: {question}"
+
+
+def stub_plan(prompt: str) -> str:
+    """Ask for the first object that was not asked for, until enough nodes are known."""
+    nodes, objects, asked = (re.findall(p, prompt, re.MULTILINE) for p in ("[SO]> ([a-z]+)", "O> ([a-z]+)", "^Ask: ([a-z]+)$"))
+    words = re.findall("[a-z]+", prompt.rpartition("Question: ")[2].split(". ")[0])
+    if len(set(nodes)) >= ENOUGH:
+        return "[SUFFICIENT]"
+    left = [x for x in (objects if asked else words[-1:]) if x not in asked]
+    return f"Ask: {left[0]}" if left else "[NO_RETRIEVAL]"
+
+
+def stub_last(prompt: str) -> str:
+    return ([None, *re.findall("O> ([a-z]+)", prompt)])[-1] or "unknown"
+
+
+STUBS = questions.Models(extraction.stub_reply, stub_prompt, stub_plan, stub_last)
+
+
+def _retrieval(spark, d):
+    """Sub-query -> the first sentences of the two first documents that hold its word in theirs."""
+    first = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(". "), F.lit(1)).alias("passage"))
+    words = first.select("doc_id", "passage", F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    two = words.withColumn("nth", F.row_number().over(W.partitionBy("word").orderBy("doc_id"))).where("nth <= 2")
+    index = materialize(two.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("doc_id", "passage")))["passage"].alias("docs")), "index")
+    return lambda asked: asked.withColumn("word", F.regexp_extract("sub_query", "Ask: ([a-z]+)", 1)).join(index, "word").select("id", "docs")
+
+
+LOOP = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(string_split(text, '. ')[1], '[a-z]+') AS w FROM documents),
+x AS (SELECT word, doc_id, w FROM (SELECT doc_id, w, unnest(list_distinct(w)) AS word FROM w) QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id) <= 2),
+i AS (SELECT word, flatten(list(CASE WHEN len(w) > 3 THEN w[-2:] WHEN len(w) = 3 THEN w[-1:] ELSE [] END ORDER BY doc_id)) AS o, flatten(list(CASE WHEN len(w) > 2 THEN w[:1] ELSE [] END ORDER BY doc_id)) AS s FROM x GROUP BY word),
+r AS (SELECT item_id AS id, 0 AS hops, regexp_extract_all(string_split(text, '. ')[1], '[a-z]+')[-1] AS word, []::VARCHAR[] AS asked, []::VARCHAR[] AS objects, []::VARCHAR[] AS subjects FROM benchmark
+ UNION ALL SELECT id, hops + 1, CASE WHEN hops + 1 < {MAX_HOPS} AND len(list_distinct(list_concat(o2, s2))) < {ENOUGH} THEN list_filter(o2, lambda y: NOT list_contains(list_append(asked, word), y))[1] END, list_append(asked, word), o2, s2
+ FROM (SELECT r.*, list_concat(objects, coalesce(o, [])) AS o2, list_concat(subjects, coalesce(s, [])) AS s2 FROM r LEFT JOIN i USING (word) WHERE word IS NOT NULL))
+SELECT id, hops, CASE WHEN hops >= {MAX_HOPS} THEN 'maximum' WHEN len(list_distinct(list_concat(objects, subjects))) >= {ENOUGH} THEN 'sufficient' ELSE 'no_retrieval' END AS reason, coalesce(objects[-1], 'unknown') AS answer FROM r WHERE word IS NULL"""
+
+
+@query(LOOP)
+def question_loop(spark, d):
+    """Plan, retrieve, extract, extend, decide and answer, hop by hop for all open questions."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    return questions.answer_in_rounds(asked, _retrieval(spark, d), STUBS, MAX_HOPS).drop("path")
+
+
+@query(LOOP)
+def question_loop_online(spark, d):
+    """The same loop with each question's path in the state store of a stream."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    return questions.answer_online(asked, _retrieval(spark, d), STUBS, MAX_HOPS)
