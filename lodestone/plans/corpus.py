@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone import sources, streaming
 from lodestone.functions import vectors as vx
 from lodestone.operators import corpora, rows
 from lodestone.plans.registry import query
-from lodestone.tables import table
+from lodestone.sources.batches import IndexBuild
+from lodestone.tables import scratch, table
 
 
 def _new_old(spark, d):
@@ -192,21 +194,81 @@ def nonzero_vectors(spark, d):
 
 @query("SELECT count(*) AS n_vectors, min(len(embedding))::BIGINT AS dim, 'ip' AS metric FROM embeddings")
 def index_metadata(spark, d):
-    return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n_vectors"), F.min(F.size("embedding")).cast("long").alias("dim"), F.lit("ip").alias("metric"))
+    """What an index that has been written says of itself."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return sources.write_index(vectors, scratch(spark, "index")).select("n_vectors", F.col("dim").cast("long").alias("dim"), "metric")
+
+
+def _build(spark, d):
+    """An index of four batches whose run stops after two, meets one of these again, and goes on."""
+    build = IndexBuild(spark, scratch(spark, "index"), 4)
+    build.stage(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    build.run([0, 2])
+    build.commit(build.attempt(0))
+    build.run()
+    return build
+
+
+@query("SELECT count(*) AS n_vectors, max(len(embedding))::INT AS dim, 4::BIGINT AS n_batches, true AS complete FROM embeddings")
+def index_batches(spark, d):
+    return _build(spark, d).metadata()
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda y: y / CASE WHEN list_dot_product(v, v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) AS u FROM x)
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id, round(u[1], 5) AS first, round(list_sum(u), 4) AS total FROM u""")
+def index_published(spark, d):
+    """The rows of the built index in order, with their positions."""
+    out = _build(spark, d).publish(scratch(spark, "published"))
+    return out.select("pos", "vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(vx.total(F.col("embedding")), 4).alias("total"))
 
 
 @query("SELECT event_id, event_type FROM events")
 def stream_files_dedup(spark, d):
-    from lodestone.streaming import files_once
-
-    return files_once(spark, f"{d}/events.parquet", ["event_id"]).select("event_id", "event_type")
+    return streaming.files_once(spark, f"{d}/events.parquet", ["event_id"]).select("event_id", "event_type")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_tumbling_windows(spark, d):
-    from lodestone.streaming import tumbling
+    return streaming.tumbling(spark, f"{d}/events.parquet", "1 hour").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT time_bucket(INTERVAL 20 MINUTE, ts) - k * INTERVAL 20 MINUTE AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(3) t(k) GROUP BY ALL""")
+def stream_sliding_windows(spark, d):
+    """Windows of an hour every twenty minutes, so each event is in three."""
+    return streaming.tumbling(spark, f"{d}/events.parquet", "1 hour", "20 minutes").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
+s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY user_id, s""")
+def stream_sessions(spark, d):
+    return streaming.to_the_end(streaming.read(spark, f"{d}/events.parquet"), lambda stream: streaming.sessions(stream, "user_id", "30 minutes"))
+
+
+def _deliveries(spark, d):
+    """Events as they come in four files: the second repeats a day of the first, the third is the second once more, and
+    the last brings some rows of the first days that were held back, too late."""
+    folder, e = scratch(spark, "deliveries"), table(spark, d, "events")
+    day, back = F.dayofmonth("ts"), (F.col("event_id") % 97 == 0) & (F.dayofmonth("ts") < 5)
+    for name, rows in (("a", e.where((day < 10) & ~back)), ("b", e.where(day.between(9, 19) & ~back)), ("c", e.where(day.between(9, 19) & ~back)), ("d", e.where((day >= 20) | back))):
+        rows.coalesce(1).write.parquet(f"{folder}/{name}")
+    return folder
+
+
+ON_TIME = "NOT (event_id % 97 = 0 AND day(ts) < 5)"
+
+
+@query(f"SELECT event_id, user_id, event_type FROM events WHERE {ON_TIME}")
+def stream_repeated_files(spark, d):
+    """Each event once, though files and rows repeat; what comes too late is left out."""
+    return streaming.files_once(spark, _deliveries(spark, d), ["event_id"], late="2 days", files=1).select("event_id", "user_id", "event_type")
+
 
-    return tumbling(spark, f"{d}/events.parquet", "1 hour").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+@query(f"SELECT count(*) FILTER ({ON_TIME}) AS kept, count(*) FILTER (NOT ({ON_TIME})) AS late FROM events")
+def stream_late_rows(spark, d):
+    """How many rows were kept and how many came too late. Repeated rows are known and not late."""
+    seen = []
+    kept = streaming.files_once(spark, _deliveries(spark, d), ["event_id"], late="2 days", seen=seen, files=1)
+    return kept.agg(F.count(F.lit(1)).alias("kept")).withColumn("late", F.lit(streaming.late_rows(seen)).cast("long"))
 
 
 @query("""WITH x AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
