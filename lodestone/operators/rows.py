@@ -38,3 +38,8 @@ def split_by_shares(df: DataFrame, key: str, shares: dict[str, float], seed: int
 def chunk(pos: Column, n: int, k: int) -> Column:
     """Chunk of a position: k chunks of n // k rows, the remainder in the last."""
     return F.least(F.floor(pos / max(1, n // k)), F.lit(k - 1)).cast("int")
+
+
+def first(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows in an order, for a look or a test run: each task sends n rows at most."""
+    return df.orderBy(*order).limit(n)

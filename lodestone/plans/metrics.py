@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone import sources
 from lodestone.functions import rouge
 from lodestone.functions import text as tx
-from lodestone.operators import evaluation
+from lodestone.operators import evaluation, intervals, ranks, rows
 from lodestone.plans.registry import query
 from lodestone.plans.texts import f1_sql, norm_sql, overlap_sql
-from lodestone.tables import table
+from lodestone.tables import scratch, table
 
 
 @query("""WITH x AS (SELECT length(text) AS n FROM documents) SELECT round(avg(n), 4) AS mean, max(n)::BIGINT AS most, min(n)::BIGINT AS least, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.95), 4) AS p95, round(quantile_cont(n, 0.99), 4) AS p99 FROM x""")
@@ -226,3 +227,67 @@ def star_join_revenue(spark, d):
     x = x.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
     x = x.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return x.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+MICROS = "epoch_us(ts)"
+
+
+def _timed_events(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, {MICROS} AS at, (value * 60000000)::BIGINT AS span FROM events)
+SELECT l.event_id AS purchase_id, r.event_id AS view_id FROM e l JOIN e r ON l.user_id = r.user_id AND l.event_type = 'purchase' AND r.event_type = 'view' AND l.at <= r.at + 600000000 AND r.at - 600000000 <= l.at + l.span""")
+def overlapping_intervals(spark, d):
+    """Purchases that last as many minutes as their value, with the views of the same user ten minutes around."""
+    e, ten = _timed_events(spark, d), 600_000_000
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("at").alias("start"), (F.col("at") + (F.round(F.col("value") * 60_000_000)).cast("long")).alias("end"))
+    right = e.where("event_type = 'view'").select("event_id", "user_id", (F.col("at") - ten).alias("start"), (F.col("at") + ten).alias("end"))
+    return intervals.flat(intervals.overlap_join(left, right, ["user_id"]), {"purchase_id": "event_id"}, {"view_id": "event_id"})
+
+
+@query(f"SELECT a.event_id, b.event_id AS other_id FROM events a JOIN events b ON a.event_type = 'error' AND b.event_type = 'error' AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000")
+def errors_within_a_minute(spark, d):
+    """Pairs of errors of any users a minute apart at most: a join on time alone."""
+    e = _timed_events(spark, d).where("event_type = 'error'").select("event_id", "at")
+    pairs = intervals.flat(intervals.within(e, e, 60_000_000, "at", []), {"event_id": "event_id"}, {"other_id": "event_id"})
+    return pairs.where("event_id < other_id")
+
+
+@query("SELECT event_id, rank() OVER o AS rank, dense_rank() OVER o AS dense_rank, round(percent_rank() OVER o, 9) AS percent_rank, round(cume_dist() OVER o, 9) AS cume_dist FROM events WINDOW o AS (ORDER BY value)")
+def global_ranks(spark, d):
+    """Ranks of all events by value, where values repeat, without a window of the whole table."""
+    out = ranks.ranks(table(spark, d, "events").select("event_id", "value"), "value")
+    return out.select("event_id", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"), F.round("cume_dist", 9).alias("cume_dist"))
+
+
+@query("SELECT event_id, (ntile(7) OVER (ORDER BY value, event_id))::INT AS tile FROM events")
+def global_ntile(spark, d):
+    return ranks.ntile(table(spark, d, "events").select("event_id", "value"), 7, "value", "event_id").select("event_id", "tile")
+
+
+@query("SELECT event_id, count(user_id) OVER w AS n, sum(user_id)::BIGINT OVER w AS total, min(user_id) OVER w AS least, max(user_id) OVER w AS most FROM (SELECT event_id, user_id, round(value * 100)::BIGINT AS cents FROM events) WINDOW w AS (ORDER BY cents RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING)".replace("sum(user_id)::BIGINT OVER w", "(sum(user_id) OVER w)::BIGINT"))
+def global_range_frame(spark, d):
+    """What happens at prices within half a unit of each event's."""
+    x = table(spark, d, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return ranks.range_frame(x, "cents", 50, "user_id").select("event_id", F.col("frame_n").alias("n"), F.col("frame_sum").alias("total"), F.col("frame_min").alias("least"), F.col("frame_max").alias("most"))
+
+
+@query("SELECT event_id, (sum(cents) OVER (ORDER BY ts, event_id))::BIGINT AS spent FROM (SELECT event_id, ts, round(value * 100)::BIGINT AS cents FROM events)")
+def global_running_total(spark, d):
+    x = table(spark, d, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return ranks.running_sums(x, {"before": "cents"}, "ts", "event_id").select("event_id", (F.col("before") + F.col("cents")).alias("spent"))
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 20")
+def first_rows(spark, d):
+    """The debug subset: the first rows in order."""
+    return rows.first(table(spark, d, "documents").select("doc_id", "text"), 20, "doc_id")
+
+
+@query("SELECT item_id, text FROM benchmark")
+def json_array_round_trip(spark, d):
+    """Rows through one JSON array and back."""
+    path = f"{scratch(spark, 'array')}.json"
+    sources.write_json(table(spark, d, "benchmark").select("item_id", "text"), path, "item_id")
+    return sources.read_json(spark, path, "item_id long, text string")

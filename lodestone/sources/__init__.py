@@ -6,12 +6,15 @@ to paths that Spark's file systems resolve.
 
 from __future__ import annotations
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import strip
 from lodestone.functions.vectors import normalized
+from lodestone.operators.rows import number
+from lodestone.tables import scratch
 
 ARTICLES = "id string, title string, url string, text array<array<string>>"
 PASSAGES = "text string"
@@ -81,6 +84,41 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json(df: DataFrame, path: str, *order: str) -> int:
+    """One file with a JSON array of the rows in a total order, and their number. Tasks write ranges of the array as text
+    of their own, brackets and commas included, so that the files' concatenation is the array; the store joins
+    them where it can (`concat`), and else they are copied one after another through a stream."""
+    spark = df.sparkSession
+    parts = scratch(spark, "json")
+    n = df.count()
+    placed = number(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_json"), *order), *order, name="_pos").select("_json", "_pos")
+    line = F.concat(F.when(F.col("_pos") == 0, "[").otherwise(""), "_json", F.when(F.col("_pos") == n - 1, "]").otherwise(","))
+    if n:
+        placed.repartitionByRange("_pos").sortWithinPartitions("_pos").select(line.alias("value")).write.text(parts)
+    else:
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.text(parts)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    files = sorted((f.getPath() for f in fs.listStatus(hadoop.fs.Path(parts)) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+    fs.delete(target, False)
+    gateway = spark.sparkContext._gateway
+    rest = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Path, len(files) - 1)
+    for k, file in enumerate(files[1:]):
+        rest[k] = file
+    try:
+        fs.concat(files[0], rest)
+        fs.rename(files[0], target)
+    except UnsupportedOperationException:
+        out = fs.create(target, True)
+        for file in files:
+            into = fs.open(file)
+            hadoop.io.IOUtils.copyBytes(into, out, 1 << 20, False)
+            into.close()
+        out.close()
+    return n
+
+
 def write_csv(df: DataFrame, path: str, column: str = "text") -> None:
     """Every field quoted; rows without text left out."""
     df.where(F.col(column) != "").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
