@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, chat, exact_dedup, graph, licenses, line_rules, mixing, near_dedup, quality_lm, sharding, warc
@@ -506,10 +508,28 @@ def test_components(spark):
 
 # 8
 
-def place(key, weights):
-    """The shard of a key by the definition: the least of all draws."""
-    u = [(int(hashlib.md5(f"{key}/{s // 2}".encode()).hexdigest()[12 * (s % 2) : 12 * (s % 2) + 12], 16) + 1) / (2**48 + 1) for s in range(len(weights))]
-    return min((s for s, w in enumerate(weights) if w), key=lambda s: (-math.log(u[s]) / weights[s], s))
+def mixed(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def place(key, weights, rack=4, region=2, most=4.0):
+    """The shard of a key by the definition, point by point: the earliest of all regions' points that count."""
+    k, n, best = mixed(xxhash.xxh64(key.encode(), seed=42).intdigest()), len(weights), (math.inf, -1)
+    bounds = [(0, rack * region)]
+    while bounds[-1][1] < n:
+        bounds.append((bounds[-1][1], 2 * bounds[-1][1]))
+    for number, (first, last) in enumerate(bounds):
+        time, racks = 0.0, (last - first) // rack
+        for point in itertools.count() if any(weights[first:last]) else []:
+            u = [(mixed(k ^ mixed(((number << 40) + (point << 3) + what + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> 11) / 2**53 for what in range(4)]
+            time -= math.log1p(-u[0]) / ((last - first) * most)
+            at = first + int(u[1] * racks) * rack + int(u[2] * rack)
+            if at < n and u[3] * most < weights[at]:
+                best = min(best, (time, at))
+                break
+    return best[1]
 
 
 def brute_shards(rows, n):
@@ -529,21 +549,34 @@ def brute_shards(rows, n):
 def test_sharding_equals_brute_force(spark, edge, none):
     """Every row: whole table of documents, and nulls, repeats and clashing columns."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for df in (docs, clash(docs.unionByName(edge.select("doc_id", "text")), "size", "shard", "_bin", "_draws")):
+    for df in (docs, clash(docs.unionByName(edge.select("doc_id", "text")), "size", "shard", "_bin", "_place")):
         got = sharding.assign(df).collect()
         assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == brute_shards([(r.doc_id, r.text) for r in df.collect()], 16)
         assert {r.law for r in got} == {"key"}
     assert sharding.assign(none).count() == 0
 
 
-def test_sharding_grows_only_into_the_new_shard(spark):
-    """From 1 shard to 40, by steps of one; and the shares stay even."""
-    drawn = spark.range(4000).select(F.col("id").cast("string").alias("k")).withColumn("d", sharding.draws(F.col("k"), [1.0] * 41))
-    rows = drawn.select(*[sharding.descend(F.col("d"), n).alias(f"s{n}") for n in range(1, 42)]).collect()
-    for n in range(1, 41):
-        moved = [(r[n - 1], r[n]) for r in rows if r[n - 1] != r[n]]
+def test_sharding_grows_only_into_the_new_shard():
+    """From 1 shard to 70, by steps of one; and the shares stay even."""
+    keys = np.random.default_rng(1).integers(0, 2**64, 6000, np.uint64)
+    rows = [sharding.places(keys, [1.0] * n).tolist() for n in range(1, 72)]
+    for n in range(1, 71):
+        moved = [(a, b) for a, b in zip(rows[n - 1], rows[n]) if a != b]
         assert moved and all(to == n for _, to in moved) and len({a for a, _ in moved}) >= min(n, 10)
-        assert max(Counter(r[n - 1] for r in rows).values()) < 4000 / n + 6 * math.sqrt(4000 / n)
+        assert max(Counter(rows[n - 1]).values()) < 6000 / n + 6 * math.sqrt(6000 / n)
+
+
+def test_a_thousand_shards_of_uneven_weights():
+    r = np.random.default_rng(2)
+    keys, weights = r.integers(0, 2**64, 200_000, np.uint64), r.choice([0.0, 0.5, 1.0, 4.0], 1000)
+    began = time.time()
+    found = np.bincount(sharding.places(keys, weights.tolist()), minlength=1000)
+    assert time.time() - began < 30
+    want = 200_000 * weights / weights.sum()
+    assert (abs(found - want) <= 6 * np.sqrt(want)).all()
+    for bad in ([], [0.0, 0.0], [-1.0, 1.0], [5.0]):
+        with pytest.raises(ValueError, match="weights"):
+            sharding.places(keys[:3], bad)
 
 
 @pytest.mark.parametrize("weights", [[4.0] + [1.0] * 15, [1.0] * 5 + [0.0] + [1.0] * 10, [1.0] * 9 + [0.25] + [1.0] * 6])
