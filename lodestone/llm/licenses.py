@@ -19,9 +19,9 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,31 +117,43 @@ class Matcher:
         ratio = self.threshold / (2 - self.threshold)
         return size * ratio - 1e-9, size / ratio + 1e-9
 
-    def match(self, unit: set) -> list[tuple[str, float]]:
-        """The closest licences of a unit (more than one at a tie), if they reach the threshold."""
-        low, high = self.bounds(len(unit))
-        found = [(name, dice(unit, words) if versions(words) <= unit else 0.0) for _, name, words in self.sets[bisect.bisect_left(self.sizes, low) : bisect.bisect_right(self.sizes, high)]]
-        most = max((d for _, d in found), default=0.0)
-        return [(name, d) for name, d in found if d == most >= self.threshold]
-
     def windows(self, pairs: list, at: list[int], name: str, own: set) -> Iterator[tuple[float, int, int, str]]:
-        """Coefficient, first and last bigram of the windows that match a template, whose bigrams are at `at`."""
+        """Coefficient, first and last bigram of the windows that match a template, whose bigrams are at `at`. A window
+        counts by its distinct bigrams, so its end goes from one bigram's first place after the start to the next one's,
+        however often those between repeat: of the ends in between, the first and the last stand for all."""
         (least, most), need = self.bounds(len(own)), versions(own)
-        for i, start in enumerate(at):
-            if len(at) - i < least:
-                return
-            seen, both, k = set(), 0, start
-            for end in at[i:]:
-                while k <= end:
-                    if pairs[k] not in seen:
-                        seen.add(pairs[k])
-                        both += pairs[k] in own
-                    k += 1
-                if len(seen) > most:
+        enough = self.threshold * (least + len(own)) / 2 - 1e-9
+        first: OrderedDict = OrderedDict()  # each bigram's first place from the start on; the nearest is the last
+        first_own, start = set(), len(at) - 1
+        for k in range(len(pairs) - 1, -1, -1):
+            first[pairs[k]] = k
+            first.move_to_end(pairs[k])
+            if start < 0 or at[start] != k:
+                continue
+            start -= 1
+            first_own.add(pairs[k])
+            if len(first_own) < enough:
+                continue
+            both, size, record, ended = 0, 0, self.threshold, None
+            needed = max((first.get(x, len(pairs)) for x in need), default=k)
+            for pair, place in reversed(first.items()):
+                if ended is not None:
+                    yield record, k, at[bisect.bisect_left(at, place) - 1], name
+                    ended = None
+                size += 1
+                if pair in own:
+                    both += 1
+                # No later end can be better than with all bigrams of the template and no others but those so far.
+                if size > most or 2 * len(own) / (2 * len(own) + size - both) < record or 2 * len(own) / (size + len(own)) < record:
                     break
-                d = 2 * both / (len(seen) + len(own))
-                if d >= self.threshold and need <= seen:
-                    yield d, start, end, name
+                if pair in own:
+                    d = 2 * both / (size + len(own))
+                    # One that holds a window of a higher coefficient is out wherever that is.
+                    if d >= record and needed <= place:
+                        yield d, k, place, name
+                        record = ended = d
+            if ended is not None:
+                yield record, k, at[-1], name
 
     def scan(self, text: str) -> dict[str, float]:
         """Best coefficient of each licence over the windows of the text that count."""
@@ -153,13 +165,13 @@ class Matcher:
             pairs = list(zip(words, words[1:]))
             near = [k for k, p in enumerate(pairs) if p in hits]
             found = [w for name, own in todo for w in self.windows(pairs, [k for k in near if pairs[k] in own], name, own)]
-            taken = np.zeros(len(pairs), bool)  # by windows of a higher coefficient, or as high and longer
+            taken = bytearray(len(pairs))  # 1: by windows of a higher coefficient, or as high and longer
             rank = lambda w: (-w[0], w[1] - w[2])
             for _, same in itertools.groupby(sorted(found, key=rank), key=rank):
-                free = [w for w in same if not taken[w[1] : w[2] + 1].any()]
+                free = [w for w in same if taken.find(1, w[1], w[2] + 1) < 0]
                 for d, start, end, name in free:
                     best[name] = max(best.get(name, 0.0), d)
-                    taken[start : end + 1] = True
+                    taken[start : end + 1] = b"\1" * (end + 1 - start)
         return best
 
 
