@@ -8,7 +8,8 @@ token-prefix that fits the rest. The prefix's end is found digit pair by digit p
 order: each step sums at most 256 bins of a leaf, and only the last bin of a few rows is sorted. It is kept
 as one cut per leaf: no leaf is collected anywhere, and a leaf of most rows costs a task no more than others.
 
-Defined cases: null domain, language or source is the empty name; a text counts as
+Defined cases: a weight of 0 or less leaves all below it out, and its siblings share the whole budget;
+null domain, language or source is the empty name; a text counts as
 max(1, ceil(bytes / 4)) tokens; rows that repeat an id stand at one place of the order and are taken
 together; null ids order like the id "null"; an empty table gives an empty result. `decide` ignores
 other columns, `select` keeps them.
@@ -39,6 +40,8 @@ def domain_of(source: Column, n: int = 4) -> Column:
 
 def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
     known = weights.get(level, {})
+    # What weighs nothing has no capacity and so no budget, whatever it is divided by.
+    known = {name: weight if weight > 0 else 1.0 for name, weight in known.items()}
     return reduce(lambda case, kv: case.when(F.col(level) == kv[0], float(kv[1])), known.items(), F).otherwise(1.0) if known else F.lit(1.0)
 
 
@@ -54,7 +57,9 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
 def budgets(rows: DataFrame, weights: dict[str, dict[str, float]], fraction: float, max_epochs: int) -> DataFrame:
     """domain, lang, source, tokens, n (rows), budget of every leaf of rows(domain, lang, source, tokens)."""
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "leaves")
-    capacity = lambda *by: leaves.groupBy(*by).agg((F.sum("tokens") * max_epochs).cast("double").alias("capacity"))
+    out = [(level, [name for name, weight in weights.get(level, {}).items() if weight <= 0]) for level in LEVELS]
+    usable = reduce(lambda case, x: case.when(F.col(x[0]).isin(x[1]), 0) if x[1] else case, out, F.when(F.lit(False), 0)).otherwise(F.col("tokens"))
+    capacity = lambda *by: leaves.groupBy(*by).agg((F.sum(usable) * max_epochs).cast("double").alias("capacity"))
     root = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * fraction).cast("double")).first()[0]
     given = capacity("domain").withColumn("root", F.lit(0)).withColumn("weight", _weight("domain", weights)).withColumn("given", F.lit(root))
     given = _share(given, ["root"]).select("domain", F.col("budget").alias("given"))
@@ -115,14 +120,15 @@ def select(df: DataFrame, weights: dict[str, dict[str, float]], fraction: float
            id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of `df`, each as often as the mix takes it."""
     limits, n_leaves, _ = cuts(materialize(_rows(df, id_col, text_col, lang_col, source_col, domain), "sizes"), weights, fraction, max_epochs, seed)
-    limits = limits.select(*[F.col(c).alias(f"_{c}") for c in (*LEVELS, "epochs", "cut")])
     limits = F.broadcast(limits) if n_leaves <= FEW_LEAVES else limits
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keys = zip(LEVELS, (domain_of(F.col(source_col)) if domain is None else domain, F.col(lang_col), F.col(source_col)))
-    taken = df.join(limits, reduce(lambda a, b: a & b, [name(c) == F.col(f"_{k}") for k, c in keys]))
-    copies = F.col("_epochs") + F.coalesce(_place(F.col(id_col), F.col("_epochs"), seed) <= F.col("_cut"), F.lit(False)).cast("long")
-    taken = taken.withColumn("_copies", copies).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*df.columns)
+    # The input's row is one value until the end, so its columns meet none of these names.
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), *[name(c).alias(k) for k, c in keys])
+    taken = rows.join(limits.select(*LEVELS, "epochs", "cut"), list(LEVELS))
+    copies = F.col("epochs") + F.coalesce(_place(F.col("_id"), F.col("epochs"), seed) <= F.col("cut"), F.lit(False)).cast("long")
+    taken = taken.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return taken.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 #: The weights and budget of the query.
