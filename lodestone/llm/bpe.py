@@ -112,13 +112,15 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[st
     tokenizers library."""
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
-    rows = df.drop("ids").withColumn("_words", words(F.coalesce(F.col(text_col), F.lit("")), *classes(source)))
-    kept = [c for c in rows.columns if c != "_words"] if keep is None else keep
-    rows = rows.select(*kept, "_words")
+    own = "_words"
+    while own in df.columns:
+        own += "_"
+    kept = [c for c in df.columns if c != "ids"] if keep is None else keep
+    rows = df.select(*kept, words(F.coalesce(F.col(text_col), F.lit("")), *classes(source)).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_words"))
+            column = batch.column(batch.schema.get_field_index(own))
             offsets = np.asarray(column.offsets, np.int64)
             for start, end in _blocks(offsets):
                 table = column.values.slice(offsets[start], offsets[end] - offsets[start]).cast(pa.large_string()).dictionary_encode()
