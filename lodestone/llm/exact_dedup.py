@@ -61,7 +61,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.col("_text")
     rows = df.select(F.struct(*others).alias("_others"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_norm", normalised(text))
     own = F.struct("_others", F.when(text != F.col("_norm"), text).alias("text"), text.isNull().alias("none"))
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.xxhash64("_others", "_text"))
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.xxhash64(F.to_json("_others"), "_text"))  # a hash takes no maps
     kept = rows.groupBy(F.unhex(F.md5("_norm")).alias("_h"), "_norm").agg(F.min_by(own, order).alias("_own"))
     whole = F.when(~F.col("_own.none"), F.coalesce("_own.text", "_norm"))
     return kept.select(*[whole.alias(c) if c == text_col else F.col("_own._others").getField(c).alias(c) for c in df.columns])
