@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, mixing, near_dedup, quality_lm
 from lodestone.tables import materialize, ship, table
@@ -18,7 +19,8 @@ MIX_FRACTION = 0.8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality_lm.classify(docs, table(spark, sf_dir, "labels")).where("good").select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
+    return quality_lm.classify(rows, table(spark, sf_dir, "labels"), keep=["row"]).where("good").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

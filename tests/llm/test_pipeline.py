@@ -47,6 +47,22 @@ def test_stages_meet_nulls_repeats_and_clashing_columns(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == counts[3]
 
 
+NAMES = "_row _others _own _id _text _norm _h _trusted _lang _k1 _k2 _copies _copy _epochs _cut _domain _source _place place cut epochs domain budget rest prefix _words ids _mean _limit _n h key node rows bits good threshold".split()
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark):
+    """Each stage gives columns of the names that operators use inside back as they were, and a map."""
+    text = "some words that are here and now in {} plain order of their own"
+    docs = spark.createDataFrame([(i, text.format(" ".join(f"w{i}x{k}" for k in range(20))), "en", f"src{i}", 5) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} of "), "doc_id") for n in NAMES}).withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    before = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        kept = docs.collect()
+        assert kept and all(r == before[r.doc_id] for r in kept), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept)
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], EDGE)
     for name, stage in corpus_pipeline.STAGES[:-1]:
