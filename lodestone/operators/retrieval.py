@@ -21,6 +21,8 @@ from lodestone.functions import vectors
 from lodestone.tables import materialize
 
 BLOCK = 4096
+#: Labels whose centroids a task holds.
+MOST_LABELS = 10_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -90,7 +92,8 @@ class Best:
 
 def topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", split_col: str | None = None, digits: int = 6) -> DataFrame:
     """(query_id, [split], vec_id, score, rank): exact top k of vecs(vec_id, v) for queries(query_id, q).
-    metric: 'ip' inner product, 'l2' negated squared distance. Scores are rounded before ranking."""
+    metric: 'ip' inner product, 'l2' negated squared distance. Scores are rounded before ranking. Null vectors,
+    of rows or queries, meet nothing."""
     keys = [split_col] if split_col else []
     return best(candidates(vecs, queries, k, metric, split_col, digits), k, "query_id", *keys)
 
@@ -121,7 +124,7 @@ def candidates(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
         return vecs.select(*keys, "vec_id", "v").where("v IS NOT NULL").mapInArrow(run, schema)
 
-    return _passes(queries.select("query_id", "q"), one, "candidates")
+    return _passes(queries.select("query_id", "q").where("q IS NOT NULL"), one, "candidates")
 
 
 def target_ranks(vecs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
@@ -165,19 +168,100 @@ def target_ranks(vecs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFr
     return _passes(queries.select("query_id", "q", "label"), one, "ranks")
 
 
+def _bins(scores: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the scores, alike for scores that differ by a thirtieth or less."""
+    bits = scores.astype(np.float32).view(np.int32)
+    return np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits) >> 18
+
+
+class Counts:
+    """How many scores of each query are in each bin."""
+
+    def __init__(self, n: int):
+        self.low, self.table = 0, np.zeros((n, 0), np.int64)
+
+    def meet(self, bins: np.ndarray) -> None:
+        low, high = int(bins.min()), int(bins.max()) + 1
+        if not self.table.shape[1]:
+            self.low = low
+        before, after = max(0, self.low - low), max(0, high - self.low - self.table.shape[1])
+        self.table, self.low = np.pad(self.table, ((0, 0), (before, after))), self.low - before
+        n, width = self.table.shape
+        at = np.arange(n)[:, None] * width + (bins - self.low)
+        self.table += np.bincount(at.ravel(), minlength=n * width).reshape(n, width)
+
+
+def _least_bins(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str, keys: list[str], kind: str) -> dict:
+    """For each split the lowest bin of each query that can hold one of its k best: as many scores, at least, are in it and
+    above. One pass over vecs(theme) that counts; a task emits a row a query and bin."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict = {}
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                bins = _bins(_scores(q, matrix(batch.column("theme")), metric, 6))
+                groups = np.asarray(batch.column(keys[0])) if keys else np.zeros(batch.num_rows, np.int64)
+                for g in np.unique(groups):
+                    met.setdefault(g, Counts(len(ids))).meet(bins[:, groups == g])
+        for g, counts in met.items():
+            at, bins = np.nonzero(counts.table)
+            columns = [*([pa.array(np.repeat(g, len(at)))] if keys else []), pa.array(at), pa.array(bins + counts.low), pa.array(counts.table[at, bins])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "at", "bin", "n"])
+
+    counted = rows.select(*keys, "theme").mapInArrow(count, ", ".join([*([f"{keys[0]} {kind}"] if keys else []), "at long, bin long, n long"]))
+    sums = counted.groupBy(*keys, "at", "bin").agg(F.sum("n").alias("n"))
+    above = F.sum("n").over(W.partitionBy(*keys, "at").orderBy(F.desc("bin")))
+    least = sums.withColumn("above", above).where(F.col("above") - F.col("n") < k).groupBy(*keys, "at").agg(F.min("bin").alias("bin"))
+    out: dict = {}
+    for r in least.collect():  # a row a query of the block and split
+        out.setdefault(r[keys[0]] if keys else 0, np.full(len(ids), np.iinfo(np.int64).min))[r["at"]] = r["bin"]
+    return out
+
+
+def scoped_candidates(vecs: DataFrame, queries: DataFrame, theme_k: int, metric: str = "ip", split_col: str | None = None) -> DataFrame:
+    """(query_id, [split], vec_id, theme_score, score): rows that hold each query's `theme_k` best by theme, with both scores,
+    of vecs(vec_id, v, theme) for queries(query_id, q, theme). Two passes a block: one over the themes counts scores by bin,
+    so the next knows from which bin on the best are and emits little more than these, scored by vector on the spot."""
+    keys = [split_col] if split_col else []
+    kinds = {f.name: f.dataType.simpleString() for f in [*vecs.schema, *queries.schema]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["query_id", *keys, "vec_id"]) + ", theme_score double, score double"
+
+    def one(block: list) -> DataFrame:
+        ids, q, t = np.array([r["query_id"] for r in block], np.int64), np.array([r["q"] for r in block], np.float64), np.array([r["theme"] for r in block], np.float64)
+        rows = vecs.select(*keys, "vec_id", "v", "theme").where("theme IS NOT NULL AND v IS NOT NULL")
+        least = _least_bins(rows, ids, t, theme_k, metric, keys, kinds.get(split_col, ""))
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                s, v, names = _scores(t, matrix(batch.column("theme")), metric, 6), matrix(batch.column("v")), np.asarray(batch.column("vec_id"))
+                groups = np.asarray(batch.column(split_col)) if keys else np.zeros(len(names), np.int64)
+                limits = np.stack([least[g] for g in groups], 1)
+                at, row = np.nonzero(_bins(s) >= limits)
+                for part in range(0, len(at), 1 << 16):
+                    i, j = at[part : part + (1 << 16)], row[part : part + (1 << 16)]
+                    dense = np.round(np.einsum("ij,ij->i", v[j], q[i]), 6)
+                    columns = [ids[i], *([groups[j]] if keys else []), names[j], s[i, j], dense]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", *keys, "vec_id", "theme_score", "score"])
+
+        return rows.mapInArrow(emit, schema)
+
+    return _passes(queries.select("query_id", "q", "theme"), one, "scoped")
+
+
 def theme_scoped(vecs: DataFrame, queries: DataFrame, theme_k: int, dense_k: int, k: int, dense_weight: float, metric: str = "ip", eps: float = 1e-8, split_col: str | None = None) -> DataFrame:
     """Two-stage retrieval: vecs(vec_id, v, theme), queries(query_id, q, theme). The theme_k best by
-    theme are scored by vector, the dense_k best of these blended, and the k best returned. Queries
-    whose theme has no length fall back to dense retrieval alone."""
+    theme are scored by vector, the dense_k best of these blended, and the k best returned. Queries whose
+    theme is null or has no length fall back to dense retrieval alone; those without a vector have no result, and
+    rows without a vector or theme are not retrieved by theme."""
     keys = ["query_id", *([split_col] if split_col else [])]
-    has_theme = vectors.norm(F.col("theme")) >= eps
-    themed, plain = queries.where(has_theme), queries.where(~has_theme)
-    stage = topk(vecs.withColumn("v", F.col("theme")), themed.withColumn("q", F.col("theme")), theme_k, metric, split_col).withColumnRenamed("score", "theme_score").drop("rank")
-    scored = stage.join(vecs.select("vec_id", "v"), "vec_id").join(themed.select("query_id", "q"), "query_id")
-    dense = best(scored.withColumn("score", dot(F.col("v"), F.col("q"))).drop("v", "q"), dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
+    has_theme = F.coalesce(vectors.norm(F.col("theme")) >= eps, F.lit(False))
+    asked = queries.where("q IS NOT NULL")
+    stage = best(scoped_candidates(vecs, asked.where(has_theme), theme_k, metric, split_col), theme_k, *keys, score="theme_score").drop("rank")
+    dense = best(stage, dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
     blend = F.round(dense_weight * F.col("dense_score") + F.round(F.lit(1 - dense_weight), 9) * F.col("theme_score"), 8)
     scoped = best(dense.withColumn("score", blend), k, *keys).select(*keys, "vec_id", "score", "rank")
-    return scoped.unionByName(topk(vecs, plain, k, "ip", split_col).select(*keys, "vec_id", "score", "rank"))
+    return scoped.unionByName(topk(vecs, asked.where(~has_theme), k, "ip", split_col).select(*keys, "vec_id", "score", "rank"))
 
 
 def centroids(vecs: DataFrame, label: str = "label") -> DataFrame:
@@ -187,7 +271,9 @@ def centroids(vecs: DataFrame, label: str = "label") -> DataFrame:
 
 def with_theme(vecs: DataFrame, label: str = "label") -> DataFrame:
     """`vecs` with `theme`: its product with each label's centroid, in label order, at least 1e-15. The
-    labels are a fixed small set; their centroids are one broadcast row of a few vectors."""
+    centroids travel with the function, so more than MOST_LABELS of them are an error."""
+    if vecs.select(label).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"themes of more than {MOST_LABELS} labels")
     c = centroids(vecs, label).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("c"))
     rows = np.array([r["c"] for r in c.orderBy(label).collect()], np.float64)
 

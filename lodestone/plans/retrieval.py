@@ -75,6 +75,13 @@ def theme_scoped_splits(spark, d):
     return rt.best(rt.theme_scoped(vecs, queries, 100, 50, 10, 0.8, split_col="split_id").drop("rank"), 10, "query_id").select("query_id", "vec_id", "score", "rank")
 
 
+@query(_scoped_sql(IP_THEME, 100_000, 20, 10, 0.9, ["query_id"]))
+def theme_scoped_framework(spark, d):
+    """With the question loop's parameters: 100,000 by theme, twice the result's size by vector, nine parts to one."""
+    vecs, queries = _themed(spark, d)
+    return rt.theme_scoped(vecs, queries, 100_000, 2 * 10, 10, 0.9)
+
+
 L2_THEME = "round(-list_sum(list_transform(range(1, len(theme) + 1), lambda i: (theme[i] - qtheme[i]) * (theme[i] - qtheme[i]))), 6)"
 
 
