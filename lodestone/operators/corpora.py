@@ -11,12 +11,21 @@ def index_map(new: DataFrame, old: DataFrame, text: str = "text") -> DataFrame:
     return text_map(old, new, "idx", text).select(F.col("left_id").alias("old_idx"), F.col("right_id").alias("new_idx"))
 
 
+def keyed(df: DataFrame, text: str, *columns: str) -> DataFrame:
+    """`columns` of the rows that have a text, with _k1 and _k2: two hashes of 64 bits that stand for the text, so that no
+    text is shuffled."""
+    return df.where(F.col(text).isNotNull()).select(*columns, F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2"))
+
+
 def text_map(left: DataFrame, right: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """left_id -> right_id of equal texts, one row per left row: of repeated right texts the last id counts.
-    Texts meet by two hashes of 64 bits, so no text is shuffled."""
-    keyed = lambda df: df.select(id_col, F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2"))
-    last = keyed(right).groupBy("_k1", "_k2").agg(F.max(id_col).alias("right_id"))
-    return keyed(left).withColumnRenamed(id_col, "left_id").join(last, ["_k1", "_k2"]).select("left_id", "right_id")
+    """left_id -> right_id of equal texts, one row per left row: of repeated right texts the last id counts."""
+    last = keyed(right, text, id_col).groupBy("_k1", "_k2").agg(F.max(id_col).alias("right_id"))
+    return keyed(left, text, id_col).withColumnRenamed(id_col, "left_id").join(last, ["_k1", "_k2"]).select("left_id", "right_id")
+
+
+def text_join(left: DataFrame, right: DataFrame, text: str, left_columns: list[str], right_columns: list[str]) -> DataFrame:
+    """left_columns and right_columns of all pairs of rows with equal texts."""
+    return keyed(left, text, *left_columns).join(keyed(right, text, *right_columns), ["_k1", "_k2"]).select(*left_columns, *right_columns)
 
 
 def gather(new: DataFrame, old: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -25,9 +34,9 @@ def gather(new: DataFrame, old: DataFrame, key: str, vector: str, dim: int) -> D
 
 
 def dedup_replicate(values: DataFrame, corpus: DataFrame, key: str, value: str, *order: str) -> DataFrame:
-    """Each occurrence in `corpus` with the first value (by `order`) of its key."""
-    first = values.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
-    return corpus.join(first, key)
+    """Each occurrence in `corpus` of a text that has a value, with the first value (by `order`) of its text."""
+    first = keyed(values, key, value, *order).groupBy("_k1", "_k2").agg(F.min_by(value, F.struct(*order)).alias(value))
+    return keyed(corpus, key, *corpus.columns).join(first, ["_k1", "_k2"]).drop("_k1", "_k2")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

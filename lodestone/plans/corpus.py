@@ -35,8 +35,8 @@ def vector_gather_left(spark, d):
 @query("SELECT md5(text) AS text_md5 FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT text FROM documents WHERE length(text) > 50)")
 def corpus_intersect(spark, d):
     docs = table(spark, d, "documents")
-    part = lambda c: docs.where(c).select("text")
-    return part("doc_id % 2 = 0").intersect(part("doc_id % 3 = 0")).intersect(part("length(text) > 50")).select(F.md5("text").alias("text_md5"))
+    part = lambda c: docs.where(c).select(F.md5("text").alias("text_md5"))
+    return part("doc_id % 2 = 0").intersect(part("doc_id % 3 = 0")).intersect(part("length(text) > 50"))
 
 
 @query("SELECT doc_id AS theme_id, dense_id FROM documents JOIN (SELECT text, max(doc_id) AS dense_id FROM documents WHERE doc_id % 2 = 1 GROUP BY text) USING (text) WHERE doc_id % 2 = 0")
@@ -62,7 +62,7 @@ def assert_alignment(spark, d):
 
 @query("SELECT count(*) AS n_unique, max(c) AS most, round(avg(c), 6) AS mean FROM (SELECT count(*) AS c FROM documents GROUP BY text)")
 def duplicate_stats(spark, d):
-    return table(spark, d, "documents").groupBy("text").count().agg(F.count(F.lit(1)).alias("n_unique"), F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"))
+    return table(spark, d, "documents").groupBy(F.md5("text").alias("text_md5")).count().agg(F.count(F.lit(1)).alias("n_unique"), F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"))
 
 
 @query("SELECT doc_id, f.first AS value FROM documents JOIN (SELECT text, min_by(doc_id, (doc_id % 7, doc_id)) AS first FROM documents GROUP BY text) f USING (text)")
@@ -74,8 +74,8 @@ def dedup_replicate(spark, d):
 
 @query("SELECT md5(text) AS text_md5, row_number() OVER (ORDER BY first) - 1 AS number FROM (SELECT text, min(doc_id) AS first FROM documents GROUP BY text)")
 def distinct_first_seen(spark, d):
-    first = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("first"))
-    return rows.number(first.select(F.md5("text").alias("text_md5"), "first"), "first", name="number").select("text_md5", "number")
+    first = table(spark, d, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("first"))
+    return rows.number(first, "first", name="number").select("text_md5", "number")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id) - 1 AS pos FROM documents")
@@ -98,6 +98,12 @@ def split_98_2(spark, d):
     return rows.split_by_shares(table(spark, d, "documents").select("doc_id"), "doc_id", {"train": 0.98, "test": 0.02})
 
 
+@query("SELECT doc_id, CASE WHEN pos < n - ceil(n * 0.1::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos, count(*) OVER () AS n FROM labels)")
+def split_90_10(spark, d):
+    """The labelled documents in a seeded order, a tenth (rounded up) held out for tests."""
+    return rows.split_by_shares(table(spark, d, "labels").select("doc_id"), "doc_id", {"train": 0.9, "test": 0.1})
+
+
 CHUNKS = "SELECT doc_id, least(floor(p / greatest(1, n // 5)), 4)::INT AS split_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)"
 
 
@@ -114,8 +120,8 @@ def split_k_chunks(spark, d):
 @query(f"WITH s AS ({CHUNKS}), t AS (SELECT text, min(split_id) AS split_id FROM s JOIN documents USING (doc_id) GROUP BY text) SELECT doc_id, split_id FROM documents JOIN t USING (text) WHERE doc_id % 2 = 0")
 def split_follow(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    by_text = docs.join(_chunks(docs), "doc_id").groupBy("text").agg(F.min("split_id").alias("split_id"))
-    return docs.where("doc_id % 2 = 0").join(by_text, "text").select("doc_id", "split_id")
+    by_text = corpora.keyed(docs, "text", "doc_id").join(_chunks(docs), "doc_id").groupBy("_k1", "_k2").agg(F.min("split_id").alias("split_id"))
+    return corpora.keyed(docs.where("doc_id % 2 = 0"), "text", "doc_id").join(by_text, ["_k1", "_k2"]).select("doc_id", "split_id")
 
 
 @query("SELECT doc_id, least(p // greatest(1, n // 4), 3)::INT AS shard FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)")
@@ -296,8 +302,8 @@ def pip_aligned_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     e = table(spark, d, "embeddings")
     v = F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
-    dense = docs.join(e.where(vx.norm(v) > 1e-8).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("text")
-    both = dense.intersect(docs.where("doc_id % 3 > 0").select("text")).select(F.md5("text").alias("text_md5"))
+    dense = docs.join(e.where(vx.norm(v) > 1e-8).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.md5("text").alias("text_md5"))
+    both = dense.intersect(docs.where("doc_id % 3 > 0").select(F.md5("text").alias("text_md5")))
     placed = rows.number(both.withColumn("place", rows.hash_order(F.col("text_md5"))), "place", "text_md5")
     return placed.select("text_md5", rows.chunk(F.col("pos"), placed.count(), 5).alias("split_id"))
 

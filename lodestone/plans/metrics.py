@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone import sources
-from lodestone.functions import rouge
+from lodestone.functions import rouge, schedule
 from lodestone.functions import text as tx
 from lodestone.operators import evaluation, intervals, ranks, rows
 from lodestone.plans.registry import query
@@ -119,11 +119,13 @@ def timing_summary(spark, d):
     return t.select("*", F.round((F.col("dense_mean") - F.col("scoped_mean")) / F.col("dense_mean") * 100, 2).alias("percent_saved"), F.round(F.col("scoped_mean") / 10 * 1000, 2).alias("ms_per_query"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 10 THEN i / 10.0::DOUBLE ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * (i - 10) / 90.0::DOUBLE))) END, 9) AS factor FROM range(101) t(i)")
+@query("""WITH b AS (SELECT event_id // 32 AS step, avg(value) AS loss FROM events GROUP BY event_id // 32), n AS (SELECT max(step) + 1 AS total, (max(step) + 1) // 10 AS warm FROM b)
+SELECT step, round(loss, 6) AS loss, round(CASE WHEN step < warm THEN step / greatest(warm, 1)::DOUBLE ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * (step - warm) / greatest(total - warm, 1)::DOUBLE))) END, 9) AS factor FROM b, n""")
 def cosine_schedule(spark, d):
-    i = F.col("id")
-    factor = F.when(i < 10, i / 10.0).otherwise(F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.pi() * (i - 10) / 90.0))))
-    return spark.range(101).select(i.alias("step"), F.round(factor, 9).alias("factor"))
+    """The learning rate's factor at each batch of a training log: a tenth of the batches to warm up, then half a cosine."""
+    log = table(spark, d, "events").groupBy(F.expr("event_id div 32").alias("step")).agg(F.avg("value").alias("loss"))
+    total = (log.agg(F.max("step")).first()[0] or 0) + 1
+    return log.select("step", F.round("loss", 6).alias("loss"), F.round(schedule.cosine(F.col("step"), total // 10, total), 9).alias("factor"))
 
 
 @query("WITH b AS (SELECT event_id // 32 AS batch, avg(value) AS loss, count(*) AS n FROM events GROUP BY event_id // 32) SELECT round(avg(loss), 4) AS loss, count(*) AS batches FROM b WHERE n = 32")

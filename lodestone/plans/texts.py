@@ -54,12 +54,12 @@ def normalize_answer(spark, d):
 
 
 def _answers(spark, d):
-    """Predictions and golds: each benchmark passage against its first and last sentence and its start."""
+    """Predictions and golds: each benchmark passage against its first and last sentence and what follows its first."""
     b = table(spark, d, "benchmark")
-    return b.select("item_id", F.col("text").alias("p"), F.split("text", r"\. ").alias("golds"), F.lower(F.substring("text", 1, 60)).alias("g"))
+    return b.select("item_id", F.col("text").alias("p"), F.split("text", r"\. ").alias("golds"), F.lower(F.regexp_replace("text", r"^[^.]*\. ", "")).alias("g"))
 
 
-ANSWERS = r"(SELECT item_id, text AS p, string_split(text, '. ') AS golds, lower(substr(text, 1, 60)) AS g FROM benchmark)"
+ANSWERS = r"(SELECT item_id, text AS p, string_split(text, '. ') AS golds, lower(regexp_replace(text, '^[^.]*\. ', '')) AS g FROM benchmark)"
 
 
 @query(f"SELECT item_id, round({f1_sql('p', 'g')}, 9) AS f1, round(list_max(list_transform(golds, lambda q: {f1_sql('p', 'q')})), 9) AS best_f1 FROM {ANSWERS}")
@@ -132,9 +132,9 @@ def extract_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.paragraphs(marked).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("paragraphs_md5"))
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN NULL ELSE trim(substr(text, 1, 40)) END AS question FROM benchmark""")
+@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN NULL ELSE trim(text) END AS question FROM benchmark""")
 def question_key(spark, d):
-    marked = F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Plan it.\nQuestion:  "), F.substring("text", 1, 40), F.lit("Question: again")))
+    marked = F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Plan it.\nQuestion:  "), "text", F.lit("Question: again")))
     return table(spark, d, "benchmark").select("item_id", tx.question_key(marked).alias("question"))
 
 
@@ -226,10 +226,10 @@ def topn_context_slice(spark, d):
 
 
 @query("""WITH x AS (SELECT conv_id, turn, coalesce(text, '') AS t, conv_id % 3 AS k FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, trim(CASE WHEN k = 0 THEN t || ' and why is it?' ELSE left(t, 12) || '?' END) AS q FROM x WHERE k < 2 AND length(trim(CASE WHEN k = 0 THEN t || ' and why is it?' ELSE left(t, 12) || '?' END)) > 10""")
+SELECT conv_id, turn, trim(CASE WHEN k = 0 THEN t || ' and why is it?' ELSE t || '?' END) AS q FROM x WHERE k < 2 AND length(trim(CASE WHEN k = 0 THEN t || ' and why is it?' ELSE t || '?' END)) > 10""")
 def subquery_valid(spark, d):
     k = F.col("conv_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit('"'), "text", F.lit(' and why is it?" '))).when(k == 1, F.concat(F.left("text", F.lit(12)), F.lit("?"))).otherwise(F.regexp_replace("text", r"\?", ""))
+    raw = F.when(k == 0, F.concat(F.lit('"'), "text", F.lit(' and why is it?" '))).when(k == 1, F.concat("text", F.lit("?"))).otherwise(F.regexp_replace("text", r"\?", ""))
     q = tx.strip(F.btrim(tx.strip(raw), F.lit('"')))
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", q.alias("q")).where((F.length("q") > 10) & F.contains("q", F.lit("?")))
 
@@ -256,14 +256,14 @@ def cut_at_eos(spark, d):
     return table(spark, d, "documents").select("doc_id", F.split_part(F.concat("text", F.lit("</s>tail")), F.lit("</s>"), F.lit(1)).alias("prediction"))
 
 
-@query("SELECT item_id, coalesce(CASE WHEN item_id % 2 = 0 THEN 'do ' || item_id END, left(text, 30)) AS instruction FROM benchmark")
+@query("SELECT item_id, coalesce(CASE WHEN item_id % 2 = 0 THEN 'do ' || item_id END, text) AS instruction FROM benchmark")
 def instruction_coalesce(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.coalesce(F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("do "), F.col("item_id").cast("string"))), F.left("text", F.lit(30))).alias("instruction"))
+    return table(spark, d, "benchmark").select("item_id", F.coalesce(F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("do "), F.col("item_id").cast("string"))), F.col("text")).alias("instruction"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'single' ELSE 'multiple' END AS kind, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n FROM conversations""")
 def response_parse(spark, d):
-    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("SINGLE: "), F.left("text", F.lit(20)))).otherwise("MULTIPLE: first?|second?|")
+    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("SINGLE: "), "text")).otherwise("MULTIPLE: first?|second?|")
     parts = F.filter(F.split(F.split_part(reply, F.lit(": "), F.lit(2)), r"\|"), lambda x: x != "")
     docs = F.array(F.lit("d1"), F.lit("d2"), F.lit("d3"))
     zipped = F.filter(F.arrays_zip(parts.alias("q"), docs.alias("d")), lambda p: p["q"].isNotNull() & p["d"].isNotNull())
@@ -341,6 +341,16 @@ def _graphs(spark, d):
     return tr.graphs(triples(spark, d), "l_orderkey", "t")
 
 
+@query(f"SELECT l_orderkey, count(*) AS triples, bool_and(l_linenumber % 5 <> 0) AS has_graph FROM {TRIPLES} GROUP BY l_orderkey")
+def graph_failures(spark, d):
+    """Every fifth triple of an order has lost its object: its order has no graph, the others keep theirs."""
+    t = F.when(F.col("l_linenumber") % 5 == 0, F.regexp_replace("t", r"\| O>.*$", ")")).otherwise(F.col("t"))
+    some = triples(spark, d).select("l_orderkey", t.alias("t"))
+    whole = tr.graphs(some, "l_orderkey", "t").select("l_orderkey", F.lit(True).alias("whole"))
+    counts = some.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("triples"))
+    return counts.join(whole, "l_orderkey", "left").select("l_orderkey", "triples", F.coalesce("whole", F.lit(False)).alias("has_graph"))
+
+
 NODES = f"(SELECT l_orderkey, name, row_number() OVER (PARTITION BY l_orderkey ORDER BY name) - 1 AS node_idx FROM (SELECT DISTINCT l_orderkey, unnest([s, o]) AS name FROM {TRIPLES}))"
 
 

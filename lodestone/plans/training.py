@@ -8,7 +8,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.functions.models import similarity_label
 from lodestone.operators import retrieval as rt
-from lodestone.operators import reasoning, rows, trainset
+from lodestone.operators import corpora, reasoning, rows, trainset
 from lodestone.plans.registry import query
 from lodestone.plans.texts import TRIPLES, triples
 from lodestone.tables import table
@@ -103,7 +103,7 @@ def threshold_retrieval(spark, d):
 def question_retrieval_join(spark, d):
     b = table(spark, d, "benchmark")
     found = table(spark, d, "documents").select("doc_id", F.trim("text").alias("k")).unionByName(b.select(F.col("item_id").alias("doc_id"), F.trim(F.concat(F.lit("  "), "text", F.lit(" "))).alias("k")))
-    return b.select("item_id", F.trim("text").alias("k")).join(found, "k").select("item_id", "doc_id")
+    return corpora.text_join(b.select("item_id", F.trim("text").alias("k")), found, "k", ["item_id"], ["doc_id"])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'F' THEN 'new ' || o_orderpriority WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'new ' || o_orderpriority END AS answer FROM orders WHERE o_orderkey % 2 = 0 OR o_orderstatus = 'F'")
@@ -132,9 +132,9 @@ def doc_subquery_map(spark, d):
 PREFIX = "string_agg({0}, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query(f"SELECT conv_id, turn, md5('Q:' || {PREFIX.format('text')}) AS input_md5, coalesce('[SUBQ] ' || lead(left(text, 30)) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') AS label FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, md5('Q:' || {PREFIX.format('text')}) AS input_md5, coalesce('[SUBQ] ' || lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') AS label FROM conversations WHERE role = 'user'")
 def planner_prefix_examples(spark, d):
-    steps = table(spark, d, "conversations").where("role = 'user'").withColumn("ask", F.left("text", F.lit(30)))
+    steps = table(spark, d, "conversations").where("role = 'user'").withColumn("ask", F.col("text"))
     return trainset.prefix_examples(steps, "conv_id", "turn", "text", "ask", "Q:").select("conv_id", "turn", F.md5("input").alias("input_md5"), "label")
 
 
@@ -192,14 +192,14 @@ def pip_hotpot(spark, d):
 
 
 PLANNER = f"""u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),
-e AS (SELECT conv_id, -1 AS turn, 'Question: ' || text AS input, CASE WHEN n = 1 THEN '[NO_RETRIEVAL]' ELSE '[SUBQ] ' || left(text, 20) END AS label FROM u WHERE i = 1
-UNION ALL SELECT conv_id, turn, 'Question: ' || first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) || chr(10) || {PREFIX.format("text")}, coalesce('[SUBQ] ' || lead(left(text, 20)) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') FROM u WHERE n > 1),
+e AS (SELECT conv_id, -1 AS turn, 'Question: ' || text AS input, CASE WHEN n = 1 THEN '[NO_RETRIEVAL]' ELSE '[SUBQ] ' || text END AS label FROM u WHERE i = 1
+UNION ALL SELECT conv_id, turn, 'Question: ' || first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) || chr(10) || {PREFIX.format("text")}, coalesce('[SUBQ] ' || lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[SUFFICIENT]') FROM u WHERE n > 1),
 p AS (SELECT *, conv_id || ':' || turn AS id FROM e), o AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS pos, count(*) OVER () AS total FROM p),
 s AS (SELECT conv_id, turn, input, label, CASE WHEN pos < floor(total * 0.98::DOUBLE) THEN 'train' WHEN pos < floor(total * 0.99::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o)"""
 
 
 def _planner(spark, d):
-    u = table(spark, d, "conversations").where("role = 'user'").withColumn("ask", F.left("text", F.lit(20)))
+    u = table(spark, d, "conversations").where("role = 'user'").withColumn("ask", F.col("text"))
     first = u.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.min_by("ask", "turn").alias("q0"), F.count(F.lit(1)).alias("n"))
     ask = F.concat(F.lit("Question: "), "question")
     alone = first.select("conv_id", F.lit(-1).cast("long").alias("turn"), ask.alias("input"), F.when(F.col("n") == 1, "[NO_RETRIEVAL]").otherwise(F.concat(F.lit("[SUBQ] "), "q0")).alias("label"))
@@ -214,10 +214,10 @@ def pip_planner(spark, d):
     return _planner(spark, d).select("conv_id", "turn", F.md5("input").alias("input_md5"), "label", "split")
 
 
-@query(f"""WITH {PLANNER}, a AS (SELECT conv_id, min_by(left(text, 40), turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+@query(f"""WITH {PLANNER}, a AS (SELECT conv_id, min_by(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
 SELECT conv_id, turn, md5('Answer it.' || chr(10) || input) AS input_md5, answer AS label FROM s JOIN a USING (conv_id) WHERE label IN ('[SUFFICIENT]', '[NO_RETRIEVAL]')""")
 def pip_answerer(spark, d):
-    answers = table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by(F.left("text", F.lit(40)), "turn").alias("answer"))
+    answers = table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
     done = _planner(spark, d).where(F.col("label").isin("[SUFFICIENT]", "[NO_RETRIEVAL]")).withColumn("instruction", F.concat(F.lit("Plan it.\n"), "input"))
     return done.join(answers, "conv_id").select("conv_id", "turn", F.md5(F.replace("instruction", F.lit("Plan it.\n"), F.lit("Answer it.\n"))).alias("input_md5"), F.col("answer").alias("label"))
 

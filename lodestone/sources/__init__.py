@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import anchors_to_text, strip
 from lodestone.functions.vectors import normalized
 from lodestone.operators.rows import number
 from lodestone.tables import scratch
 
 ARTICLES = "id string, title string, url string, text array<array<string>>"
 PASSAGES = "text string"
+TRIPLETS = "text string, triplet string"
 SELFRAG = "instruction string, output string, input string, id string, dataset_name string"
 
 
@@ -26,6 +27,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = PASSAGES, drop_malf
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE").json(path)
 
 
+def read_triplets(spark: SparkSession, path: str) -> DataFrame:
+    """Training pairs of a text and its triples, from JSON lines; a triplet that is not text is its JSON. Lines without a
+    text or a triplet are left out."""
+    rows = read_jsonl(spark, path, TRIPLETS)
+    return rows.select("text", strip(F.col("triplet")).alias("triplet")).where("text IS NOT NULL AND triplet <> ''")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON array or object a file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -38,14 +46,15 @@ def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Compressed article dumps in folders: paragraphs are joined sentences with anchors replaced by their
-    text; unreadable lines are left out. `file` numbers the batches in path order."""
-    from pyspark.sql import Window as W
-
-    from lodestone.functions.text import anchors_to_text
-
-    rows = spark.read.schema(ARTICLES).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bz2").json(path).withColumn("_file", F.col("_metadata.file_path"))
-    files = rows.select("_file").distinct().withColumn("file", F.row_number().over(W.orderBy("_file")) - 1)
-    return rows.join(F.broadcast(files), "_file").select("id", "title", "url", F.transform("text", lambda p: strip(anchors_to_text(F.array_join(p, "")))).alias("paragraphs"), "file")
+    text; unreadable lines are left out. `file` numbers the batches in path order; the numbers come from the list of
+    files, not from what is in them."""
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.bz2"}
+    rows = spark.read.schema(ARTICLES).option("mode", "DROPMALFORMED").options(**options).json(path)
+    plain = lambda uri: F.regexp_replace(F.try_url_decode(uri), "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the list and the rows write them differently
+    numbers = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "file int, uri string").select("file", plain("uri").alias("_file"))
+    told = rows.select("id", "title", "url", F.transform("text", lambda p: strip(anchors_to_text(F.array_join(p, "")))).alias("paragraphs"), plain(F.col("_metadata.file_path")).alias("_file"))
+    place = F.coalesce("file", F.raise_error(F.concat(F.lit("not a listed file: "), "_file")))
+    return told.join(F.broadcast(numbers), "_file", "left").select("id", "title", "url", "paragraphs", place.cast("int").alias("file"))
 
 
 def read_probabilities(spark: SparkSession, path: str, n_labels: int, text: str = "text", na: str = "NA") -> DataFrame:

@@ -113,6 +113,8 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in sources.read_columnar(spark, f"{base}/c.json", "question array<string>, answer array<string>", 1).collect()] == [(0, "q1", "a1")]
     (tmp_path / "p.csv").write_text("text,label_0,label_1\nNA,0.5,NA\nz,0.1,0.2\n")
     assert {r.text: [round(x, 3) for x in r.theme] for r in sources.read_probabilities(spark, f"{base}/p.csv", 2).collect()} == {"[INVALID_TEXT]": [0.5, 0.0], "z": [0.1, 0.2]}
+    (tmp_path / "t.jsonl").write_text('{"text": "x", "triplet": " (S> a| P> b| O> c) "}\n{"text": "y", "triplet": ["(S> d"]}\n{"text": "z"}\n{"triplet": "t"}\nbad\n{"text": "w", "triplet": " "}\n')
+    assert [tuple(r) for r in sources.read_triplets(spark, f"{base}/t.jsonl").collect()] == [("x", "(S> a| P> b| O> c)"), ("y", '["(S> d"]')]
     import bz2
 
     (tmp_path / "AA").mkdir()
