@@ -119,13 +119,13 @@ def timing_summary(spark, d):
     return t.select("*", F.round((F.col("dense_mean") - F.col("scoped_mean")) / F.col("dense_mean") * 100, 2).alias("percent_saved"), F.round(F.col("scoped_mean") / 10 * 1000, 2).alias("ms_per_query"))
 
 
-@query("""WITH b AS (SELECT event_id // 32 AS step, avg(value) AS loss FROM events GROUP BY event_id // 32), n AS (SELECT max(step) + 1 AS total, (max(step) + 1) // 10 AS warm FROM b)
-SELECT step, round(loss, 6) AS loss, round(CASE WHEN step < warm THEN step / greatest(warm, 1)::DOUBLE ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * (step - warm) / greatest(total - warm, 1)::DOUBLE))) END, 9) AS factor FROM b, n""")
+@query("""WITH b AS (SELECT event_id // 32 AS step, sum(value) AS loss FROM events GROUP BY event_id // 32), n AS (SELECT max(step) + 1 AS total, (max(step) + 1) // 10 AS warm FROM b)
+SELECT step, round(loss, 2) AS loss, round(CASE WHEN step < warm THEN step / greatest(warm, 1)::DOUBLE ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * (step - warm) / greatest(total - warm, 1)::DOUBLE))) END, 9) AS factor FROM b, n""")
 def cosine_schedule(spark, d):
     """The learning rate's factor at each batch of a training log: a tenth of the batches to warm up, then half a cosine."""
-    log = table(spark, d, "events").groupBy(F.expr("event_id div 32").alias("step")).agg(F.avg("value").alias("loss"))
+    log = table(spark, d, "events").groupBy(F.expr("event_id div 32").alias("step")).agg(F.sum("value").alias("loss"))
     total = (log.agg(F.max("step")).first()[0] or 0) + 1
-    return log.select("step", F.round("loss", 6).alias("loss"), F.round(schedule.cosine(F.col("step"), total // 10, total), 9).alias("factor"))
+    return log.select("step", F.round("loss", 2).alias("loss"), F.round(schedule.cosine(F.col("step"), total // 10, total), 9).alias("factor"))
 
 
 @query("WITH b AS (SELECT event_id // 32 AS batch, avg(value) AS loss, count(*) AS n FROM events GROUP BY event_id // 32) SELECT round(avg(loss), 4) AS loss, count(*) AS batches FROM b WHERE n = 32")
@@ -160,24 +160,24 @@ def bootstrap_rouge(spark, d):
 
 
 WITH_GOLDS = f"(SELECT *, [g, 'An ' || string_split(p, ' ')[-1] || ' of ' || g] AS golds FROM {PAIRS})"
-R1_WORDS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
-OVER = lambda f: f"list_max(list_transform(golds, lambda q: {f}))"
-METRIC_SQL = {
-    "em": OVER(f"({norm_sql('p')} = {norm_sql('q')})::INT::DOUBLE"), "f1": OVER(f1_sql("p", "q")), "match": OVER(f"contains({norm_sql('p')}, {norm_sql('q')})::INT::DOUBLE"),
-    "contains": OVER("contains(lower(p), lower(q))::INT::DOUBLE"), "rouge1": OVER(overlap_sql(R1_WORDS("p"), R1_WORDS("q")))}
+METRICS = list(evaluation.METRICS)
+#: Every metric by the best gold answer; texts are normalised and split once a pair.
+SCORED = f"""(SELECT conv_id, turn, max((np = nq)::INT::DOUBLE) AS em, max({overlap_sql('pw', 'qw')}) AS f1, max(contains(np, nq)::INT::DOUBLE) AS match, max(contains(lower(p), lower(q))::INT::DOUBLE) AS contains, max({overlap_sql('p1', 'q1')}) AS rouge1
+FROM (SELECT *, list_filter(string_split(np, ' '), lambda w: w <> '') AS pw, list_filter(string_split(nq, ' '), lambda w: w <> '') AS qw, regexp_extract_all(lower(p), '[a-z0-9]+') AS p1, regexp_extract_all(lower(q), '[a-z0-9]+') AS q1
+ FROM (SELECT conv_id, turn, p, q, {norm_sql('p')} AS np, {norm_sql('q')} AS nq FROM (SELECT conv_id, turn, p, unnest(golds) AS q FROM {WITH_GOLDS}))) GROUP BY conv_id, turn)"""
 
 
-@query(f"SELECT conv_id, turn, " + ", ".join(f"round({sql}, 9) AS {m}" for m, sql in METRIC_SQL.items()) + f" FROM {WITH_GOLDS}")
+@query("SELECT conv_id, turn, " + ", ".join(f"round({m}, 9) AS {m}" for m in METRICS) + f" FROM {SCORED}")
 def metrics_over_golds(spark, d):
     """Every metric of the registry over the gold answers, in one pass."""
-    x = evaluation.scored(_with_golds(spark, d), "p", "golds", list(METRIC_SQL))
-    return x.select("conv_id", "turn", *[F.round(m, 9).alias(m) for m in METRIC_SQL])
+    x = evaluation.scored(_with_golds(spark, d), "p", "golds", METRICS)
+    return x.select("conv_id", "turn", *[F.round(m, 9).alias(m) for m in METRICS])
 
 
 TASKS = {"0": "em", "1": "f1", "2": "match", "3": "rouge1"}
 
 
-@query("SELECT task, count(*) AS n, round(avg(score), 6) AS score FROM (SELECT (conv_id % 5)::VARCHAR AS task, CASE (conv_id % 5)::VARCHAR " + " ".join(f"WHEN '{t}' THEN {METRIC_SQL[m]}" for t, m in TASKS.items()) + f" END AS score FROM {WITH_GOLDS}) GROUP BY task")
+@query("SELECT task, count(*) AS n, round(avg(score), 6) AS score FROM (SELECT (conv_id % 5)::VARCHAR AS task, CASE (conv_id % 5)::VARCHAR " + " ".join(f"WHEN '{t}' THEN {m}" for t, m in TASKS.items()) + f" END AS score FROM {SCORED}) GROUP BY task")
 def metric_by_task(spark, d):
     """Each task by its own metric; the last task has none."""
     x = evaluation.by_task(_with_golds(spark, d).withColumn("task", (F.col("conv_id") % 5).cast("string")), "p", "golds", "task", TASKS)
@@ -185,7 +185,7 @@ def metric_by_task(spark, d):
 
 
 BOOTSTRAP = f"""WITH d AS (SELECT b, ('0x' || substr(md5('42:a:' || b), 1, 8))::BIGINT % {evaluation.PRIME - 1} + 1 AS a, ('0x' || substr(md5('42:c:' || b), 1, 8))::BIGINT % {evaluation.PRIME} AS c FROM range(1, 201) t(b)),
-s AS (SELECT conv_id % 3 AS task, ('0x' || substr(md5(conv_id || ':' || turn), 1, 8))::BIGINT % {evaluation.PRIME} AS x, {METRIC_SQL['f1']} AS f1, {METRIC_SQL['rouge1']} AS rouge1 FROM {WITH_GOLDS}),
+s AS (SELECT conv_id % 3 AS task, ('0x' || substr(md5(conv_id || ':' || turn), 1, 8))::BIGINT % {evaluation.PRIME} AS x, f1, rouge1 FROM {SCORED}),
 w AS (SELECT task, b, f1, rouge1, len(list_filter({evaluation.poisson_steps()}, lambda t: (a * x + c) % {evaluation.PRIME} >= t)) AS w FROM s, d),
 r AS (SELECT task, b, unnest(['f1', 'rouge1']) AS metric, unnest([sum(w * f1), sum(w * rouge1)]) / sum(w) AS m FROM w GROUP BY task, b),
 p AS (SELECT task, unnest(['f1', 'rouge1']) AS metric, unnest([count(*), count(*)]) AS n, unnest([avg(f1), avg(rouge1)]) AS mean FROM s GROUP BY task)
