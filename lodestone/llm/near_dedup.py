@@ -241,18 +241,18 @@ def _compared(open_: DataFrame, features: DataFrame, least: float) -> DataFrame:
     whatever the bucket's size; of a node's links into one class and block the first is enough."""
     full = materialize(open_.join(features, "node").select("key", "label", "main", F.struct("node", "label", "h", "w").alias("x"), F.octet_length("h").alias("size")), "open")
     total = full.count()
-
-    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        need = rows.groupBy("key").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK)).alias("blocks"), F.count(F.lit(1)).alias("n"))
-        need = materialize(need, "blocks")
-        # A bucket may hold most rows, so they are dealt by bucket and block, never by bucket alone.
-        placed = join_groups(rows.select("key", "x"), need, ["key"], "n", total).withColumn("block", F.pmod(F.xxhash64("x.node"), F.col("blocks")))
-        return placed.repartition("key", "block").groupBy("key", "block").agg(F.collect_list("x").alias(name)), need
-
-    us, _ = blocks(full.where("label <> main"), "us")
-    vs, need = blocks(full, "vs")
-    wide = us.select("key", "us").join(need.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "key")
-    pairs = wide.join(vs, ["key", "block"]).select("us", "vs")
+    need = lambda some, n: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(some, F.col("size"))) / BLOCK_BYTES, F.count_if(some) / BLOCK))).alias(n)
+    minor = F.col("label") != F.col("main")
+    sizes = materialize(full.groupBy("key").agg(need(minor, "u_blocks"), need(F.lit(True), "v_blocks"), F.count(F.lit(1)).alias("n")), "blocks")
+    # A bucket may hold most rows, so they are dealt by bucket and block, never by bucket alone.
+    dealt = join_groups(full, sizes, ["key"], "n", total)
+
+    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
+        placed = rows.select("key", "x", "v_blocks", F.pmod(F.xxhash64("x.node"), F.col(n)).alias("block"))
+        return placed.repartition("key", "block").groupBy("key", "block").agg(F.collect_list("x").alias(name), F.max("v_blocks").alias("v_blocks"))
+
+    us = blocks(dealt.where(minor), "u_blocks", "us").select("key", "us", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v_blocks") - 1)).alias("block"))
+    pairs = us.join(blocks(dealt, "v_blocks", "vs").drop("v_blocks"), ["key", "block"]).select("us", "vs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = lambda x: [(np.frombuffer(y["h"], np.uint32), np.frombuffer(y["w"], np.float32)) for y in x]
