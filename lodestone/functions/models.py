@@ -14,20 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _tried(hook: Callable[[list[str]], list[str]], texts: list[str], tries: int, wait_s: float) -> list[str] | None:
+    """What the hook returns for the texts; None if it fails `tries` times or returns another number of results."""
+    for attempt in range(tries):
+        try:
+            result = list(hook(texts))
+            if len(result) == len(texts):
+                return result
+        except Exception:
+            pass
+        if attempt + 1 < tries:
+            time.sleep(wait_s * 2**attempt)
+    return None
+
+
 def generate(df: DataFrame, prompt: str, hook: Callable[[list[str]], list[str]], out: str = "output", tries: int = 3, wait_s: float = 0.0, fallback: str | None = None) -> DataFrame:
-    """`df` with the hook's text for each prompt."""
+    """`df` with the hook's text for each prompt. A batch that fails `tries` times is asked text by text, each as often, so
+    one bad prompt costs the fallback for itself alone, whatever it shares a batch with. A null prompt is empty."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            for attempt in range(tries):
-                try:
-                    result = hook([t or "" for t in texts])
-                    break
-                except Exception:
-                    time.sleep(wait_s * 2**attempt)
-            else:
-                result = [fallback] * len(texts)
+        for column in batches:
+            texts = [t or "" for t in column]
+            result = _tried(hook, texts, tries, wait_s) if texts else []
+            if result is None:
+                result = [one[0] if (one := _tried(hook, [t], tries, wait_s)) else fallback for t in texts]
             yield pd.Series(result, dtype=object)
 
     return df.withColumn(out, run(F.col(prompt)))

@@ -66,10 +66,12 @@ def read_probabilities(spark: SparkSession, path: str, n_labels: int, text: str
     return rows.select(F.coalesce(F.nullif(text, F.lit("")), F.lit("[INVALID_TEXT]")).alias("text"), theme.alias("theme"))
 
 
-def read_columnar(spark: SparkSession, path: str, schema: str, first: int | None = None) -> DataFrame:
-    """A test set stored as parallel lists, one row per position `ord`; optionally the first rows."""
+def read_columnar(spark: SparkSession, path: str, schema: str, first: int | None = None, by: str | None = None) -> DataFrame:
+    """A test set stored as parallel lists, one row per position `ord`; optionally the first rows of each file. `by` is the
+    column that the folders of the files name."""
     wide = read_json(spark, path, schema)
-    rows = wide.select(F.posexplode(F.arrays_zip(*wide.columns)).alias("ord", "x")).select("ord", "x.*")
+    lists, kept = [c for c in wide.columns if c != by], [by] if by else []
+    rows = wide.select(*kept, F.posexplode(F.arrays_zip(*lists)).alias("ord", "x")).select(*kept, "ord", "x.*")
     return rows if first is None else rows.where(F.col("ord") < first)
 
 
