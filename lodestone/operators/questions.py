@@ -31,15 +31,20 @@ Path = list[tuple[str, str]]
 Retrieve = Callable[[DataFrame], DataFrame]
 
 
+def document_alone(question: str, document: str) -> str:
+    return document
+
+
 @dataclass(frozen=True)
 class Models:
-    """extract: a document's triples as text; prompt: question and path as text; plan: a prompt's next sub-query
-    or a stop; answer: a prompt's answer."""
+    """extract: triples as text; prompt: question and path as text; plan: a prompt's next sub-query or a stop;
+    answer: a prompt's answer; reading: what extract is given of a question and a document."""
 
     extract: Callable[[str], str]
     prompt: Callable[[str, Path], str]
     plan: Callable[[str], str]
     answer: Callable[[str], str]
+    reading: Callable[[str, str], str] = document_alone
 
 
 def decide(question: str, path: Path, models: Models, max_hops: int) -> tuple[str | None, str | None, str | None]:
@@ -54,9 +59,9 @@ def decide(question: str, path: Path, models: Models, max_hops: int) -> tuple[st
     return None, reason, models.answer(prompt)
 
 
-def extended(path: Path, sub_query: str, docs: Iterable[str | None] | None, models: Models) -> Path:
+def extended(question: str, path: Path, sub_query: str, docs: Iterable[str | None] | None, models: Models) -> Path:
     """The path with one hop more; what is no triple is left out."""
-    found = [f"(S> {s}| P> {p}| O> {o})" for d in (docs if docs is not None else []) if d is not None for s, p, o, ok, _ in parse_reply(models.extract(d)) if ok]
+    found = [f"(S> {s}| P> {p}| O> {o})" for d in (docs if docs is not None else []) if d is not None for s, p, o, ok, _ in parse_reply(models.extract(models.reading(question, d))) if ok]
     return [*path, (sub_query, ", ".join(found))]
 
 
@@ -72,7 +77,7 @@ def answer_in_rounds(questions: DataFrame, retrieve: Retrieve, models: Models, m
             out = []
             for row in batch.to_pylist():
                 path = [(x["sub_query"], x["triples"]) for x in row["path"]]
-                path = path if row["sub_query"] is None else extended(path, row["sub_query"], row["docs"], models)
+                path = path if row["sub_query"] is None else extended(row["question"] or "", path, row["sub_query"], row["docs"], models)
                 sub_query, reason, answer = decide(row["question"] or "", path, models, max_hops)
                 out.append({"id": row["id"], "question": row["question"], "path": [{"sub_query": s, "triples": t} for s, t in path], "sub_query": sub_query, "reason": reason, "answer": answer})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
@@ -115,7 +120,7 @@ class Loop(StatefulProcessor):
             if event.hop != (len(held[2]) + 1 if held else 0) or held and held[4]:
                 continue
             question = held[0] if held else event.question or ""
-            path = extended(list(zip(held[2], held[3])), held[1], event.docs, self.models) if held else []
+            path = extended(question, list(zip(held[2], held[3])), held[1], event.docs, self.models) if held else []
             sub_query, reason, answer = decide(question, path, self.models, self.max_hops)
             # What has ended keeps its place only, not its path.
             kept = path if sub_query is not None else []

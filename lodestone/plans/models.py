@@ -185,13 +185,18 @@ def _retrieval(spark, d):
     return lambda asked: asked.withColumn("word", F.regexp_extract("sub_query", "Ask: ([a-z]+)", 1)).join(index, "word").select("id", "docs")
 
 
-LOOP = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(string_split(text, '. ')[1], '[a-z]+') AS w FROM documents),
+def loop_sql(hops: int, more: int, subjects: str) -> str:
+    """The loop in SQL; `more` words are read with each document, and `subjects` is what a hop adds to the subjects known."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(string_split(text, '. ')[1], '[a-z]+') AS w FROM documents),
 x AS (SELECT word, doc_id, w FROM (SELECT doc_id, w, unnest(list_distinct(w)) AS word FROM w) QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id) <= 2),
-i AS (SELECT word, flatten(list(CASE WHEN len(w) > 3 THEN w[-2:] WHEN len(w) = 3 THEN w[-1:] ELSE [] END ORDER BY doc_id)) AS o, flatten(list(CASE WHEN len(w) > 2 THEN w[:1] ELSE [] END ORDER BY doc_id)) AS s FROM x GROUP BY word),
+i AS (SELECT word, flatten(list(CASE WHEN len(w) + {more} > 3 THEN w[-2:] WHEN len(w) + {more} = 3 THEN w[-1:] ELSE [] END ORDER BY doc_id)) AS o, flatten(list(CASE WHEN len(w) > 2 THEN w[:1] ELSE [] END ORDER BY doc_id)) AS s FROM x GROUP BY word),
 r AS (SELECT item_id AS id, 0 AS hops, regexp_extract_all(string_split(text, '. ')[1], '[a-z]+')[-1] AS word, []::VARCHAR[] AS asked, []::VARCHAR[] AS objects, []::VARCHAR[] AS subjects FROM benchmark
- UNION ALL SELECT id, hops + 1, CASE WHEN hops + 1 < {MAX_HOPS} AND len(list_distinct(list_concat(o2, s2))) < {ENOUGH} THEN list_filter(o2, lambda y: NOT list_contains(list_append(asked, word), y))[1] END, list_append(asked, word), o2, s2
- FROM (SELECT r.*, list_concat(objects, coalesce(o, [])) AS o2, list_concat(subjects, coalesce(s, [])) AS s2 FROM r LEFT JOIN i USING (word) WHERE word IS NOT NULL))
-SELECT id, hops, CASE WHEN hops >= {MAX_HOPS} THEN 'maximum' WHEN len(list_distinct(list_concat(objects, subjects))) >= {ENOUGH} THEN 'sufficient' ELSE 'no_retrieval' END AS reason, coalesce(objects[-1], 'unknown') AS answer FROM r WHERE word IS NULL"""
+ UNION ALL SELECT id, hops + 1, CASE WHEN hops + 1 < {hops} AND len(list_distinct(list_concat(o2, s2))) < {ENOUGH} THEN list_filter(o2, lambda y: NOT list_contains(list_append(asked, word), y))[1] END, list_append(asked, word), o2, s2
+ FROM (SELECT r.*, list_concat(objects, coalesce(o, [])) AS o2, list_concat(subjects, {subjects}) AS s2 FROM r LEFT JOIN i USING (word) WHERE word IS NOT NULL))
+SELECT id, hops, CASE WHEN hops >= {hops} THEN 'maximum' WHEN len(list_distinct(list_concat(objects, subjects))) >= {ENOUGH} THEN 'sufficient' ELSE 'no_retrieval' END AS reason, coalesce(objects[-1], 'unknown') AS answer FROM r WHERE word IS NULL"""
+
+
+LOOP = loop_sql(MAX_HOPS, 0, "coalesce(s, [])")
 
 
 @query(LOOP)
@@ -206,3 +211,16 @@ def question_loop_online(spark, d):
     """The same loop with each question's path in the state store of a stream."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
     return questions.answer_online(asked, _retrieval(spark, d), STUBS, MAX_HOPS)
+
+
+def with_question(question: str, document: str) -> str:
+    """The question's last word before the document's words, so that it becomes the subject."""
+    return " ".join([*re.findall("[a-z]+", question.split(". ")[0])[-1:], *re.findall("[a-z]+", document)])
+
+
+@query(loop_sql(5, 1, "CASE WHEN len(coalesce(o, [])) > 0 THEN [coalesce(asked[1], word)] ELSE [] END"))
+def question_loop_with_question(spark, d):
+    """The variant whose extraction sees the question, with five hops at most."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    models = questions.Models(extraction.stub_reply, stub_prompt, stub_plan, stub_last, with_question)
+    return questions.answer_in_rounds(asked, _retrieval(spark, d), models, 5).drop("path")

@@ -36,7 +36,7 @@ def plain(question, max_hops):
         sub_query, reason, answer = questions.decide(question or "", path, MODELS, max_hops)
         if sub_query is None:
             return len(path), reason, answer
-        path = questions.extended(path, sub_query, DOCS.get(sub_query), MODELS)
+        path = questions.extended(question or "", path, sub_query, DOCS.get(sub_query), MODELS)
 
 
 def retrieve(spark):
@@ -56,6 +56,14 @@ def test_batch_and_stream_give_one_answer(spark):
     assert sorted(map(tuple, online.collect())) == sorted((i, *x) for i, x in got.items())
 
 
+def test_extraction_can_see_the_question(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, question string")
+    seen = questions.Models(lambda text: f"(S> {text}| P> leads| O> e)", prompt, plan, MODELS.answer, lambda question, document: f"{question} of {document.split()[0]}")
+    got = questions.answer_in_rounds(df, retrieve(spark), seen, 3)
+    assert {r.id: r.path[0].triples.split("|")[0] for r in got.collect()} == {1: "(S> a of a", 2: "(S> b of b"}
+    assert sorted((r.id, r.answer) for r in questions.answer_online(df, retrieve(spark), seen, 3).collect()) == [(1, "e"), (2, "e")]
+
+
 def test_no_questions(spark):
     df = spark.createDataFrame([], "id long, question string")
     assert questions.answer_in_rounds(df, retrieve(spark), MODELS).count() == 0
