@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +44,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the application ends."""
+    """A new path in the shared folder, which goes when the application ends, or the block of `intermediates` around it."""
     context, path = spark.sparkContext, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    if getattr(context, "_lodestone_made", None) is not None:
+        context._lodestone_made.append(path)
     return path
 
 
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """What is written to new scratch paths inside goes when the block ends; the block's results lie elsewhere by then."""
+    context = spark.sparkContext
+    outer, context._lodestone_made = getattr(context, "_lodestone_made", None), []
+    try:
+        yield
+    finally:
+        made, context._lodestone_made = context._lodestone_made, outer
+        for path in made:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there, and a lost
     executor costs a reread of files, not the work before them. The files go when the application ends."""

@@ -248,3 +248,25 @@ def test_answer_by_candidates(spark):
     got = reasoning.answer_by_candidates(items, "k", "q", "p", hook, lambda q: F.concat(F.lit("?"), q), lambda q, c, p: F.concat(F.lit("s"), q, c, p), lambda q, s: F.concat(F.lit("v"), q, s))
     assert {r.k: (r.candidates, r.summaries, r.output) for r in got.collect()} == {
         1: (["a", "b"], ["SQ1AP", "SQ1BP"], "b"), 2: (["c", "d"], ["SQ2CP", "SQ2DP"], "c"), 3: ([], [], None), 4: (['["a"', "3"], ['SQ4["A"P', "SQ43P"], '["a"')}
+
+
+def test_intermediates_go_and_results_stay(spark):
+    import os
+
+    from lodestone.tables import intermediates, materialize, scratch
+
+    place = lambda df: df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    out = scratch(spark, "out")
+    with intermediates(spark):
+        inner = materialize(spark.range(3), "a")
+        with intermediates(spark):
+            deep = place(materialize(spark.range(3), "b"))
+        assert not os.path.exists(deep) and os.path.exists(place(inner))
+        gone = place(inner)
+        inner.write.parquet(out)
+    assert not os.path.exists(gone) and spark.read.parquet(out).count() == 3
+    kept = materialize(spark.range(2), "c")
+    with pytest.raises(ZeroDivisionError), intermediates(spark):
+        gone = place(materialize(spark.range(3), "d"))
+        1 / 0
+    assert not os.path.exists(gone) and kept.count() == 2
