@@ -1,7 +1,7 @@
 """The training-data pipeline: five operators, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-`documents`. Stage by stage the result is written to the shared folder and read again.
+`documents`. Stage by stage the result is written to the shared folder and read again; what came before is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, mixing, near_dedup, quality_lm
-from lodestone.tables import materialize, ship, table
+from lodestone.tables import discard, intermediates, materialize, scratch, ship, table
 
 #: Share of the tokens that reach the mix and leave it; no document is taken twice.
 MIX_FRACTION = 0.8
@@ -51,8 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. A stage's own tables go when its result is written, and that goes when the next one's is."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with intermediates(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
