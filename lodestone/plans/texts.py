@@ -261,9 +261,11 @@ def instruction_coalesce(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.coalesce(F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("do "), F.col("item_id").cast("string"))), F.col("text")).alias("instruction"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'single' ELSE 'multiple' END AS kind, CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n FROM conversations""")
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'SINGLE: ' || text ELSE 'MULTIPLE: ' || replace(text, '. ', '?|') END AS reply FROM conversations)
+SELECT conv_id, turn, CASE WHEN starts_with(reply, 'SINGLE') THEN 'single' ELSE 'multiple' END AS kind, CASE WHEN starts_with(reply, 'SINGLE') THEN 1 ELSE least(3, len(list_filter(string_split(split_part(reply, ': ', 2), '|'), lambda x: x <> ''))) END::BIGINT AS n FROM r""")
 def response_parse(spark, d):
-    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("SINGLE: "), "text")).otherwise("MULTIPLE: first?|second?|")
+    """Replies with one question, or with one a sentence, of which as many count as there are documents."""
+    reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("SINGLE: "), "text")).otherwise(F.concat(F.lit("MULTIPLE: "), F.replace("text", F.lit(". "), F.lit("?|"))))
     parts = F.filter(F.split(F.split_part(reply, F.lit(": "), F.lit(2)), r"\|"), lambda x: x != "")
     docs = F.array(F.lit("d1"), F.lit("d2"), F.lit("d3"))
     zipped = F.filter(F.arrays_zip(parts.alias("q"), docs.alias("d")), lambda p: p["q"].isNotNull() & p["d"].isNotNull())
