@@ -19,8 +19,8 @@ language's threshold is the `quantile` of the scores of a fifth of its trusted d
 distribution with their mean and deviation where it is greater, as few scores do not reach as far. The model is
 trained on the others, so the threshold is what unseen text of its kind scores.
 
-Trusted are documents labelled with quality 1, at most `max_trusted` of them (taken by a hash of the
-id when there are more); counts cover their whole texts.
+Trusted are all documents labelled with quality 1; counts cover their whole texts. Up to `few_ids` labelled
+ids are broadcast. Of more, a bitmap rules out most other documents, and what is left meets the ids by a shuffle.
 
 Defined cases: a null or empty text has its language's mean score, so it stays; a null language is a
 language of its own; languages with fewer than `min_trusted` held-out documents take the threshold of all
@@ -36,7 +36,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +161,20 @@ def name_of(grams: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def bitmap(named: DataFrame) -> np.ndarray:
+    """2**MAP_BITS bits, those of the 64-bit names in `name` set."""
+    slot = F.shiftrightunsigned("name", 64 - MAP_BITS)
+    words = named.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(name, {64 - MAP_BITS}) & 63 as int)))").alias("bits")).toArrow().to_pandas()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _in_map(known: np.ndarray, names: np.ndarray) -> np.ndarray:
+    slot = names >> np.uint64(64 - MAP_BITS)
+    return ((known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 class Hot:
     """The broadcast part of the model: the names of order ORDER and their bits, those of lower orders
     and their two values, a bitmap of all other names, and what every character costs besides."""
@@ -180,10 +194,7 @@ class Hot:
         top, low = near[near["total"].notna()], near[near["total"].isna()]
         self.top = top["name"].to_numpy(np.uint64), top["total"].to_numpy(np.float32)
         self.low = low["name"].to_numpy(np.uint64), low["gram_bits"].to_numpy(np.float32), low["context_bits"].to_numpy(np.float32)
-        slot = F.shiftrightunsigned("name", 64 - MAP_BITS)
-        words = self.rest.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(name, {64 - MAP_BITS}) & 63 as int)))").alias("bits")).toArrow().to_pandas()
-        self.map = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-        self.map[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+        self.map = bitmap(self.rest)
 
     def shared(self) -> tuple:
         return self.each, self.top, self.low, self.map
@@ -215,8 +226,7 @@ def _near_and_far(texts: list[str], shared: tuple) -> tuple[np.ndarray, np.ndarr
         place, here = _find(low, names) if values is not None else (None, np.zeros(len(names), bool))
         if here.any():
             bits = bits + np.bincount(chunk.text[open_[here]], values[place[here]], len(texts))
-        slot = names >> np.uint64(64 - MAP_BITS)
-        cold = ~here & ((known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+        cold = ~here & _in_map(known, names)
         rows = np.zeros(int(cold.sum()), kind)
         rows["t"], rows["name"], rows[column] = chunk.text[open_[cold]], names[cold], 1
         left.append(rows)
@@ -265,24 +275,52 @@ def score(df: DataFrame, model: DataFrame, text_col: str = "text", hot: int = HO
     return materialize(texts.select("_k1", "_k2", "_copies", "n_scored", F.round(F.col("bits") + F.coalesce("far", F.lit(0.0)) / F.col("_copies"), 3).alias("bits")), "scored")
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
-    """At most about `max_trusted` labelled ids; their bound makes them safe to broadcast."""
-    ids = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    n = ids.count()
-    return ids if n <= max_trusted else ids.where(F.pmod(F.xxhash64("_trusted"), F.lit(1_000_000)) < int(1_000_000 * max_trusted / n))
+def trusted_ids(labels: DataFrame, kind: T.DataType) -> DataFrame:
+    """All labelled ids, once each."""
+    return materialize(labels.where(F.col("quality") == 1).select(F.col("doc_id").cast(kind).alias("_trusted")).where("_trusted IS NOT NULL").distinct(), "trusted")
+
+
+def among(rows: DataFrame, ids: DataFrame, few_ids: int) -> DataFrame:
+    """The rows whose `_id` is one of `ids`; only few ids are broadcast, as a bitmap of fixed size is of many."""
+    same = F.col("_id") == F.col("_trusted")
+    if ids.limit(few_ids + 1).count() <= few_ids:
+        return rows.join(F.broadcast(ids), same, "left_semi")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("_trusted").alias("name"))))
+
+    def run(names: pa.Array) -> pa.Array:
+        return pa.array(_in_map(shared.value, np.asarray(names).view(np.uint64)))
+
+    return rows.where(F.arrow_udf(run, T.BooleanType())(F.xxhash64("_id"))).join(ids.hint("merge"), same, "left_semi")
+
+
+def quantiles(rows: DataFrame, q: float, by: str) -> DataFrame:
+    """by, _quantile: the exact, interpolated quantile of `s`, which has 6 digits. No task holds a group: rows are counted by
+    value, the values by hundredths, and only the hundredths about the place (10,000 values each) are looked at."""
+    values = materialize(rows.groupBy(by, "s").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("s") * 100)), "values")
+
+    def before(n: str, order: str, *keys: str) -> Column:
+        return F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    bins = values.groupBy(by, "bin").agg(F.sum("n").alias("m"))
+    bins = bins.withColumn("start", before("m", "bin", by)).withColumn("at", (F.sum("m").over(Window.partitionBy(by)) - 1) * F.lit(q))
+    near = bins.where((F.col("start") <= F.ceil("at")) & (F.col("start") + F.col("m") > F.floor("at")))
+    placed = values.join(near, [by, "bin"]).withColumn("first", F.col("start") + before("n", "s", by, "bin"))
+    at = lambda place: F.max(F.when((F.col("first") <= place) & (F.col("first") + F.col("n") > place), F.col("s")))
+    ends = placed.groupBy(by).agg(at(F.floor("at")).alias("low"), at(F.ceil("at")).alias("high"), F.max(F.col("at") - F.floor("at")).alias("share"))
+    return ends.select(by, ((1 - F.col("share")) * F.col("low") + F.col("share") * F.col("high")).alias("_quantile"))
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.999,
-             prior_chars: int = 40, min_trusted: int = 20, max_trusted: int = 1_000_000, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
+             prior_chars: int = 40, min_trusted: int = 20, few_ids: int = 1_000_000, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
     """`df`, or its columns `keep`, with n_scored, bits, log_perplexity (bits a character), threshold and `good`: not over it."""
     df = df.drop("n_scored", "bits", "log_perplexity", "threshold", "good")
-    ids = F.broadcast(trusted_ids(labels, max_trusted))
-    trusted = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(ids, F.col("_id") == F.col("_trusted"), "left_semi")
+    ids = trusted_ids(labels, df.schema[id_col].dataType)
+    given = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held_out = F.pmod(F.xxhash64("_id", F.lit("held out")), F.lit(5)) == 0
-    scored = score(df, train(trusted.where(~held_out), "text"), text_col, hot)
+    scored = score(df, train(among(given.where(~held_out).select("_id", "text"), ids, few_ids), "text"), text_col, hot)
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("_lang")
     keys = _keys(F.coalesce(F.col(text_col), F.lit("")))
-    held = trusted.where(held_out).select(F.coalesce("lang", F.lit("")).alias("_lang"), *[c.alias(k) for k, c in _keys(F.coalesce("text", F.lit(""))).items()])
+    held = among(given.where(held_out).select("_id", F.coalesce("lang", F.lit("")).alias("_lang"), *[c.alias(k) for k, c in _keys(F.coalesce("text", F.lit(""))).items()]), ids, few_ids)
     sample = materialize(held.join(scored.select("_k1", "_k2", "n_scored", "bits"), ["_k1", "_k2"]).select("_lang", "n_scored", "bits"), "held")
     per_char = F.sum("bits") / F.greatest(F.sum("n_scored"), F.lit(1))
     means = sample.groupBy("_lang").agg(per_char.alias("_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_trusted)
@@ -291,10 +329,13 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     smooth = F.round((F.col("bits") + prior_chars * mean) / (F.col("n_scored") + prior_chars), 6)
     judged = sample.join(F.broadcast(means), "_lang", "left").select("_lang", "_mean", "_n", smooth.alias("s"))
     normal = F.avg("s") + NormalDist().inv_cdf(quantile) * F.coalesce(F.stddev_samp("s"), F.lit(0.0))
-    limit = F.greatest(F.percentile("s", quantile), normal)
-    limits = judged.where("_n IS NOT NULL").groupBy("_lang", "_mean").agg(limit.alias("_limit"))
-    common = judged.agg(limit).first()[0]
-    # At most max_trusted / 5 / min_trusted languages have a limit, so texts need no shuffle to meet theirs.
+    limit = F.greatest("_quantile", "_normal")
+    own = judged.where("_n IS NOT NULL")
+    limits = own.groupBy("_lang", "_mean").agg(normal.alias("_normal")).join(quantiles(own, quantile, "_lang"), "_lang").select("_lang", "_mean", limit.alias("_limit"))
+    every = judged.withColumn("_lang", F.lit(""))
+    common = every.groupBy("_lang").agg(normal.alias("_normal")).join(quantiles(every, quantile, "_lang"), "_lang").select(limit).first()
+    common = common[0] if common else None
+    # A language with a limit has min_trusted held-out documents, so the languages are few and texts need no shuffle to meet theirs.
     # The input's row is one value until the end, so its columns meet none of these names.
     kept = df.columns if keep is None else keep
     rows = df.select(F.struct(*kept).alias("_row"), lang, *[c.alias(k) for k, c in keys.items()])

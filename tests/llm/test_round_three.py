@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import hard_negatives, periods, token_counts
+from lodestone.llm import hard_negatives, periods, quality_lm, token_counts
 from lodestone.operators import retrieval
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -214,3 +214,25 @@ def test_texts_made_periodic(spark):
         want.append((i, x, lang))
     assert sum(x != y for x, y in zip(want, rows)) > 5
     assert sorted(((i, x or "", y) for i, x, y in map(tuple, got.collect())), key=repr) == sorted(((i, x or "", y) for i, x, y in want), key=repr)
+
+
+@pytest.mark.parametrize("few", [1_000_000, 10])
+def test_all_trusted_documents_count(spark, few):
+    """More than a million labels: those of documents that are there count as if there were no others."""
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("aeio") + r.choice("lnrst") for _ in range(3)) for _ in range(8)), "en", "s", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.range(1_200_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    read = lambda out: {x.doc_id: (x.log_perplexity, x.threshold) for x in out.collect()}
+    own = read(quality_lm.classify(df, labels.where("doc_id < 300")))
+    assert read(quality_lm.classify(df, labels, **({"few_ids": few} if few < 1_000_000 else {}))) == own
+
+
+def test_quantiles_by_counts_are_exact(spark):
+    r = random.Random(6)
+    rows = [(f"l{i % 4}", round(r.gauss(5, 1) if i % 4 else r.choice([1.0, 2.0, 2.000001]), 6)) for i in range(3000)] + [("one", 1.5), ("two", -1.0), ("two", 3.0)]
+    df = spark.createDataFrame(rows, "_lang string, s double")
+    for q in (0.0, 0.37, 0.999, 1.0):
+        got = {x._lang: x._quantile for x in quality_lm.quantiles(df, q, "_lang").collect()}
+        want = {x._lang: x.p for x in df.groupBy("_lang").agg(F.percentile("s", q).alias("p")).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
