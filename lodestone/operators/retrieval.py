@@ -2,7 +2,8 @@
 
 A stated set of queries is compared with all rows. Queries go in blocks of about BLOCK, which is the bound of
 what the driver and a broadcast hold; each block is one pass over the vectors. A task keeps a running k best
-of its rows for each query and emits them at its end, so what is shuffled is k rows a query and task.
+of its rows for each query and emits them at its end, so what is shuffled is k rows a query and task. A task
+multiplies as many rows at once as make CELLS scores with the block, so its memory is alike for few queries and many.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lodestone.functions import vectors
 from lodestone.tables import materialize
 
 BLOCK = 4096
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 #: Labels whose centroids a task holds.
 MOST_LABELS = 10_000
 
@@ -67,27 +70,37 @@ def _passes(queries: DataFrame, one: Callable[[list], DataFrame], name: str) ->
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str, digits: int) -> np.ndarray:
     s = q @ v.T if metric == "ip" else -((q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :])
-    return np.round(s, digits)
+    return np.round(s, digits) + 0.0  # no zero is negative
+
+
+def _parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most CELLS scores with n queries; nothing without queries."""
+    step = max(1, CELLS // max(1, n))
+    for batch in batches if n else ():
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 class Best:
-    """The k best (score, then smaller id) of what each query has met."""
+    """The k best (score, then smaller id) of what each query has met; `edge` is the last of k."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
-
-    def meet(self, s: np.ndarray, ids: np.ndarray) -> None:
-        for i, row in enumerate(s):
-            full = len(self.scores[i]) == self.k
-            new = row >= self.scores[i][-1] if full else np.ones(len(row), bool)
-            if not new.any():
-                continue
+        self.k, self.scores, self.ids, self.edge = k, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n, np.full(n, -np.inf)
+
+    def meet(self, s: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        in_reach = (s >= self.edge[:, None]) | np.isneginf(self.edge)[:, None]
+        if allowed is not None:
+            in_reach &= allowed
+        for i in np.flatnonzero(in_reach.any(1)):
+            row, new = s[i], in_reach[i]
             score, name = np.append(self.scores[i], row[new]), np.append(self.ids[i], ids[new])
             if len(score) > self.k:  # ties at the edge stay until ids settle them
                 near = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
                 score, name = score[near], name[near]
             order = np.lexsort((name, -score))[: self.k]
             self.scores[i], self.ids[i] = score[order], name[order]
+            if len(order) == self.k:
+                self.edge[i] = score[order[-1]]
 
 
 def topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "ip", split_col: str | None = None, digits: int = 6) -> DataFrame:
@@ -109,9 +122,7 @@ def candidates(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met: dict = {}
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
+            for batch in _parts(batches, len(ids)):
                 s, names = _scores(q, matrix(batch.column("v")), metric, digits), np.asarray(batch.column("vec_id"))
                 groups = np.asarray(batch.column(split_col)) if split_col else np.zeros(len(names), np.int64)
                 for g in np.unique(groups):
@@ -139,15 +150,10 @@ def target_ranks(vecs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFr
 
         def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met = Best(len(ids), 1)
-            for batch in batches:
-                names = np.asarray(batch.column("vec_id"))
-                s = _scores(q, matrix(batch.column("v")), "ip", digits) if batch.num_rows and len(ids) else np.zeros((0, 0))
+            for batch in _parts(batches, len(ids)):
+                names, s = np.asarray(batch.column("vec_id")), _scores(q, matrix(batch.column("v")), "ip", digits)
                 own = (np.asarray(batch.column("label"))[None, :] == labels[:, None]) & (names[None, :] != ids[:, None])
-                for i in range(len(s)):
-                    met_i = Best(1, 1)
-                    met_i.scores, met_i.ids = [met.scores[i]], [met.ids[i]]
-                    met_i.meet(s[i : i + 1, own[i]], names[own[i]])
-                    met.scores[i], met.ids[i] = met_i.scores[0], met_i.ids[0]
+                met.meet(s, names, own)
             n = [len(x) for x in met.ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *met.ids])), pa.array(np.concatenate([np.zeros(0), *met.scores]))], names=["query_id", "vec_id", "score"])
 
@@ -157,10 +163,9 @@ def target_ranks(vecs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFr
 
         def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros(int(have.sum()), np.int64)
-            for batch in batches:
-                if batch.num_rows and len(n):
-                    s, names = _scores(q[have], matrix(batch.column("v")), "ip", digits), np.asarray(batch.column("vec_id"))
-                    n += ((s > score[:, None]) | ((s == score[:, None]) & (names[None, :] <= target[:, None]))).sum(1)
+            for batch in _parts(batches, len(n)):
+                s, names = _scores(q[have], matrix(batch.column("v")), "ip", digits), np.asarray(batch.column("vec_id"))
+                n += ((s > score[:, None]) | ((s == score[:, None]) & (names[None, :] <= target[:, None]))).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[have]), pa.array(labels[have].tolist(), arrow_kind), pa.array(n)], names=["query_id", "label", "n"])
 
         return rows.mapInArrow(ahead, f"query_id long, label {kind}, n long").groupBy("query_id", "label").agg(F.sum("n").alias("target_rank"))
@@ -168,27 +173,31 @@ def target_ranks(vecs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFr
     return _passes(queries.select("query_id", "q", "label"), one, "ranks")
 
 
+#: The bin of 2**-21.
+_NEAR_ZERO = int(np.float32(2.0**-21).view(np.int32)) >> 18
+
+
 def _bins(scores: np.ndarray) -> np.ndarray:
-    """Numbers in the order of the scores, alike for scores that differ by a thirtieth or less."""
-    bits = scores.astype(np.float32).view(np.int32)
-    return np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits) >> 18
+    """Numbers in the order of the scores, alike for scores that differ by a thirtieth or less. What rounds to zero at six
+    digits is alike, so that the numbers between the least and the greatest score are few."""
+    bits = (np.abs(scores).astype(np.float32).view(np.int32) >> 18) - _NEAR_ZERO
+    return np.where(scores < 0, -1, 1).astype(np.int32) * np.maximum(bits, 0)
 
 
 class Counts:
     """How many scores of each query are in each bin."""
 
     def __init__(self, n: int):
-        self.low, self.table = 0, np.zeros((n, 0), np.int64)
+        self.low, self.table = 0, np.zeros((n, 0), np.int32)  # a task's rows, fewer than 2**31
 
     def meet(self, bins: np.ndarray) -> None:
         low, high = int(bins.min()), int(bins.max()) + 1
         if not self.table.shape[1]:
             self.low = low
         before, after = max(0, self.low - low), max(0, high - self.low - self.table.shape[1])
-        self.table, self.low = np.pad(self.table, ((0, 0), (before, after))), self.low - before
-        n, width = self.table.shape
-        at = np.arange(n)[:, None] * width + (bins - self.low)
-        self.table += np.bincount(at.ravel(), minlength=n * width).reshape(n, width)
+        if before or after:
+            self.table, self.low = np.pad(self.table, ((0, 0), (before, after))), self.low - before
+        np.add.at(self.table.reshape(-1), (np.arange(len(bins))[:, None] * self.table.shape[1] + (bins - self.low)).ravel(), np.int32(1))
 
 
 def _least_bins(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str, keys: list[str], kind: str) -> dict:
@@ -196,16 +205,18 @@ def _least_bins(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric:
     above. One pass over vecs(theme) that counts; a task emits a row a query and bin."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict = {}
-        for batch in batches:
-            if batch.num_rows and len(ids):
-                bins = _bins(_scores(q, matrix(batch.column("theme")), metric, 6))
-                groups = np.asarray(batch.column(keys[0])) if keys else np.zeros(batch.num_rows, np.int64)
-                for g in np.unique(groups):
-                    met.setdefault(g, Counts(len(ids))).meet(bins[:, groups == g])
+        for batch in _parts(batches, len(ids)):
+            bins = _bins(_scores(q, matrix(batch.column("theme")), metric, 6))
+            groups = np.asarray(batch.column(keys[0])) if keys else np.zeros(batch.num_rows, np.int64)
+            for g in np.unique(groups):
+                met.setdefault(g, Counts(len(ids))).meet(bins[:, groups == g])
         for g, counts in met.items():
-            at, bins = np.nonzero(counts.table)
-            columns = [*([pa.array(np.repeat(g, len(at)))] if keys else []), pa.array(at), pa.array(bins + counts.low), pa.array(counts.table[at, bins])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "at", "bin", "n"])
+            step = max(1, CELLS // max(1, counts.table.shape[1]))
+            for first in range(0, len(ids), step):
+                part = counts.table[first : first + step]
+                at, bins = np.nonzero(part)
+                columns = [*([pa.array(np.repeat(g, len(at)))] if keys else []), pa.array(at + first), pa.array(bins + counts.low), pa.array(part[at, bins].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "at", "bin", "n"])
 
     counted = rows.select(*keys, "theme").mapInArrow(count, ", ".join([*([f"{keys[0]} {kind}"] if keys else []), "at long, bin long, n long"]))
     sums = counted.groupBy(*keys, "at", "bin").agg(F.sum("n").alias("n"))
@@ -231,15 +242,13 @@ def scoped_candidates(vecs: DataFrame, queries: DataFrame, theme_k: int, metric:
         least = _least_bins(rows, ids, t, theme_k, metric, keys, kinds.get(split_col, ""))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
+            for batch in _parts(batches, len(ids)):
                 s, v, names = _scores(t, matrix(batch.column("theme")), metric, 6), matrix(batch.column("v")), np.asarray(batch.column("vec_id"))
                 groups = np.asarray(batch.column(split_col)) if keys else np.zeros(len(names), np.int64)
                 limits = np.stack([least[g] for g in groups], 1)
                 at, row = np.nonzero(_bins(s) >= limits)
-                for part in range(0, len(at), 1 << 16):
-                    i, j = at[part : part + (1 << 16)], row[part : part + (1 << 16)]
+                for part in range(0, len(at), 1 << 14):
+                    i, j = at[part : part + (1 << 14)], row[part : part + (1 << 14)]
                     dense = np.round(np.einsum("ij,ij->i", v[j], q[i]), 6)
                     columns = [ids[i], *([groups[j]] if keys else []), names[j], s[i, j], dense]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", *keys, "vec_id", "theme_score", "score"])

@@ -74,3 +74,12 @@ def test_themes_of_too_many_labels_are_an_error(spark, monkeypatch):
     with pytest.raises(ValueError, match="labels"):
         retrieval.with_theme(df)
     assert retrieval.topk(df, df.select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") > 0, F.col("v")).alias("q")), 1).count() == 2
+
+
+def test_counts_take_few_places_and_zero_has_one_sign():
+    """Scores of both signs need a bin for each thirtieth from a millionth on, not for all that floats can hold."""
+    counts = retrieval.Counts(1)
+    counts.meet(retrieval._bins(np.array([[-16.0, -1e-6, -0.0, 0.0, 1e-6, 16.0]])))
+    assert counts.table.sum() == 6 and counts.table.shape[1] < 2000
+    assert len(set(retrieval._bins(np.array([-0.0, 0.0])).tolist())) == 1
+    assert not np.signbit(retrieval._scores(np.array([[1e-8]]), np.array([[-1.0]]), "ip", 6)).any()
