@@ -177,12 +177,19 @@ STUBS = questions.Models(extraction.stub_reply, stub_prompt, stub_plan, stub_las
 
 
 def _retrieval(spark, d):
-    """Sub-query -> the first sentences of the two first documents that hold its word in theirs."""
+    """Sub-query -> the first sentences of the two first documents that hold its word in theirs. Words are indexed by
+    ids alone; a hop fetches the sentences of what it asks for."""
     first = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(". "), F.lit(1)).alias("passage"))
-    words = first.select("doc_id", "passage", F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    words = first.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit("[a-z]+"), F.lit(0)))).alias("word"))
     two = words.withColumn("nth", F.row_number().over(W.partitionBy("word").orderBy("doc_id"))).where("nth <= 2")
-    index = materialize(two.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("doc_id", "passage")))["passage"].alias("docs")), "index")
-    return lambda asked: asked.withColumn("word", F.regexp_extract("sub_query", "Ask: ([a-z]+)", 1)).join(index, "word").select("id", "docs")
+    index = materialize(two.select("word", "doc_id"), "index")
+    passages = materialize(first.join(index.select("doc_id").distinct(), "doc_id", "left_semi"), "passages")
+
+    def retrieve(asked):
+        found = asked.select("id", F.regexp_extract("sub_query", "Ask: ([a-z]+)", 1).alias("word")).join(index, "word").select("id", "doc_id").join(passages, "doc_id")
+        return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "passage")))["passage"].alias("docs"))
+
+    return retrieve
 
 
 def loop_sql(hops: int, more: int, subjects: str) -> str:

@@ -82,3 +82,20 @@ def test_repeated_and_early_events_change_nothing(spark, tmp_path):
     finally:
         spark.conf.unset(setting)
     assert out.orderBy("hop").collect() == [(1, 0, "a", None, None), (1, 1, "b", None, None), (1, 2, None, "sufficient", "e")]
+
+
+def test_the_index_of_words_holds_no_passages(spark, tmp_path):
+    """A passage goes with no word: only ids do, and a hop fetches what it asks for."""
+    from lodestone.plans import models as plans
+
+    docs = [(i, " ".join(["common", f"w{chr(97 + i)}"] + ["long"] * 50) + ". more") for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written, keep = {}, plans.materialize
+    plans.materialize = lambda df, name: written.setdefault(name, keep(df, name))
+    try:
+        retrieve = plans._retrieval(spark, str(tmp_path))
+    finally:
+        plans.materialize = keep
+    assert "passage" not in str(written["index"].schema) and "docs" not in written["index"].columns
+    got = {r.id: r.docs for r in retrieve(spark.createDataFrame([(1, "Ask: common"), (2, "Ask: none")], "id long, sub_query string")).collect()}
+    assert got == {1: [t.split(". ")[0] for _, t in docs[:2]]}
