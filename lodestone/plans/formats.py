@@ -75,9 +75,9 @@ def article_dumps(spark, d):
     sentences = F.array(F.left("text", half), F.substring(F.col("text"), half + 1, F.length("text")))
     whole = docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.array(anchor, sentences).alias("text"))
     for k, name in enumerate(("AA", "AB")):
-        whole.where(F.col("doc_id") % 2 == k).drop("doc_id").coalesce(1).write.option("compression", "bzip2").json(f"{base}/{name}")
+        whole.where(F.col("doc_id") % 2 == k).drop("doc_id").write.option("compression", "bzip2").json(f"{base}/{name}")
     p = F.col("paragraphs")
-    return sources.read_articles(spark, base).select("id", "file", F.size(p).cast("long").alias("n"), p[0].alias("first"), F.md5(p[1]).alias("text_md5"))
+    return sources.read_articles(spark, base, batch="folder").select("id", "file", F.size(p).cast("long").alias("n"), p[0].alias("first"), F.md5(p[1]).alias("text_md5"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND text NOT IN (SELECT text FROM conversations WHERE role = 'user' AND conv_id % 3 = 0)")

@@ -44,15 +44,17 @@ def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_json(spark, path, schema) if path.endswith(".json") else read_jsonl(spark, path, schema)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
+def read_articles(spark: SparkSession, path: str, batch: str = "file") -> DataFrame:
     """Compressed article dumps in folders: paragraphs are joined sentences with anchors replaced by their
-    text; unreadable lines are left out. `file` numbers the batches in path order; the numbers come from the list of
-    files, not from what is in them."""
+    text; unreadable lines are left out. `file` numbers the batches in path order, which are files or, by `batch`, the
+    folders they lie in; the numbers come from the list of files, not from what is in them."""
     options = {"recursiveFileLookup": True, "pathGlobFilter": "*.bz2"}
     rows = spark.read.schema(ARTICLES).option("mode", "DROPMALFORMED").options(**options).json(path)
     plain = lambda uri: F.regexp_replace(F.try_url_decode(uri), "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the list and the rows write them differently
-    numbers = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "file int, uri string").select("file", plain("uri").alias("_file"))
-    told = rows.select("id", "title", "url", F.transform("text", lambda p: strip(anchors_to_text(F.array_join(p, "")))).alias("paragraphs"), plain(F.col("_metadata.file_path")).alias("_file"))
+    of = (lambda uri: F.regexp_replace(plain(uri), "/[^/]*$", "")) if batch == "folder" else plain
+    listed = sorted({uri.rpartition("/")[0] + "/" if batch == "folder" else uri for uri in rows.inputFiles()})
+    numbers = spark.createDataFrame(list(enumerate(listed)), "file int, uri string").select("file", of("uri").alias("_file"))
+    told = rows.select("id", "title", "url", F.transform("text", lambda p: strip(anchors_to_text(F.array_join(p, "")))).alias("paragraphs"), of(F.col("_metadata.file_path")).alias("_file"))
     place = F.coalesce("file", F.raise_error(F.concat(F.lit("not a listed file: "), "_file")))
     return told.join(F.broadcast(numbers), "_file", "left").select("id", "title", "url", "paragraphs", place.cast("int").alias("file"))
 

@@ -123,3 +123,17 @@ def test_windows_and_sessions_are_closed_at_the_end(spark, tmp_path):
     assert sorted((minute(r.window_start), r.n) for r in sliding.collect()) == [(-15, 2), (0, 3), (15, 2), (30, 1), (75, 1), (90, 1)]
     sessions = streaming.to_the_end(read(), lambda s: streaming.sessions(s, "k", "20 minutes"))
     assert sorted((r.k, minute(r.session_start), minute(r.session_end), r.n) for r in sessions.collect()) == [("u", 0, 10, 2), ("u", 35, 35, 1), ("u", 100, 100, 1), ("v", 25, 25, 1)]
+
+
+def test_dumps_of_articles_are_written_by_many_tasks(spark, tmp_path):
+    """Batches are folders of any number of files."""
+    import inspect
+
+    from lodestone import sources
+    from lodestone.plans import formats
+
+    assert "coalesce(1)" not in inspect.getsource(formats.article_dumps)
+    rows = spark.range(8).selectExpr("concat('d', id) AS id", "'t' AS title", "'u' AS url", "array(array('x')) AS text")
+    for name in ("AA", "AB"):
+        rows.repartition(3).write.option("compression", "bzip2").json(f"{tmp_path}/{name}")
+    assert {r.file: r["count"] for r in sources.read_articles(spark, str(tmp_path), batch="folder").groupBy("file").count().collect()} == {0: 8, 1: 8}
