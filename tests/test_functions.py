@@ -140,3 +140,18 @@ def test_graphs(spark):
     assert {r.k: r.names for r in graph.collect()} == {1: ["a", "b", "c"], 3: ["a"]}
     got = {tuple(r) for r in tr.edges(graph, "k").collect()}
     assert got == {(1, 1, 0, "knows"), (1, 0, 1, "inverse_knows"), (1, 0, 2, "has"), (1, 2, 0, "inverse_has"), (3, 0, 0, "p"), (3, 0, 0, "inverse_p")}
+
+
+def test_neighbor_means_equal_those_of_the_edges(spark):
+    """Loops, repeated facts, a graph that fails; nothing is grouped but the triples, in tasks whose number grows with them."""
+    r = random.Random(11)
+    rows = [(k, f"(S> {r.choice('abcde')}| P> p| O> {r.choice('abcde')})") for k in range(30) for _ in range(r.randrange(1, 9))] + [(31, "(S> a| P> b)"), (31, "(S> a| P> p| O> b)"), (None, "(S> a| P> p| O> a)")]
+    graph = tr.graphs(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    met = {}
+    for e in tr.edges(graph, "k").collect():
+        met.setdefault((e.k, e.dst), []).append(e.src)
+    means = tr.neighbor_means(graph, "k")
+    plan = means._jdf.queryExecution().executedPlan().toString().replace("ObjectHashAggregate", "")
+    assert {(x.k, x.node_idx): (x["mean"], x.n) for x in means.collect()} == {at: (sum(v) / len(v), len(v)) for at, v in met.items()}
+    assert "HashAggregate" not in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert [tr.tasks(n) for n in (0, 600_000, 36_000_000, 216_000_000, 4_000_000_000)] == [1, 10, 200, 200, 1908]
