@@ -11,7 +11,12 @@ HOT = 1000
 
 def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
     """The keys of `rows` that hold more than one in HOT of them, to be broadcast."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total).select(key)
+    return hot_of(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, total)
+
+
+def hot_of(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """The same of counts(key, _n)."""
+    return counts.where(F.col("_n") * HOT > total).select(key)
 
 
 def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:

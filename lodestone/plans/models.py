@@ -113,9 +113,9 @@ def gcn_rounds(spark, d):
         return table(spark, d, name).select(F.concat(F.lit(letter), k.cast("string")).alias("node"), F.array(k % 7 / 7.0, k % 11 / 11.0, F.lit(last)).alias("h"))
 
     nodes = side("part", "p_partkey", "p", 1.0).unionByName(side("supplier", "s_suppkey", "s", 0.0))
-    pairs = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    pairs = materialize(pairs, "pairs")
-    return _flat(graphs.propagate(nodes, pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 3), 3)
+    pairs = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    pairs = pairs.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    return _flat(graphs.propagate(nodes, pairs, 3, both=True), 3)
 
 
 USERS = """SELECT DISTINCT 'u' || user_id AS node, [user_id % 7 / 7.0::DOUBLE, user_id % 5 / 5.0::DOUBLE, 1.0::DOUBLE] AS h FROM events UNION ALL SELECT DISTINCT 't' || event_type, [length(event_type) / 10.0::DOUBLE, unicode(event_type) / 100.0::DOUBLE, 0.0::DOUBLE] FROM events"""
@@ -128,8 +128,7 @@ def attention_rounds(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("u"), F.concat(F.lit("t"), "event_type").alias("t"))
     users = e.select(F.col("u").alias("node"), F.array(F.col("user_id") % 7 / 7.0, F.col("user_id") % 5 / 5.0, F.lit(1.0)).alias("h")).distinct()
     types = e.select(F.col("t").alias("node"), F.array(F.length("event_type") / 10.0, F.ascii("event_type") / 100.0, F.lit(0.0)).alias("h")).distinct()
-    edges = e.select(F.col("u").alias("src"), F.col("t").alias("dst")).unionByName(e.select(F.col("t").alias("src"), F.col("u").alias("dst")))
-    return _flat(graphs.propagate(users.unionByName(types), edges, 3, "attention"), 3)
+    return _flat(graphs.propagate(users.unionByName(types), e.select(F.col("u").alias("src"), F.col("t").alias("dst")), 3, "attention", both=True), 3)
 
 
 TRIPLES = """WITH s AS (SELECT doc_id, regexp_extract_all(unnest(string_split(text, '. ')), '[a-z]+') AS w FROM documents)"""

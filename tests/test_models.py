@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,34 @@ def test_rounds_without_edges_or_nodes(spark):
     assert graphs.propagate(nodes.where("false"), none, 2, "attention").count() == 0
 
 
+def test_edges_travel_as_short_lists_and_are_added_by_batch(monkeypatch):
+    """A hub on either side, repeated edges, batches smaller than a node's edges, and tasks that get nothing."""
+    monkeypatch.setattr(graphs, "BATCH", 50)
+    monkeypatch.setattr(graphs, "LIST", 4)
+    r = np.random.default_rng(5)
+    src, dst = np.where(r.random(400) < 0.4, 7, r.integers(0, 30, 400)), np.where(r.random(400) < 0.4, 2**40, r.integers(0, 30, 400))
+    batch = lambda names, *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+    lists = list(graphs._pack(batch(["src", "dst"], src[k : k + 30], dst[k : k + 30]) for k in range(0, 400, 30)))
+    rows = [x for b in lists for x in b.to_pylist()]
+    assert sorted((x["src"], y) for x in rows for y in x["to"]) == sorted(zip(src.tolist(), dst.tolist()))
+    assert max(len(x["to"]) for x in rows) == 4 and len(rows) < 400
+    sent = list(graphs._sender(2, 3)(batch(["to", "_0", "_1"], b["to"], b["src"].to_numpy() * 1.0, b["src"].to_numpy() * -0.5) for b in lists))
+    assert sum(len(x["_id"]) for b in sent for x in b.to_pylist()) < 400
+    assert all(i % 3 == x["_block"] for b in sent for x in b.to_pylist() for i in x["_id"])
+    got = {x["_id"]: x["_sum"] for b in graphs._adder(2)(iter(sent)) for x in b.to_pylist()}
+    assert got == {d: [float(src[dst == d].sum()), -0.5 * src[dst == d].sum()] for d in set(dst.tolist())}
+    assert not [*graphs._pack(iter([])), *graphs._sender(2, 3)(iter([])), *graphs._adder(2)(iter([]))]
+
+
+@pytest.mark.parametrize("how", ["gcn", "attention"])
+def test_edges_that_count_both_ways(spark, how):
+    nodes = spark.createDataFrame([("a", [4.0, 1.0]), ("b", [1.0, 2.0]), ("c", [0.5, 3.0]), (None, [1.0, 1.0])], "node string, h array<double>")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("a", "ghost"), (None, "a")], "src string, dst string")
+    inverse = edges.selectExpr("dst AS src", "src AS dst")
+    got, want = graphs.propagate(nodes, edges, 2, how, both=True), graphs.propagate(nodes, edges.unionByName(inverse), 2, how)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 4
+
+
 def test_replies_as_rows(spark):
     replies = {"whole": "(S> a b| P> is| O> c), (S> d| P> of| O> e| O> f)", "bad": "(S> a| P> b), (S> x| P> y| O> ), (nothing), (P> a| S> b| O> c), (S> a| P> b| O> c)", "empty": "", "none": None}
 
