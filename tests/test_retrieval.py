@@ -83,3 +83,27 @@ def test_counts_take_few_places_and_zero_has_one_sign():
     assert counts.table.sum() == 6 and counts.table.shape[1] < 2000
     assert len(set(retrieval._bins(np.array([-0.0, 0.0])).tolist())) == 1
     assert not np.signbit(retrieval._scores(np.array([[1e-8]]), np.array([[-1.0]]), "ip", 6)).any()
+
+
+@pytest.mark.parametrize("themes, split", [("many", False), ("few", True), ("one", False), ("signs", False)])
+def test_many_by_theme_are_chosen_by_vector_in_tasks(spark, monkeypatch, themes, split):
+    """Ends by score and, where themes tie, by id; a task emits as many as the second stage takes, not what the first lets in."""
+    emitted, made = [], retrieval.scoped_candidates
+    monkeypatch.setattr(retrieval, "FEW", 40)
+    monkeypatch.setattr(retrieval, "scoped_candidates", lambda *a, **k: emitted.append(made(*a, **k)) or emitted[-1])
+    r = random.Random(5)
+    theme = {"many": lambda: [r.uniform(0, 1) for _ in range(3)], "few": lambda: [float(r.choice([0, 1])) for _ in range(3)], "one": lambda: [1.0, 2.0, 3.0], "signs": lambda: [r.uniform(-1, 1), r.choice([0.0, -1.0]), 0.0]}[themes]
+    vecs = [(r.choice([-1, 1]) * i * 2**40, i % 2, [r.uniform(-1, 1) for _ in range(4)], theme()) for i in range(1200)]
+    queries = [(i, [r.uniform(-1, 1) for _ in range(4)], [1.0, r.uniform(0, 1), 0.5]) for i in range(6)]
+    got = retrieval.theme_scoped(spark.createDataFrame(vecs, VECS).repartition(4), spark.createDataFrame(queries, QUERIES), 400, 5, 3, 0.9, split_col="split_id" if split else None)
+    found, want = sorted(map(tuple, got.collect())), brute(vecs, queries, 400, 5, 3, 0.9, "ip", split)
+    assert [x[:-2] + x[-1:] for x in found] == [x[:-2] + x[-1:] for x in want]
+    assert [x[-2] for x in found] == pytest.approx([x[-2] for x in want])
+    assert emitted[0].count() <= 6 * (2 if split else 1) * (4 * 5 + 40)
+
+
+def test_bins_span_their_scores():
+    s = np.concatenate([np.random.default_rng(3).normal(size=2000) * 10.0 ** np.random.default_rng(4).integers(-6, 6, 2000), [0.0, 1e-6, -1e-6, np.finfo(np.float64).max, -np.finfo(np.float64).max]])
+    least, most = retrieval._span(retrieval._bins(s))
+    assert ((least <= s) & (s <= most)).all()
+    assert (retrieval._bins(least) == retrieval._bins(s)).all() and (retrieval._bins(most) == retrieval._bins(s)).all()
