@@ -389,20 +389,50 @@ def scoped_candidates(vecs: DataFrame, queries: DataFrame, theme_k: int, metric:
     return _passes(queries.select("query_id", "q", "theme"), one, "scoped")
 
 
-def theme_scoped(vecs: DataFrame, queries: DataFrame, theme_k: int, dense_k: int, k: int, dense_weight: float, metric: str = "ip", eps: float = 1e-8, split_col: str | None = None) -> DataFrame:
+def blended(vecs: DataFrame, queries: DataFrame, k: int, dense_weight: float, metric: str = "ip", split_col: str | None = None) -> DataFrame:
+    """(query_id, [split], vec_id, score): each task's k best for each query by both scores, of all vecs(vec_id, v, theme) that have both,
+    for queries(query_id, q, theme)."""
+    keys = [split_col] if split_col else []
+    kinds = {f.name: f.dataType.simpleString() for f in [*vecs.schema, *queries.schema]}
+    schema, theme_weight = ", ".join(f"{c} {kinds[c]}" for c in ["query_id", *keys, "vec_id"]) + ", score double", round(1 - dense_weight, 9)
+
+    def one(block: list) -> DataFrame:
+        ids, q, t = np.array([r["query_id"] for r in block], np.int64), np.array([r["q"] for r in block], np.float64), np.array([r["theme"] for r in block], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: dict = {}
+            for g, batch in _split(batches, len(ids), keys):
+                s = dense_weight * _scores(q, matrix(batch.column("v")), "ip", 6) + theme_weight * _scores(t, matrix(batch.column("theme")), metric, 6)
+                met.setdefault(g, Best(len(ids), k)).meet(np.round(s, 8) + 0.0, np.asarray(batch.column("vec_id")))
+            for g, found in met.items():
+                n = [len(x) for x in found.ids]
+                columns = [np.repeat(ids, n), *([np.repeat(g, sum(n))] if keys else []), np.concatenate(found.ids), np.concatenate(found.scores)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["query_id", *keys, "vec_id", "score"])
+
+        return vecs.select(*keys, "vec_id", "v", "theme").where("theme IS NOT NULL AND v IS NOT NULL").mapInArrow(run, schema)
+
+    return _passes(queries.select("query_id", "q", "theme"), one, "blended")
+
+
+def theme_scoped(vecs: DataFrame, queries: DataFrame, theme_k: int | None, dense_k: int | None, k: int, dense_weight: float, metric: str = "ip", eps: float = 1e-8, split_col: str | None = None) -> DataFrame:
     """Two-stage retrieval: vecs(vec_id, v, theme), queries(query_id, q, theme). The theme_k best by
-    theme are scored by vector, the dense_k best of these blended, and the k best returned. Queries whose
-    theme is null or has no length fall back to dense retrieval alone; those without a vector have no result, and
-    rows without a vector or theme are not retrieved by theme."""
+    theme are scored by vector, the dense_k best of these blended, and the k best returned; with neither (both None) all
+    rows are blended. Queries whose theme is null or has no length fall back to dense retrieval alone; those without a
+    vector have no result, and rows without a vector or theme are not retrieved by theme."""
+    if (theme_k is None) != (dense_k is None):
+        raise ValueError("theme_k and dense_k are given both or not at all")
     keys = ["query_id", *([split_col] if split_col else [])]
     has_theme = F.coalesce(vectors.norm(F.col("theme")) >= eps, F.lit(False))
     asked = queries.where("q IS NOT NULL")
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.isnull("room"), F.desc("theme_score"), "vec_id"))
-    found = scoped_candidates(vecs, asked.where(has_theme), theme_k, metric, split_col, dense_k)
-    stage = found.withColumn("place", place).where("room IS NULL OR place <= room").drop("place", "room")
-    dense = best(stage, dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
-    blend = F.round(dense_weight * F.col("dense_score") + F.round(F.lit(1 - dense_weight), 9) * F.col("theme_score"), 8)
-    scoped = best(dense.withColumn("score", blend), k, *keys).select(*keys, "vec_id", "score", "rank")
+    if theme_k is None:
+        scored = blended(vecs, asked.where(has_theme), k, dense_weight, metric, split_col)
+    else:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.isnull("room"), F.desc("theme_score"), "vec_id"))
+        found = scoped_candidates(vecs, asked.where(has_theme), theme_k, metric, split_col, dense_k)
+        stage = found.withColumn("place", place).where("room IS NULL OR place <= room").drop("place", "room")
+        dense = best(stage, dense_k, *keys).drop("rank").withColumnRenamed("score", "dense_score")
+        scored = dense.withColumn("score", F.round(dense_weight * F.col("dense_score") + F.round(F.lit(1 - dense_weight), 9) * F.col("theme_score"), 8))
+    scoped = best(scored, k, *keys).select(*keys, "vec_id", "score", "rank")
     return scoped.unionByName(topk(vecs, asked.where(~has_theme), k, "ip", split_col).select(*keys, "vec_id", "score", "rank"))
 
 

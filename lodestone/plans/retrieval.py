@@ -63,10 +63,11 @@ c2 AS (SELECT *, round({w}::DOUBLE * ds + {round(1 - w, 9)}::DOUBLE * ts, 8) AS
 IP_THEME = "round(list_dot_product(theme, qtheme), 6)"
 
 
-@query(_scoped_sql(IP_THEME, 100, 50, 10, 0.8, ["query_id"]))
+@query(f"{THEME}, s AS (SELECT query_id, vec_id, round(0.8::DOUBLE * round(list_dot_product(v, q), 6) + 0.2::DOUBLE * {IP_THEME}, 8) AS score FROM w, qt) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def theme_scoped_topk(spark, d):
+    """The best by vector and theme together, of all rows: no stage cuts before."""
     vecs, queries = _themed(spark, d)
-    return rt.theme_scoped(vecs, queries, 100, 50, 10, 0.8)
+    return rt.theme_scoped(vecs, queries, None, None, 10, 0.8)
 
 
 @query(f"WITH z AS ({_scoped_sql(IP_THEME, 100, 50, 10, 0.8, ['query_id', 'split_id'])}) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")

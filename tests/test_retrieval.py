@@ -107,3 +107,27 @@ def test_bins_span_their_scores():
     least, most = retrieval._span(retrieval._bins(s))
     assert ((least <= s) & (s <= most)).all()
     assert (retrieval._bins(least) == retrieval._bins(s)).all() and (retrieval._bins(most) == retrieval._bins(s)).all()
+
+
+@pytest.mark.parametrize("metric, split", [("ip", False), ("l2", True)])
+def test_without_stages_all_rows_are_blended(spark, metric, split):
+    vecs = [*rows(150, 6, True), (900, 0, None, [1.0, 1.0, 1.0]), (901, 1, [1.0] * 4, None)]
+    queries = [(i, q, t) for i, _, q, t in rows(9, 7, True)] + [(20, [1.0, 0.0, 0.0, 0.0], None), (21, None, [1.0, 1.0, 1.0])]
+    got = retrieval.theme_scoped(spark.createDataFrame(vecs, VECS).repartition(5), spark.createDataFrame(queries, QUERIES), None, None, 4, 0.8, metric, split_col="split_id" if split else None)
+    found, want = sorted(map(tuple, got.collect())), brute(vecs, queries, 999, 999, 4, 0.8, metric, split)
+    assert [x[:-2] + x[-1:] for x in found] == [x[:-2] + x[-1:] for x in want]
+    assert [x[-2] for x in found] == pytest.approx([x[-2] for x in want])
+
+
+def test_flagship_query_considers_every_row(spark, tmp_path):
+    """Rows beyond the 100 best by theme, and the 50 best of these by vector, can be among the ten best by both."""
+    from lodestone import plans
+
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)], i % 10) for i in range(400)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    themed = retrieval.with_theme(spark.read.parquet(f"{tmp_path}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")).collect()
+    vecs = [(x.vec_id, 0, x.v, x.theme) for x in themed]
+    want = brute(vecs, [(i, v, t) for i, _, v, t in vecs if i % 50 == 0], 400, 400, 10, 0.8, "ip", False)
+    got = plans.QUERIES["theme_scoped_topk"](spark, str(tmp_path)).select("query_id", "vec_id", "score", "rank").collect()
+    assert sorted((x.query_id, x.vec_id, x["rank"]) for x in got) == sorted((q, i, n) for q, i, _, n in want)
